@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from costlens import constants as C
 from costlens.operators.dedup import with_group_count
+from costlens.schemas import with_fields
 
 POOL_ROWS = 8192
 TREE_BLOCKS = 8
@@ -72,11 +73,10 @@ def fit_forest(df: DataFrame, groups: list[str], columns: list[str], identity: l
     """One row per (group, tree) with the tree's arrays."""
     pool = training_pool(df, groups, identity, seed=seed).where(F.col("group_rows") >= min_rows)
     blocks = min(TREE_BLOCKS, trees)
-    pool = pool.select(*groups, *identity[:0], *columns,
+    pool = pool.select(*groups, *columns,
                        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    schema = T.StructType([df.schema[g] for g in groups]).add("tree", "int").add(
-        "psi", "int").add("split_column", "array<int>").add(
-        "split_value", "array<double>").add("path", "array<double>")
+    schema = with_fields(df, groups, "tree int, psi int, split_column array<int>, "
+                                     "split_value array<double>, path array<double>")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         block = int(pdf["block"].iloc[0])

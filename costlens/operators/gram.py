@@ -12,7 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
+
+from costlens.schemas import with_fields
 
 FLUSH_CELLS = 8_000_000
 
@@ -48,7 +50,7 @@ def _fold(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Rec
 
 def gram_sums(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """(keys..., pos, value): the upper triangle of sum(z z') per group."""
-    schema = T.StructType([df.schema[k] for k in keys]).add("cells", "array<double>")
+    schema = with_fields(df, keys, "cells array<double>")
     rows = df.select(*keys, F.col(vector).alias("_z"))
     parts = rows.mapInArrow(lambda it: _fold(it, keys), schema)
     return (parts.select(*keys, F.posexplode("cells").alias("pos", "value"))

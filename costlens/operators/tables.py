@@ -9,7 +9,7 @@ unfinished overwrite never becomes visible and a finished one is idempotent.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, types as T, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.sql.utils import AnalysisException
 
 from costlens import session
@@ -118,16 +118,23 @@ def _overwrite(df: DataFrame, root: str, table: str) -> None:
 
 
 def insert_if_absent(df: DataFrame, root: str, table: str,
-                     order: list[str | Column] | None = None) -> dict[str, int]:
-    """Append the rows whose key is neither stored nor repeated earlier in the batch."""
+                     order: list[str | Column] | None = None,
+                     unique: bool = False) -> dict[str, int]:
+    """Append the rows whose key is neither stored nor repeated earlier in the batch.
+
+    `unique` says that the batch repeats no key, which saves its deduplication.
+    """
     spark, key = df.sparkSession, TABLES[table][1]
     incoming = _with_part(conform(df, table), table)
-    once = first_wins(incoming, key, order or [c for c in ("ingested_at", "record_id")
+    seen = Observation()
+    once = incoming.observe(seen, F.count(F.lit(1)).alias("rows"))
+    if not unique:
+        once = first_wins(once, key, order or [c for c in ("ingested_at", "record_id")
                                                if c in incoming.columns] or key)
     new = session.materialize(
         once.join(_touched(spark, root, table, incoming).select(*key), key, "left_anti"),
         f"new-{table}")
-    inserted, total = new.count(), incoming.count()
+    inserted, total = new.count(), seen.get["rows"]
     _append(new, root, table)
     spark.catalog.refreshByPath(path(root, table))
     return {"inserted": inserted, "skipped": total - inserted, "total": total}
@@ -239,7 +246,9 @@ def write_csv(df: DataFrame, target: str) -> None:
         df.schema[c].dataType, (T.MapType, T.ArrayType, T.StructType))
         else F.to_json(c).alias(c) for c in df.columns])
     (text.write.mode("overwrite").option("header", True).option("quote", '"')
-     .option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(target))
+     .option("escape", '"').option("nullValue", "").option("emptyValue", "")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(target))
 
 
 LABEL_COLUMNS = ("is_anomaly", "anomaly_type", "anomaly_severity", "is_duplicate", "is_backdated")

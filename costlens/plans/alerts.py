@@ -104,7 +104,7 @@ def run(spark: SparkSession, root: str, start, end, as_of, created_at: Column, c
         budget), "alert-candidates")
     stored = tables.scan(spark, root, "alerts", min(str(start), str(as_of)),
                          max(str(end), str(as_of)))
-    done = tables.insert_if_absent(new_alerts(found, stored), root, "alerts")
+    done = tables.insert_if_absent(new_alerts(found, stored), root, "alerts", unique=True)
     by_type = {t: F.count_if(F.col("alert_type") == t) for t in
                ("anomaly_detected", "spend_spike", "budget_breach_imminent")}
     return found.agg(

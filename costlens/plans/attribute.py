@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from costlens import constants as C
 from costlens.operators import filters as flt, gram, series, tables
 from costlens.operators.dedup import groups_of_size
-from costlens.schemas import DIMENSIONS
+from costlens.schemas import DIMENSIONS, with_fields
 
 GROUP = ["cloud_provider", "service_category"]
 TARGET = "total_cost_usd"
@@ -29,9 +29,8 @@ def fit(features: DataFrame, columns: list[str] = C.ATTRIBUTION_FEATURES,
     rows = series.chronological_split(rows, GROUP, "feature_date", DIMENSIONS[2:])
     cells = gram.gram_sums(rows.where("split <> 'val'"), [*GROUP, "split"], "_v")
     size = len(columns) + 2
-    schema = T.StructType([rows.schema[g] for g in GROUP]).add(
-        "beta", "array<double>").add("centre", "array<double>").add("base", "double").add(
-        "r2", "double").add("train_rows", "bigint").add("test_rows", "bigint")
+    schema = with_fields(rows, GROUP, "beta array<double>, centre array<double>, base double, "
+                                      "r2 double, train_rows bigint, test_rows bigint")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = {s: gram.unpack(p, size) for s, p in pdf.groupby("split")}

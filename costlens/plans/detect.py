@@ -6,14 +6,14 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from costlens import constants as C
 from costlens.functions import identity, scoring as sc
 from costlens.operators import filters as flt, forest, gram, series, tables
 from costlens.operators.dedup import groups_of_size
 from costlens.operators.percentiles import exact_percentiles
-from costlens.schemas import DIMENSIONS, FEATURE_KEY
+from costlens.schemas import DIMENSIONS, FEATURE_KEY, with_fields
 
 GROUP = ["cloud_provider", "service_category"]
 
@@ -130,8 +130,8 @@ class SequenceReconstruction:
             "_v", F.concat(F.array(F.lit(1.0)), F.col("sequence")))
         cells = gram.gram_sums(z, GROUP, "_v")
         size, k = len(self.columns) * self.length, self.components
-        schema = T.StructType([rows.schema[g] for g in GROUP]).add(
-            "centre", "array<double>").add("directions", "array<array<double>>")
+        schema = with_fields(rows, GROUP, "centre array<double>, "
+                                          "directions array<array<double>>")
 
         def directions(pdf: pd.DataFrame) -> pd.DataFrame:
             g = gram.unpack(pdf, size + 1)

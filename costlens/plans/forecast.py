@@ -8,12 +8,13 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from costlens import constants as C
 from costlens.functions import forecasting as fc, identity
 from costlens.operators import filters as flt, forecasts as fq, gram, series, tables
 from costlens.operators.dedup import groups_of_size
+from costlens.schemas import with_fields
 
 GROUP = ["cloud_provider", "service"]
 
@@ -102,8 +103,7 @@ class Seasonal:
         cells = gram.gram_sums(z, [*GROUP, "split"], "_v")
         penalty = self._penalty()
         size = len(penalty) + 1
-        schema = T.StructType([rows.schema[g] for g in GROUP]).add(
-            "train_beta", "array<double>").add("beta", "array<double>")
+        schema = with_fields(rows, GROUP, "train_beta array<double>, beta array<double>")
 
         def solve(pdf: pd.DataFrame) -> pd.DataFrame:
             parts = {s: gram.unpack(p, size) for s, p in pdf.groupby("split")}

@@ -17,7 +17,7 @@ from costlens.sources.billing import Source
 def load(raw: DataFrame, root: str, start, end) -> dict[str, int]:
     """One load of raw rows of any number of providers."""
     spark = raw.sparkSession
-    counts = tables.insert_if_absent(normalise(raw), root, "billing_records")
+    counts = tables.insert_if_absent(normalise(raw), root, "billing_records", unique=True)
     billing = tables.scan(spark, root, "billing_records", start, end)
     tables.merge(rollup.daily_rollup(billing, start, end), root, "daily_aggregates")
     return counts

@@ -9,6 +9,11 @@ def _struct(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
 
+def with_fields(df, keys: list[str], ddl: str) -> T.StructType:
+    """The key columns of a frame followed by the fields of a DDL list."""
+    return T.StructType([df.schema[k] for k in keys] + _struct(ddl).fields)
+
+
 RAW_BILLING = _struct("""
     record_id string not null, cloud_provider string not null, account_id string not null,
     service string not null, region string, resource_id string, usage_date string not null,

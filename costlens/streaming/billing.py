@@ -36,7 +36,7 @@ def ingest(raw: DataFrame, root: str, checkpoint: str, available_now: bool = Tru
     Insert-if-absent makes a replayed batch a no-op.
     """
     def write(batch: DataFrame, _: int) -> None:
-        tables.insert_if_absent(normalise(batch), root, "billing_records")
+        tables.insert_if_absent(normalise(batch), root, "billing_records", unique=True)
     return _start(raw.writeStream.foreachBatch(write), checkpoint, available_now)
 
 
@@ -89,7 +89,7 @@ def spike_alerts(daily: DataFrame, baseline: DataFrame, root: str, checkpoint: s
             "rolling_mean_7d": F.lit(None).cast("double")})
         found = al.from_spikes(rows, created_at, threshold)
         stored = tables.scan(batch.sparkSession, root, "alerts")
-        tables.insert_if_absent(al.new_alerts(found, stored), root, "alerts")
+        tables.insert_if_absent(al.new_alerts(found, stored), root, "alerts", unique=True)
 
     return _start(daily.writeStream.foreachBatch(write), checkpoint, available_now)
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["rollups"]
+MODULES = ["rollups", "normals", "series_entries", "tables_entries", "reports_entries"]
 
 
 def load():
