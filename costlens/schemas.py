@@ -5,8 +5,24 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+TYPES = {
+    "string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(),
+    "bigint": T.LongType(), "boolean": T.BooleanType(), "date": T.DateType(),
+    "timestamp": T.TimestampType(), "map<string|string>": T.MapType(T.StringType(), T.StringType()),
+    "map<string|double>": T.MapType(T.StringType(), T.DoubleType()),
+    "array<int>": T.ArrayType(T.IntegerType()), "array<double>": T.ArrayType(T.DoubleType()),
+    "array<array<double>>": T.ArrayType(T.ArrayType(T.DoubleType())),
+}
+
+
+def _struct(fields: str) -> T.StructType:
+    """`name type [not null], …`, readable without a session (tasks import this too)."""
+    out = T.StructType()
+    for field in fields.replace("string,string>", "string|string>").replace(
+            "string,double>", "string|double>").split(","):
+        name, kind, *rest = field.split()
+        out = out.add(name, TYPES[kind], not rest)
+    return out
 
 
 def with_fields(df, keys: list[str], ddl: str) -> T.StructType:

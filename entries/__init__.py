@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["rollups", "normals", "series_entries", "tables_entries", "reports_entries"]
+MODULES = ["rollups", "normals", "series_entries", "tables_entries", "reports_entries", "model_entries", "stream_entries"]
 
 
 def load():
