@@ -94,9 +94,12 @@ def number_or_zero(df: DataFrame, column: str) -> Column:
 
 
 def split_rejects(df: DataFrame, reasons: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """Rows without a reason, and rows with the first reason that applies."""
+    """Rows without a reason, and rows with the first reason that applies.
+
+    The accepted side is a plain conjunction, so that null checks reach the scan.
+    A condition that is NULL rejects.
+    """
     reason = F.coalesce(*[F.when(F.coalesce(cond, F.lit(True)), F.lit(name))
                           for name, cond in reasons.items()])
-    tagged = df.withColumn("reject_reason", reason)
-    return (tagged.where("reject_reason IS NULL").drop("reject_reason"),
-            tagged.where("reject_reason IS NOT NULL"))
+    good = reduce(lambda d, cond: d.where(~cond), reasons.values(), df)
+    return good, df.withColumn("reject_reason", reason).where("reject_reason IS NOT NULL")

@@ -16,7 +16,7 @@ from costlens.operators.dedup import with_group_count
 from costlens.schemas import with_fields
 
 POOL_ROWS = 8192
-TREE_BLOCKS = 8
+TREE_BLOCKS = 2
 CHUNK_ROWS = 100_000
 
 
@@ -44,26 +44,37 @@ def average_path(n):
     return np.where(n > 2, out, np.where(n == 2, 1.0, 0.0))
 
 
-def _grow(x: np.ndarray, depth: int, rng) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One tree as a heap: split column (-1 at a leaf), split value, leaf path length."""
+def _grow(x: np.ndarray, trees: int, psi: int, depth: int, rng) -> tuple[np.ndarray, ...]:
+    """Trees as heaps, grown together level by level.
+
+    Per node: split column (-1 at a leaf), split value, path length at a leaf.
+    """
     size = 2 ** (depth + 1) - 1
-    column, value, path = np.full(size, -1), np.zeros(size), np.zeros(size)
-    members = {0: np.arange(len(x))}
+    column = np.full((trees, size), -1)
+    value, path = np.zeros((trees, size)), np.zeros((trees, size))
+    rows = x[np.concatenate([rng.choice(len(x), psi, replace=False) for _ in range(trees)])]
+    tree, node = np.repeat(np.arange(trees), psi), np.zeros(trees * psi, dtype=int)
+    live = np.arange(len(rows))
     for level in range(depth + 1):
-        for node in range(2 ** level - 1, 2 ** (level + 1) - 1):
-            at = members.pop(node, None)
-            if at is None:
-                continue
-            lo, hi = x[at].min(axis=0), x[at].max(axis=0)
-            usable = np.flatnonzero(hi > lo)
-            if level == depth or len(at) < 2 or not len(usable):
-                path[node] = level + average_path(len(at))
-                continue
-            c = rng.choice(usable)
-            v = rng.uniform(lo[c], hi[c])
-            column[node], value[node] = c, v
-            left = x[at, c] <= v
-            members[2 * node + 1], members[2 * node + 2] = at[left], at[~left]
+        key = tree[live] * size + node[live]
+        order = np.argsort(key, kind="stable")
+        live = live[order]
+        nodes, start, count = np.unique(key[order], return_index=True, return_counts=True)
+        if not len(nodes):
+            break
+        low = np.minimum.reduceat(rows[live], start)
+        high = np.maximum.reduceat(rows[live], start)
+        usable = high > low
+        inner = usable.any(axis=1) & (count > 1) & (level < depth)
+        at = np.arange(len(nodes))
+        c = np.where(usable, rng.random(usable.shape), -1.0).argmax(axis=1)
+        v = low[at, c] + rng.random(len(nodes)) * (high - low)[at, c]
+        t, n = nodes // size, nodes % size
+        column[t[inner], n[inner]], value[t[inner], n[inner]] = c[inner], v[inner]
+        path[t[~inner], n[~inner]] = level + average_path(count[~inner])
+        mine = np.repeat(at, count)
+        node[live] = 2 * node[live] + 1 + (rows[live, c[mine]] > v[mine])
+        live = live[inner[mine]]
     return column, value, path
 
 
@@ -84,12 +95,11 @@ def fit_forest(df: DataFrame, groups: list[str], columns: list[str], identity: l
         x = x[np.lexsort(x.T[::-1])]
         psi = min(subsample, len(x))
         depth = max(1, int(np.ceil(np.log2(psi))))
-        out = []
-        for tree in range(block, trees, blocks):
-            rng = np.random.default_rng([seed, tree])
-            c, v, p = _grow(x[rng.choice(len(x), psi, replace=False)], depth, rng)
-            out.append([*pdf.loc[pdf.index[0], groups], tree, psi, c, v, p])
-        return pd.DataFrame(out, columns=[f.name for f in schema])
+        mine = range(block, trees, blocks)
+        grown = _grow(x, len(mine), psi, depth, np.random.default_rng([seed, block]))
+        key = list(pdf.loc[pdf.index[0], groups])
+        return pd.DataFrame([[*key, tree, psi, c, v, p] for tree, c, v, p in zip(mine, *grown)],
+                            columns=[f.name for f in schema])
 
     return pool.groupBy(*groups, "block").applyInPandas(build, schema)
 

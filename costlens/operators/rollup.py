@@ -72,7 +72,7 @@ def date_bounds(df: DataFrame, column: str = "usage_date",
                   F.coalesce(F.max(column).cast("string"), F.lit(defaults[1])).alias("max_date"))
 
 
-def _shares(rows: DataFrame, base: DataFrame, dimension: str) -> DataFrame:
+def shares(rows: DataFrame, base: DataFrame, dimension: str) -> DataFrame:
     """Spend per dimension and its share of the total of `base`; NULL on a zero total."""
     total = base.agg(F.sum("cost_usd")).scalar()
     return (rows.groupBy(F.col(dimension).alias("dimension"))
@@ -83,7 +83,7 @@ def _shares(rows: DataFrame, base: DataFrame, dimension: str) -> DataFrame:
 
 def spend_by_cloud(billing: DataFrame, start=None, end=None) -> DataFrame:
     rows = flt.date_range(billing, "usage_date", start, end)
-    return _shares(rows, rows, "cloud_provider").orderBy(
+    return shares(rows, rows, "cloud_provider").orderBy(
         F.col("total_cost_usd").desc_nulls_first(), "dimension")
 
 
@@ -91,7 +91,7 @@ def spend_by_service(billing: DataFrame, start=None, end=None, cloud=None,
                      top_n: int = 10) -> DataFrame:
     """Top services; the share is of all clouds' spend even under a cloud filter."""
     base = flt.date_range(billing, "usage_date", start, end)
-    return (_shares(flt.equals(base, cloud_provider=cloud), base, "service_category")
+    return (shares(flt.equals(base, cloud_provider=cloud), base, "service_category")
             .orderBy(F.col("total_cost_usd").desc_nulls_first(), "dimension").limit(top_n))
 
 

@@ -1,14 +1,15 @@
 """Parquet tables with natural keys: insert-if-absent, keyed merge, updates.
 
-Dated tables are partitioned by the start of a week or month. A write first
-works out which partitions the incoming rows touch and reads only those. The
-merged rows go to a staging path in the shared folder and are then written over
+Dated tables are partitioned by the start of a week or month. A write computes
+its batch once, into a staging path, and reads only the partitions the batch
+touches. Merged rows go to a staging path in the shared folder and are then written over
 exactly those partitions, so a failed run can be repeated from the start: an
 unfinished overwrite never becomes visible and a finished one is idempotent.
 """
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.sql.utils import AnalysisException
 
@@ -117,6 +118,15 @@ def _overwrite(df: DataFrame, root: str, table: str) -> None:
     spark.catalog.refreshByPath(path(root, table))
 
 
+def _observed(counter: Observation) -> int:
+    """The observed row count. Adaptive execution drops the counter from a plan
+    that turns out to be empty, which leaves nothing to convert: that is 0 rows."""
+    try:
+        return counter.get["rows"]
+    except Py4JJavaError:
+        return 0
+
+
 def insert_if_absent(df: DataFrame, root: str, table: str,
                      order: list[str | Column] | None = None,
                      unique: bool = False) -> dict[str, int]:
@@ -131,12 +141,13 @@ def insert_if_absent(df: DataFrame, root: str, table: str,
     if not unique:
         once = first_wins(once, key, order or [c for c in ("ingested_at", "record_id")
                                                if c in incoming.columns] or key)
-    new = session.materialize(
-        once.join(_touched(spark, root, table, incoming).select(*key), key, "left_anti"),
-        f"new-{table}")
-    inserted, total = new.count(), seen.get["rows"]
-    _append(new, root, table)
+    batch = session.materialize(once, f"batch-{table}")
+    stored = _touched(spark, root, table, batch).select(*key)
+    added = Observation()
+    new = batch.join(stored, key, "left_anti").observe(added, F.count(F.lit(1)).alias("rows"))
+    _append(new.select(*batch.columns), root, table)
     spark.catalog.refreshByPath(path(root, table))
+    inserted, total = _observed(added), _observed(seen)
     return {"inserted": inserted, "skipped": total - inserted, "total": total}
 
 
@@ -149,8 +160,8 @@ def merge(df: DataFrame, root: str, table: str, update: list[str] | None = None,
     spark, key = df.sparkSession, TABLES[table][1]
     names = [f.name for f in TABLES[table][0]]
     replaced = set(names) - set(key) if update is None else set(update)
-    incoming = _with_part(conform(df, table), table)
-    incoming = first_wins(incoming, key, order or key)
+    incoming = first_wins(_with_part(conform(df, table), table), key, order or key)
+    incoming = session.materialize(incoming, f"batch-{table}")
     stored = _touched(spark, root, table, incoming)
     part = [PART] if TABLES[table][2] else []
     old = stored.select(*key, *part, F.struct(*names).alias("_old"))
@@ -206,6 +217,7 @@ def _apply_flag(marked: DataFrame, columns: list[str]) -> DataFrame:
 def update_flags(root: str, flagged: DataFrame) -> None:
     """Rewrite only the billing partitions that hold a flagged date."""
     spark = flagged.sparkSession
+    flagged = session.materialize(flagged, "flagged")
     touched = _touched(spark, root, "billing_records", _with_part(flagged, "billing_records"))
     _overwrite(_with_part(flag_by_dimensions(touched.drop(PART), flagged), "billing_records"),
                root, "billing_records")

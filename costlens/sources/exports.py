@@ -11,7 +11,6 @@ from pyspark.sql.utils import AnalysisException
 
 from costlens.functions.identity import row_id
 from costlens.functions.mapping import fx_rate
-from costlens.operators import filters as flt
 from costlens.schemas import RAW_BILLING
 
 

@@ -9,8 +9,6 @@ from costlens.functions import tags as tg
 from costlens.operators import forecasts as fq, quality as dq, reports, rollup
 from costlens.plans import alerts as al, detect, normalise as nm
 from costlens.schemas import FEATURE_KEY, RAW_BILLING
-from costlens.sources import testbed as tb
-from entries import ctes
 from entries.base import entry, f32, rounded, s32
 from entries.ctes import DIMS, sql
 

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from costlens.operators import filters as flt, forecasts as fq, joins, reports, rollup, series, \
-    tables
+from costlens.operators import filters as flt, forecasts as fq, joins, reports, rollup, tables
 from costlens.operators.paging import page
 from costlens.plans import attribute as at, normalise as nm
-from costlens.schemas import DAILY_KEY, DIMENSIONS, FEATURE_KEY
+from costlens.schemas import DIMENSIONS, FEATURE_KEY
 from costlens.sources import billing as src, exports, scans
 from entries import ctes
 from entries.base import entry, f32, rounded, s32
@@ -617,7 +616,7 @@ def _(b):
     SELECT environment, {s32('sum(cost_usd) / nullif((SELECT sum(cost_usd) FROM bill), 0) * 100')}
       AS pct FROM bill GROUP BY 1""", "bill"))
 def _(b):
-    return f32(rollup._shares(b.billing, b.billing, "environment").select(
+    return f32(rollup.shares(b.billing, b.billing, "environment").select(
         F.col("dimension").alias("environment"), F.col("pct_of_total").alias("pct")), "pct")
 
 
