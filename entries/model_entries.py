@@ -121,13 +121,13 @@ def _(b):
 
 
 @entry("fn25_blend_bounds", sql(f"""
-    SELECT cloud_provider, round(sum(least(s.lo, b.lo)), 2) AS lo,
-      round(sum(greatest(s.hi, b.hi)), 2) AS hi FROM s FULL JOIN b
+    SELECT cloud_provider, round(sum(least(s.lo, b.lo)), 3) AS lo,
+      round(sum(greatest(s.hi, b.hi)), 3) AS hi FROM s FULL JOIN b
       USING (cloud_provider, service, forecast_date) GROUP BY 1""", "fcst", **SIDES))
 def _(b):
     out = _blended(b)
     return rounded(out.groupBy("cloud_provider").agg(
-        F.sum("lower_bound").alias("lo"), F.sum("upper_bound").alias("hi")), 2, "lo", "hi")
+        F.sum("lower_bound").alias("lo"), F.sum("upper_bound").alias("hi")), 3, "lo", "hi")
 
 
 def _blended(b):

@@ -94,7 +94,7 @@ for _unit in ("day", "week", "month"):
 
 
 @entry("li_spend_by_region", sql(f"""
-    SELECT region, cloud_provider, round(sum(cost_usd), 2) AS total_cost_usd,
+    SELECT region, cloud_provider, round(sum(cost_usd), 4) AS total_cost_usd,
       count(*) AS record_count,
       {s32('sum(cost_usd) / nullif((SELECT sum(cost_usd) FROM lines), 0) * 100')} AS pct_of_total
     FROM lines GROUP BY ALL""", "lines"))
@@ -105,7 +105,7 @@ def _(b):
     out = rows.groupBy("region", "cloud_provider").agg(
         F.sum("cost_usd").alias("total_cost_usd"), F.count(F.lit(1)).alias("record_count"))
     out = out.withColumn("pct_of_total", F.try_divide("total_cost_usd", total) * 100)
-    return f32(rounded(out, 2, "total_cost_usd"), "pct_of_total")
+    return f32(rounded(out, 4, "total_cost_usd"), "pct_of_total")
 
 
 # --- predicates ----------------------------------------------------------------
