@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from costlens import constants as C
 from costlens.functions import calendar as cal
@@ -72,26 +72,41 @@ def date_bounds(df: DataFrame, column: str = "usage_date",
                   F.coalesce(F.max(column).cast("string"), F.lit(defaults[1])).alias("max_date"))
 
 
-def shares(rows: DataFrame, base: DataFrame, dimension: str) -> DataFrame:
-    """Spend per dimension and its share of the total of `base`; NULL on a zero total."""
-    total = base.agg(F.sum("cost_usd")).scalar()
-    return (rows.groupBy(F.col(dimension).alias("dimension"))
-            .agg(F.sum("cost_usd").alias("total_cost_usd"), _rows().alias("record_count"))
-            .withColumn("pct_of_total",
-                        F.try_divide(F.col("total_cost_usd"), total) * 100))
+def with_share(totals: DataFrame, value: str) -> DataFrame:
+    """Percent of the grand total; NULL when that is zero.
+
+    `totals` is already grouped, one row per dimension value, so summing it again
+    in a window costs nothing and the billing rows are scanned once.
+    """
+    whole = F.sum(value).over(W.partitionBy())
+    return totals.withColumn("pct_of_total", F.try_divide(F.col(value), whole) * 100)
+
+
+def shares(rows: DataFrame, dimension: str, cloud: str | None = None) -> DataFrame:
+    """Spend and record count per dimension value and its share of all spend.
+
+    A cloud narrows the spend and the count but not the total it is compared with.
+    """
+    mine = F.col("cloud_provider") == cloud if flt.is_given(cloud) else F.lit(True)
+    totals = rows.groupBy(F.col(dimension).alias("dimension")).agg(
+        F.sum("cost_usd").alias("_all"),
+        F.sum(F.when(mine, F.col("cost_usd"))).alias("total_cost_usd"),
+        F.count_if(mine).alias("record_count"))
+    share = F.try_divide("total_cost_usd", F.sum("_all").over(W.partitionBy())) * 100
+    return totals.withColumn("pct_of_total", share).where("record_count > 0").drop("_all")
 
 
 def spend_by_cloud(billing: DataFrame, start=None, end=None) -> DataFrame:
     rows = flt.date_range(billing, "usage_date", start, end)
-    return shares(rows, rows, "cloud_provider").orderBy(
+    return shares(rows, "cloud_provider").orderBy(
         F.col("total_cost_usd").desc_nulls_first(), "dimension")
 
 
 def spend_by_service(billing: DataFrame, start=None, end=None, cloud=None,
                      top_n: int = 10) -> DataFrame:
     """Top services; the share is of all clouds' spend even under a cloud filter."""
-    base = flt.date_range(billing, "usage_date", start, end)
-    return (shares(flt.equals(base, cloud_provider=cloud), base, "service_category")
+    rows = flt.date_range(billing, "usage_date", start, end)
+    return (shares(rows, "service_category", cloud)
             .orderBy(F.col("total_cost_usd").desc_nulls_first(), "dimension").limit(top_n))
 
 

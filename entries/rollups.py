@@ -101,10 +101,9 @@ for _unit in ("day", "week", "month"):
 def _(b):
     """Shares at line grain, over the four-table join."""
     rows = b.billing_lines
-    total = rows.agg(F.sum("cost_usd")).scalar()
     out = rows.groupBy("region", "cloud_provider").agg(
         F.sum("cost_usd").alias("total_cost_usd"), F.count(F.lit(1)).alias("record_count"))
-    out = out.withColumn("pct_of_total", F.try_divide("total_cost_usd", total) * 100)
+    out = rollup.with_share(out, "total_cost_usd")
     return f32(rounded(out, 4, "total_cost_usd"), "pct_of_total")
 
 

@@ -616,7 +616,7 @@ def _(b):
     SELECT environment, {s32('sum(cost_usd) / nullif((SELECT sum(cost_usd) FROM bill), 0) * 100')}
       AS pct FROM bill GROUP BY 1""", "bill"))
 def _(b):
-    return f32(rollup.shares(b.billing, b.billing, "environment").select(
+    return f32(rollup.shares(b.billing, "environment").select(
         F.col("dimension").alias("environment"), F.col("pct_of_total").alias("pct")), "pct")
 
 

@@ -51,3 +51,40 @@ def test_percentiles_order_only_the_buckets_they_need(spark):
     got = percentiles.exact_percentiles(df, ["k"], "v", {"m": 0.5})
     want = df.where("k = 'hot'").agg(F.percentile("v", 0.5)).first()[0]
     assert got.where("k = 'hot'").first().m == want
+
+
+def test_filters_and_columns_reach_the_scan(spark, root):
+    from costlens.plans.normalise import normalise
+    from costlens.sources.billing import read_billing
+    from tests.data import raw
+    raw(spark, {}, {"usage_date": "2023-02-01"}).write.parquet(f"{root}/aws")
+    rows = read_billing(spark, root, "aws", start="2023-01-15")
+    text = plan(normalise(rows).groupBy("cloud_provider").agg(F.sum("cost_usd")))
+    assert "GreaterThanOrEqual(usage_date,2023-01-15)" in text
+    scan = text[text.index("ReadSchema"):]
+    assert "notes" not in scan and "resource_id" not in scan and "is_anomaly" not in scan
+
+
+def test_dated_tables_prune_partitions(spark, root):
+    from costlens.operators import tables
+    from tests.data import normalised
+    tables.insert_if_absent(normalised(spark, 5).unionByName(
+        normalised(spark, 5, "2023-06-01", prefix="b")), root, "billing_records")
+    text = plan(tables.scan(spark, root, "billing_records", "2023-05-30", "2023-06-10"))
+    part = text[text.index("PartitionFilters"):]
+    assert "part_date" in part.split("PushedFilters")[0]
+
+
+def test_shares_scan_once_without_a_join(spark, sf_dir):
+    from costlens.operators.rollup import spend_by_cloud
+    from costlens.sources import testbed
+    text = plan(spend_by_cloud(testbed.billing(spark, sf_dir)))
+    assert "Join" not in text and text.count("FileScan") == 1
+
+
+def test_features_shuffle_once(spark, sf_dir):
+    from costlens.operators.series import build_features
+    from costlens.sources import testbed
+    stored = testbed.daily(spark, sf_dir)
+    text = plan(build_features(stored))
+    assert text.count("Exchange") == 2      # the rollup and the series
