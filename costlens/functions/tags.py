@@ -16,9 +16,10 @@ def parse_tags(text: Column) -> Column:
 
 def environment(tags: Column) -> Column:
     """Value of the first key present, lower-cased and passed through the aliases."""
-    value = F.coalesce(*[F.when(F.map_contains_key(tags, k),
-                                F.struct(F.try_element_at(tags, F.lit(k)).alias("v")))
-                         for k in C.ENVIRONMENT_KEYS])["v"]
+    value = None
+    for k in C.ENVIRONMENT_KEYS:
+        here, found = F.map_contains_key(tags, k), F.try_element_at(tags, F.lit(k))
+        value = F.when(here, found) if value is None else value.when(here, found)
     lowered = F.lower(value)
     return F.coalesce(F.try_element_at(literal_map(C.ENVIRONMENT_ALIASES), lowered), lowered)
 
