@@ -27,7 +27,7 @@ class Rule(NamedTuple):
     words: int = 0
 
 
-#: Metrics are the columns of `measured`; a null metric (no words, no lines) passes.
+#: A metric is a count or a ratio of two; a null one (no words, no lines) passes.
 RULES = (
     Rule("n_words", low=10),
     Rule("mean_word_chars", low=1.5, high=25),
@@ -82,69 +82,93 @@ def repeated_words(words: Column, window: int = 5) -> Column:
     return F.when(n < window, F.lit(0).cast("long")).otherwise(let(hashes, covered))
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with a column `_q`: a struct of every count and ratio. Null text is empty."""
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    words = F.filter(F.split(F.translate(t, SPACES, " " * len(SPACES)), " ", -1),
-                     lambda w: w != "")
-    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(HAS_WORD))
+def parts_of(t: Column) -> Column:
+    """Struct of a text, its words, its words without punctuation, and lines with a word."""
+    def words(x: Column) -> Column:
+        return F.filter(F.split(F.translate(x, SPACES, " " * len(SPACES)), " ", -1),
+                        lambda w: w != "")
     bare = F.lower(F.regexp_replace(t, "[\\p{Punct}]+", ""))
-    stops = F.size(F.filter(F.split(F.translate(bare, SPACES, " " * len(SPACES)), " ", -1),
-                            lambda w: w.isin(STOP_WORDS)))
-    parts = docs.withColumns({"_t": t, "_w": words, "_l": lines}).withColumns({
-        "_n": F.size("_w").cast("long"), "_k": F.size("_l").cast("long"),
-        "_dup": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-        "_chars": F.length(F.translate("_t", SPACES + " ", "")).cast("long")})
-    n, k = F.nullif(F.col("_n"), F.lit(0)), F.nullif(F.col("_k"), F.lit(0))
-    symbols, repeats = count(F.col("_t"), "[#*$%&|<>]"), repeated_words(F.col("_w"))
-    q = F.struct(
-        F.col("_n").alias("n_words"), F.col("_chars").alias("word_chars"), symbols.alias("n_symbols"),
-        F.col("_dup").alias("n_dup_lines"), repeats.alias("n_repeat_words"),
-        (stops / n).alias("stop_ratio"),
-        (F.size(F.filter("_w", lambda w: w.rlike("\\p{L}"))) / n).alias("letter_word_ratio"),
-        (F.size(F.filter("_w", lambda w, i: w.eqNullSafe(F.get("_w", i - 1)))) / n)
-        .alias("twin_ratio"),
-        (count(F.col("_t"), "!") / n).alias("bang_ratio"),
-        (F.col("_dup") / k).alias("dup_line_ratio"),
-        (F.size(F.filter("_l", lambda x: x.rlike("(\\.\\.\\.|…)\\s*$"))) / k)
-        .alias("ellipsis_line_ratio"),
-        (F.size(F.filter("_l", lambda x: x.rlike("^\\s*[-*•]"))) / k).alias("bullet_line_ratio"))
-    ratios = parts.withColumn("_q", q).drop("_t", "_w", "_l", "_n", "_k", "_dup", "_chars")
-    n = F.nullif(F.col("_q.n_words"), F.lit(0))
-    return ratios.withColumn("_q", F.col("_q").withField(
-        "mean_word_chars", F.col("_q.word_chars") / n).withField(
-        "symbol_ratio", F.col("_q.n_symbols") / n).withField(
-        "repeat_ratio", F.col("_q.n_repeat_words") / n))
-
-
-def compiled(rules=RULES) -> Column:
-    """Names of the rules that the metrics in `_q` break, as one array expression."""
+    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(HAS_WORD))
+    return F.struct(t.alias("t"), words(t).alias("w"), words(bare).alias("bare"),
+                    lines.alias("l"))
+
+
+def counts_of(p: Column) -> Column:
+    """Struct of the counts, from the parts."""
+    def some(array: Column, test) -> Column:
+        return F.size(F.filter(array, test)).cast("long")
+    w, lines = p["w"], p["l"]
+    return F.struct(
+        F.size(w).cast("long").alias("n_words"), F.size(lines).cast("long").alias("n_lines"),
+        F.length(F.translate(p["t"], SPACES + " ", "")).cast("long").alias("word_chars"),
+        count(p["t"], "[#*$%&|<>]").alias("n_symbols"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        repeated_words(w).alias("n_repeat_words"),
+        some(p["bare"], lambda x: x.isin(STOP_WORDS)).alias("n_stop"),
+        some(w, lambda x: x.rlike("\\p{L}")).alias("n_lettered"),
+        some(w, lambda x, i: x.eqNullSafe(F.get(w, i - 1))).alias("n_twins"),
+        count(p["t"], "!").alias("n_bangs"),
+        some(lines, lambda x: x.rlike("(\\.\\.\\.|…)\\s*$")).alias("n_ellipsis"),
+        some(lines, lambda x: x.rlike("^\\s*[-*•]")).alias("n_bullets"))
+
+
+#: Ratio metrics: numerator and denominator among the counts.
+RATIOS = {
+    "mean_word_chars": ("word_chars", "n_words"), "symbol_ratio": ("n_symbols", "n_words"),
+    "bang_ratio": ("n_bangs", "n_words"), "stop_ratio": ("n_stop", "n_words"),
+    "letter_word_ratio": ("n_lettered", "n_words"), "repeat_ratio": ("n_repeat_words", "n_words"),
+    "twin_ratio": ("n_twins", "n_words"), "dup_line_ratio": ("n_dup_lines", "n_lines"),
+    "ellipsis_line_ratio": ("n_ellipsis", "n_lines"), "bullet_line_ratio": ("n_bullets", "n_lines"),
+}
+
+
+def metric(q: Column, name: str) -> Column:
+    if name not in RATIOS:
+        return q[name]
+    above, below = RATIOS[name]
+    return q[above] / F.nullif(q[below], F.lit(0).cast("long"))
+
+
+def compiled(q: Column, rules=RULES) -> Column:
+    """Names of the rules that counts `q` break, as one array expression."""
     broken = []
     for r in rules:
-        m = F.col(f"_q.{r.metric}")
-        out = F.lit(False)
+        m, out = metric(q, r.metric), F.lit(False)
         if r.low is not None:
             out = out | F.coalesce(m < r.low, F.lit(False))
         if r.high is not None:
             out = out | F.coalesce(m > r.high, F.lit(False))
         if r.words:
-            out = out & (F.col("_q.n_words") >= r.words)
+            out = out & (q["n_words"] >= r.words)
         broken.append(F.when(out, F.lit(r.metric)))
     return F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")
 
 
+def verdict(text: Column, rules=RULES) -> Column:
+    """Struct of counts (`q`) and names of broken rules (`broken`).
+
+    Values used twice are bound by `let`, so the expression stays linear wherever the
+    optimizer moves it, a filter included.
+    """
+    t = F.coalesce(text, F.lit(""))
+    return let(let(parts_of(t), counts_of), lambda q: F.struct(
+        q.alias("q"), compiled(q, rules).alias("broken")))
+
+
 def judge(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
-    """`docs` with `_q` (counts and ratios), `_broken` (rules broken) and `_kept`.
+    """`docs` with `_q` (counts), `_broken` (rules broken) and `_kept`.
 
     One projection of built-in functions: no user function and no shuffle. A null
     text counts as empty and fails the length rule. Repeated rows are judged alike;
     extra columns pass through (names that begin with an underscore are reserved).
     """
     prepare(docs.sparkSession)
-    q = measured(docs, text).withColumn("_broken", compiled(rules))
-    return q.withColumn("_kept", F.size("_broken") == 0)
+    v = docs.withColumn("_v", verdict(F.col(f"`{text}`"), rules))
+    return v.withColumns({"_q": F.col("_v.q"), "_broken": F.col("_v.broken"),
+                          "_kept": F.size("_v.broken") == 0}).drop("_v")
 
 
 def keep(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """The rows that break no rule, with the columns they came with."""
-    return judge(docs, rules, text).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    prepare(docs.sparkSession)
+    return docs.where(F.size(verdict(F.col(f"`{text}`"), rules)["broken"]) == 0)
