@@ -23,10 +23,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 8 << 20
-CACHE_PIECES = 600_000
+CACHE_PIECES = 800_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: Starts of a piece that white space before it would not leave as it is.
-SPACE = re.compile(r"[\s\x1c-\x1f\x85]|$")
+#: Pieces that white space before them would not leave as they are.
+SPACE = r"^(?:[\s\v\x85\p{Z}\x1c-\x1f]|$)"
 #: Letters, alone or before a punctuation mark, and what follows.
 WORD = re.compile(f"([{LETTERS}]+)((?:[.,;:!?].*)?)", re.DOTALL)
 
@@ -62,6 +62,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
+        self.words: tuple[dict[str, list[int]], dict[str, list[int]]] = ({}, {})
         self.known: tuple[dict[str, int], dict[str, int]] = ({}, {})
         self.flat, self.start, self.length = (np.zeros(0, np.uint32), np.zeros(0, np.int64),
                                               np.zeros(0, np.int64))
@@ -70,8 +71,6 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _word_ids(self, word: str, lead: bool) -> list[int]:
-        if self.rule == "drop":
-            word = word.lower()
         if not word.isascii():
             word = word.translate(self.spelt)
         return [t.id for t in self.tokenizer.model.tokenize(self.spelt[0x20] + word if lead
@@ -79,7 +78,7 @@ class Encoder:
 
     def _piece_ids(self, pieces: list[str], lead: bool) -> list[list[int]]:
         """Ids of each piece, or of the piece after a space."""
-        words: dict[str, list[int]] = {}
+        words, lower = self.words[lead], self.rule == "drop"
         split = [WORD.fullmatch(p) for p in pieces]
         space = " " if lead else ""
         rest = [m.group(2) if m else space + p for p, m in zip(pieces, split)]
@@ -90,7 +89,7 @@ class Encoder:
             if not m:
                 out.append(ids_of[r])
                 continue
-            word = m.group(1)
+            word = m.group(1).lower() if lower else m.group(1)
             if word not in words:
                 words[word] = self._word_ids(word, lead)
             out.append(words[word] + ids_of[r] if r else words[word])
@@ -130,7 +129,8 @@ class Encoder:
         pieces, piece = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         lead = self.rule == "lead"
         if lead:
-            odd = np.fromiter((SPACE.match(p) is not None for p in pieces), bool, len(pieces))[piece]
+            odd = pc.match_substring_regex(coded.dictionary, SPACE).to_numpy(
+                zero_copy_only=False)[piece]
             odd[edges[:-1]] = False
             odd = np.add.reduceat(odd, edges[:-1]) > 0
             if odd.any():

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from costlens import session
 
-#: Rows per Arrow batch: texts may be long, so batches are kept short.
-ARROW_ROWS = 512
+#: Rows and bytes per Arrow batch: texts may be long, so bytes bound a batch.
+ARROW_ROWS, ARROW_BYTES = 4096, 16 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     session.configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 

@@ -94,7 +94,7 @@ def templates(paths: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labels: DataFrame | None = None,
-          reject: float = 0.5, key: str = "page_id") -> DataFrame:
+          reject: float = 0.6, key: str = "page_id") -> DataFrame:
     """(key, host, path, rule, verdict, template, purity) for every row of `pages`.
 
     The rules decide where one fits, and their verdicts are the labels the tree
