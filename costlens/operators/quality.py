@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from costlens import constants as C
-from costlens.functions import identity
 
 FEATURE_COLUMNS_REQUIRED = [
     "feature_date", "cloud_provider", "service_category", "account_id", "environment", "team",
@@ -40,11 +39,13 @@ def unusable_cost(c: Column) -> Column:
 
 def row_checks(raw: DataFrame, schema: T.StructType) -> dict[str, Column]:
     """Per-row failure conditions over raw billing rows."""
-    usage, seen = F.col("usage_date").cast("date"), F.to_date(F.col("ingested_at").cast("timestamp"))
+    usage = F.col("usage_date").try_cast("date")
+    seen = F.col("ingested_at").try_cast("timestamp").cast("date")
     tags = F.from_json("tags", "map<string,string>")
     return {
         "schema": schema_failures(raw, schema),
         "cost_usable": unusable_cost(F.col("cost_usd")),
+        "date_parses": usage.isNull() | seen.isNull(),
         "usage_before_ingest": usage > seen,
         "currency_consistent": F.abs(F.col("original_cost") * F.col("exchange_rate")
                                      - F.col("cost_usd")) >= 0.01,
@@ -84,13 +85,24 @@ def with_twins(raw: DataFrame) -> DataFrame:
             .where(F.col("copies") >= 2))
 
 
-def conservation(raw_fingerprints: DataFrame) -> DataFrame:
-    """Input rows less kept rows less removed rows; 0 when normalisation loses nothing."""
-    from costlens.operators.dedup import duplicate_counts
-    c = duplicate_counts(raw_fingerprints, ["fingerprint"])
-    return c.select(F.lit("conservation").alias("check"),
-                    (F.col("input_count") - F.col("output_count")
-                     - F.col("duplicate_count")).alias("failed_rows"))
+def conservation(raw: DataFrame) -> DataFrame:
+    """Input rows less those kept, rejected and removed as duplicates.
+
+    Each part is counted on its own: the kept rows from the normalised output, the
+    rejects from their channel, the duplicates from the accepted rows' keys. Not 0
+    when normalisation loses or adds a row.
+    """
+    from costlens.plans.normalise import accepted_and_rejected, normalise, with_fingerprint
+    good, bad = accepted_and_rejected(raw)
+    extra = with_fingerprint(good).groupBy("fingerprint").agg(
+        (F.count(F.lit(1)) - 1).alias("n"))
+    parts = [raw.select(F.lit(1).alias("n")), normalise(raw).select(F.lit(-1).alias("n")),
+             bad.select(F.lit(-1).alias("n")), extra.select((-F.col("n")).alias("n"))]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.agg(F.lit("conservation").alias("check"),
+                     F.coalesce(F.sum("n"), F.lit(0)).alias("failed_rows"))
 
 
 def unknown_categories(billing: DataFrame) -> DataFrame:
@@ -126,7 +138,3 @@ def shares_off(shares: DataFrame, tolerance: float = 0.1) -> DataFrame:
                       F.when(off, 1).otherwise(0).cast("bigint").alias("failed_rows"))
 
 
-def fingerprinted(raw: DataFrame) -> DataFrame:
-    return raw.withColumn("fingerprint", identity.fingerprint(
-        F.col("cloud_provider"), F.col("account_id"), F.col("service"), F.col("usage_date"),
-        F.col("cost_usd")))

@@ -8,9 +8,11 @@ billing rows there are, which is what makes a window per series safe.
 from __future__ import annotations
 
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
+from costlens import constants as C
 from costlens.functions import calendar as cal
 from costlens.operators import filters as flt
 from costlens.schemas import DIMENSIONS
@@ -90,29 +92,31 @@ def rebuild_recent(daily: DataFrame, as_of, days_back: int = 7) -> DataFrame:
 
 
 def chronological_split(df: DataFrame, groups: list[str], order: str, tiebreak: list[str],
-                        train: float = 0.70, val: float = 0.15) -> DataFrame:
+                        train: float = C.TRAIN_RATIO, val: float = C.VAL_RATIO) -> DataFrame:
     """`split` by row position in the group: first 70 %, next 15 %, the rest.
 
-    Positions come from day counts: a group's days are cumulated (one row per
-    day), and rows are numbered only within their own day. No task ever holds a
-    group.
+    Positions come from counts: a group's cells (a day and a value of the first
+    tiebreak column) are cumulated, one row per cell, and rows are numbered only
+    within their own cell. No task ever holds a group, nor all rows of a day.
     """
-    days = df.groupBy(*groups, order).agg(F.count(F.lit(1)).alias("_n"))
+    cell = list(dict.fromkeys([order, *tiebreak[:1]]))
+    counts = df.groupBy(*groups, *cell).agg(F.count(F.lit(1)).alias("_n"))
     w = W.partitionBy(*groups)
-    days = days.select(
-        *groups, order,
-        F.coalesce(F.sum("_n").over(w.orderBy(order).rowsBetween(W.unboundedPreceding, -1)),
+    counts = counts.select(
+        *[F.col(c).alias(f"_{c}") for c in (*groups, *cell)],
+        F.coalesce(F.sum("_n").over(w.orderBy(*cell).rowsBetween(W.unboundedPreceding, -1)),
                    F.lit(0)).alias("_before"),
         F.sum("_n").over(w).alias("group_rows"))
-    in_day = W.partitionBy(*groups, order).orderBy(*tiebreak)
+    in_cell = W.partitionBy(*groups, *cell).orderBy(*tiebreak)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}"))
+                                       for c in (*groups, *cell)])
     train_end = F.floor(F.col("group_rows") * F.lit(train))
     val_end = train_end + F.floor(F.col("group_rows") * F.lit(val))
-    return (df.withColumn("_in_day", F.row_number().over(in_day))
-            .join(days, [*groups, order])
-            .withColumn("position", F.col("_before") + F.col("_in_day") - 1)
+    return (df.withColumn("_in_cell", F.row_number().over(in_cell)).join(counts, same)
+            .withColumn("position", F.col("_before") + F.col("_in_cell") - 1)
             .withColumn("split", F.when(F.col("position") < train_end, "train")
                         .when(F.col("position") < val_end, "val").otherwise("test"))
-            .drop("_in_day", "_before"))
+            .drop("_in_cell", "_before", *[f"_{c}" for c in (*groups, *cell)]))
 
 
 def last_row(df: DataFrame, groups: list[str], order: str) -> DataFrame:

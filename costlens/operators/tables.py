@@ -2,13 +2,17 @@
 
 Dated tables are partitioned by the start of a week or month. A write computes
 its batch once, into a staging path, and reads only the partitions the batch
-touches. Merged rows go to a staging path in the shared folder and are then written over
-exactly those partitions, so a failed run can be repeated from the start: an
-unfinished overwrite never becomes visible and a finished one is idempotent.
+touches: their few start dates become literals of the scan. Merged rows go to a
+staging path in the shared folder and are then written over exactly those
+partitions. A dynamic overwrite deletes a partition before it moves the new files
+in, so a reader may meet a partition without rows while a write commits; a failed
+write is repaired by repeating it.
 """
 
 from __future__ import annotations
 
+import logging
+
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.sql.utils import AnalysisException
@@ -18,6 +22,8 @@ from costlens.operators.dedup import first_wins
 from costlens.operators.joins import salted_left_join
 from costlens.schemas import TABLES
 
+log = logging.getLogger(__name__)
+
 PART = "part_date"
 GRAIN = {"billing_records": "week"}
 
@@ -95,13 +101,21 @@ def scan(spark: SparkSession, root: str, table: str, start=None, end=None) -> Da
     return df.drop(PART)
 
 
+def _parts(rows: DataFrame) -> list:
+    """Partitions of staged rows: one date per week or month they cover."""
+    return [r[PART] for r in rows.select(PART).distinct().toLocalIterator()]
+
+
 def _touched(spark: SparkSession, root: str, table: str, incoming: DataFrame) -> DataFrame:
-    """Stored rows of the partitions that `incoming` has rows for."""
+    """Stored rows of the partitions that the staged `incoming` has rows for.
+
+    The partitions are named by literals, so files of others are not even listed.
+    """
     stored = (spark.read.schema(_stored(table)).parquet(path(root, table))
               if _exists(spark, root, table) else spark.createDataFrame([], _stored(table)))
     if not TABLES[table][2]:
         return stored
-    return stored.join(incoming.select(PART).distinct(), PART, "left_semi")
+    return stored.where(F.col(PART).isin(_parts(incoming)))
 
 
 def _append(df: DataFrame, root: str, table: str) -> None:
@@ -118,13 +132,20 @@ def _overwrite(df: DataFrame, root: str, table: str) -> None:
     spark.catalog.refreshByPath(path(root, table))
 
 
-def _observed(counter: Observation) -> int:
-    """The observed row count. Adaptive execution drops the counter from a plan
-    that turns out to be empty, which leaves nothing to convert: that is 0 rows."""
+def _observed(counter: Observation, rows: DataFrame) -> int:
+    """The observed row count. Adaptive execution drops the counter from a plan that
+    turns out to be empty; then the rows are counted, which raises what is wrong
+    otherwise. To be called before the table's file listing is refreshed."""
     try:
         return counter.get["rows"]
     except Py4JJavaError:
-        return 0
+        return rows.count()
+
+
+def _by_value(df: DataFrame) -> list[Column]:
+    """An order over whole rows, so that a retry picks the same one of a repeated key."""
+    return [F.to_json(f.name) if isinstance(f.dataType, T.MapType) else F.col(f.name)
+            for f in df.schema]
 
 
 def insert_if_absent(df: DataFrame, root: str, table: str,
@@ -139,15 +160,15 @@ def insert_if_absent(df: DataFrame, root: str, table: str,
     seen = Observation()
     once = incoming.observe(seen, F.count(F.lit(1)).alias("rows"))
     if not unique:
-        once = first_wins(once, key, order or [c for c in ("ingested_at", "record_id")
-                                               if c in incoming.columns] or key)
+        first = [c for c in ("ingested_at", "record_id") if c in incoming.columns]
+        once = first_wins(once, key, order or [*first, *_by_value(incoming)])
     batch = session.materialize(once, f"batch-{table}")
     stored = _touched(spark, root, table, batch).select(*key)
     added = Observation()
     new = batch.join(stored, key, "left_anti").observe(added, F.count(F.lit(1)).alias("rows"))
     _append(new.select(*batch.columns), root, table)
+    inserted, total = _observed(added, new), _observed(seen, incoming)
     spark.catalog.refreshByPath(path(root, table))
-    inserted, total = _observed(added), _observed(seen)
     return {"inserted": inserted, "skipped": total - inserted, "total": total}
 
 
@@ -160,7 +181,8 @@ def merge(df: DataFrame, root: str, table: str, update: list[str] | None = None,
     spark, key = df.sparkSession, TABLES[table][1]
     names = [f.name for f in TABLES[table][0]]
     replaced = set(names) - set(key) if update is None else set(update)
-    incoming = first_wins(_with_part(conform(df, table), table), key, order or key)
+    incoming = _with_part(conform(df, table), table)
+    incoming = first_wins(incoming, key, order or _by_value(incoming))
     incoming = session.materialize(incoming, f"batch-{table}")
     stored = _touched(spark, root, table, incoming)
     part = [PART] if TABLES[table][2] else []
@@ -223,6 +245,40 @@ def update_flags(root: str, flagged: DataFrame) -> None:
                root, "billing_records")
 
 
+def _holding(root: str, table: str, spark: SparkSession, hit: Column, listed: DataFrame) -> DataFrame:
+    """Stored rows of the partitions that hold a row `listed` names, found by keys alone."""
+    stored = spark.read.schema(_stored(table)).parquet(path(root, table))
+    found = stored.join(listed, hit, "left_semi").select(PART).distinct()
+    return stored.where(F.col(PART).isin(_parts(found)))
+
+
+def update_flags_by_identifier(root: str, flagged: DataFrame) -> None:
+    """Flag stored rows by fingerprint or record id; only partitions with one are rewritten."""
+    spark = flagged.sparkSession
+    if not _exists(spark, root, "billing_records"):
+        return
+    ids = session.materialize(flagged.select("identifier", "severity"), "flagged")
+    parts = [F.col("identifier") == F.col(c) for c in ("fingerprint", "record_id")]
+    dates = {p for hit in parts for p in _parts(_holding(root, "billing_records", spark, hit, ids))}
+    stored = spark.read.schema(_stored("billing_records")).parquet(path(root, "billing_records"))
+    touched = stored.where(F.col(PART).isin(sorted(dates)))
+    _overwrite(_with_part(flag_by_identifier(touched.drop(PART), ids), "billing_records"), root,
+               "billing_records")
+
+
+def resolve_stored(root: str, resolutions: DataFrame) -> int:
+    """Close stored alerts; only partitions that hold one are rewritten. Returns how many."""
+    spark = resolutions.sparkSession
+    if not _exists(spark, root, "alerts"):
+        return 0
+    todo = session.materialize(resolutions.select("alert_id", "resolved_at"), "resolutions")
+    ids = todo.select(F.col("alert_id").alias("_id"))
+    touched = _holding(root, "alerts", spark, F.col("alert_id") == F.col("_id"), ids)
+    done = session.materialize(resolve(touched, todo), "resolved")
+    _overwrite(done.drop("changed"), root, "alerts")
+    return done.where("changed").count()
+
+
 def resolve(alerts: DataFrame, resolutions: DataFrame) -> DataFrame:
     """Close the open alerts listed in `resolutions` (alert_id, resolved_at).
 
@@ -237,11 +293,11 @@ def resolve(alerts: DataFrame, resolutions: DataFrame) -> DataFrame:
 
 
 def log_run(spark: SparkSession, root: str, rows: DataFrame) -> None:
-    """Append audit rows; a failure to log does not fail the run."""
+    """Append audit rows; a failure to log does not fail the run, but is told."""
     try:
         _append(conform(rows, "ingestion_log"), root, "ingestion_log")
-    except Exception as error:  # noqa: BLE001
-        spark.sparkContext.setLocalProperty("costlens.audit.error", str(error)[:200])
+    except Exception:  # noqa: BLE001
+        log.warning("the audit row could not be written to %s", root, exc_info=True)
 
 
 # --- plain writers -----------------------------------------------------------
@@ -287,6 +343,17 @@ def load_params(spark: SparkSession, root: str, model: str) -> DataFrame | None:
         return None
 
 
+def merge_params(spark: SparkSession, root: str, model: str, fresh: DataFrame,
+                 keys: list[str]) -> DataFrame:
+    """Store parameters of the groups in `fresh`; those of other groups stay as they are."""
+    fresh = session.materialize(fresh, f"fit-{model}")
+    known = load_params(spark, root, model)
+    merged = fresh if known is None else known.join(
+        fresh.select(*keys).distinct(), keys, "left_anti").unionByName(fresh)
+    save_params(session.materialize(merged, f"registry-{model}"), root, model)
+    return load_params(spark, root, model)
+
+
 def groups_to_train(groups: DataFrame, known: DataFrame | None, keys: list[str],
                     force: bool = False) -> DataFrame:
     """Groups without stored parameters; all of them when forced."""

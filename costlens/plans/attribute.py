@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -20,14 +21,19 @@ def fit(features: DataFrame, columns: list[str] = C.ATTRIBUTION_FEATURES,
     """Coefficients, feature means, base and test R² per (cloud, service).
 
     The first 70 % of a group's rows in date order are fitted, the last 15 %
-    tested. Both need only second moments, so one pass over the rows serves them.
+    tested. Both need only second moments, of columns that are first centred and
+    scaled by their group's mean and deviation: raw moments of large values would
+    cancel. One row per group holds the means.
     """
     rows = groups_of_size(features, GROUP, min_rows)
     numbers = [flt.number_or_zero(rows, c) for c in columns]
-    z = F.array(F.lit(1.0), *numbers, F.col(TARGET))
-    rows = rows.select(*GROUP, "feature_date", *DIMENSIONS[2:], z.alias("_v"))
+    rows = rows.select(*GROUP, "feature_date", *DIMENSIONS[2:],
+                       F.array(*numbers, F.col(TARGET)).alias("_raw"))
+    rows = gram.standardised(rows, GROUP, "_raw", len(columns) + 1)
+    rows = rows.withColumn("_v", F.concat(F.array(F.lit(1.0)), F.col("_std")))
     rows = series.chronological_split(rows, GROUP, "feature_date", DIMENSIONS[2:])
-    cells = gram.gram_sums(rows.where("split <> 'val'"), [*GROUP, "split"], "_v")
+    cells = gram.gram_sums(rows.where("split <> 'val'"), [*GROUP, "split"], "_v").join(
+        gram.centres(rows, GROUP), GROUP)
     size = len(columns) + 2
     schema = with_fields(rows, GROUP, "beta array<double>, centre array<double>, base double, "
                                       "r2 double, train_rows bigint, test_rows bigint")
@@ -37,6 +43,10 @@ def fit(features: DataFrame, columns: list[str] = C.ATTRIBUTION_FEATURES,
         beta, mean, base = gram.centred_ridge(parts["train"], RIDGE)
         test = parts.get("test")
         r2 = gram.r_squared(test, beta, mean, base) if test is not None else 0.0
+        at, by = np.array(pdf["_mean"].iloc[0]), np.array(pdf["_scale"].iloc[0])
+        wide = np.where(by > 0, by, 1.0)
+        beta = np.where(by[:-1] > 0, beta * wide[-1] / wide[:-1], 0.0)
+        mean, base = at[:-1] + by[:-1] * mean, float(at[-1] + by[-1] * base)
         return pd.DataFrame([[*pdf.loc[pdf.index[0], GROUP], beta, mean, base, r2,
                               int(parts["train"][0, 0]),
                               int(test[0, 0]) if test is not None else 0]],
@@ -58,7 +68,8 @@ def explain(features: DataFrame, params: DataFrame,
     rows = features.withColumn("_x", x).join(params, GROUP).withColumn("_phi", phi)
     return rows.withColumns({
         "shap_values": F.map_from_arrays(F.array(*map(F.lit, columns)), F.col("_phi")),
-        "prediction": F.col("base") + F.aggregate("_phi", F.lit(0.0), lambda a, b: a + b),
+        "prediction": F.col("base") - gram.dot(F.col("beta"), F.col("centre"))
+        + gram.dot(F.col("beta"), F.col("_x")),
         "model_r2_score": F.col("r2"), "feature_count": F.lit(len(columns)),
     }).drop("_x", "_phi", "beta", "centre", "r2", "train_rows", "test_rows")
 
@@ -91,14 +102,12 @@ def run(spark: SparkSession, root: str, start, end, computed_at: Column, cloud=N
         force: bool = False) -> DataFrame:
     """Fit or reuse parameters, attribute, upsert; returns the group report."""
     from costlens.operators.reports import group_top_driver
-    from costlens.session import materialize
     features = flt.equals(tables.scan(spark, root, "spend_features", start, end),
                           cloud_provider=cloud)
-    known = None if force else tables.load_params(spark, root, "attribution")
+    known = tables.load_params(spark, root, "attribution")
     todo = tables.groups_to_train(features.select(*GROUP).distinct(), known, GROUP, force)
     fresh = fit(features.join(todo, GROUP, "left_semi"))
-    params = materialize(fresh if known is None else known.unionByName(fresh), "fit-attribution")
-    tables.save_params(params, root, "attribution")
+    params = tables.merge_params(spark, root, "attribution", fresh, GROUP)
     rows = attribute(features, params).withColumn("computed_at", computed_at)
     tables.merge(rows, root, "cost_attributions")
     stored = tables.scan(spark, root, "cost_attributions", start, end)

@@ -68,7 +68,9 @@ class IsolationForest:
                                      "outlier_score")
         return trees.join(ranges, GROUP)
 
-    def score(self, features: DataFrame, params: DataFrame) -> DataFrame:
+    def score(self, features: DataFrame, params: DataFrame | None) -> DataFrame:
+        if params is None:
+            return features.withColumn("iforest_score", F.lit(0.0))
         trees = params.drop("score_min", "score_max")
         ranges = params.groupBy(*GROUP).agg(F.first("score_min").alias("score_min"),
                                             F.first("score_max").alias("score_max"))
@@ -161,7 +163,9 @@ class SequenceReconstruction:
         return joined.withColumn("error", F.greatest(F.lit(0.0), left) / size).drop(
             "_d", "directions", "centre")
 
-    def score(self, features: DataFrame, params: DataFrame) -> DataFrame:
+    def score(self, features: DataFrame, params: DataFrame | None) -> DataFrame:
+        if params is None:
+            return features.withColumn("sequence_score", F.lit(0.0))
         ranges = params.drop("centre", "directions", "threshold")
         rows = self._scaled(self._numbers(features), ranges)
         errors = self._errors(self._sequences(rows), params.select(
@@ -208,19 +212,19 @@ def to_anomalies(scored: DataFrame, detected_at: Column) -> DataFrame:
 
 def train(features: DataFrame, detector: Detector, root: str | None = None,
           force: bool = False) -> DataFrame | None:
-    """Parameters of a detector: stored ones are reused, missing groups are fitted."""
+    """Parameters of a detector: stored ones are reused, missing groups are fitted.
+
+    `force` fits the given groups anew; those of other groups stay stored.
+    """
     if root is None:
         return detector.fit(features)
     spark = features.sparkSession
-    known = None if force else tables.load_params(spark, root, detector.name)
+    known = tables.load_params(spark, root, detector.name)
     groups = tables.groups_to_train(features.select(*GROUP).distinct(), known, GROUP, force)
     fresh = detector.fit(features.join(groups, GROUP, "left_semi"))
     if fresh is None:
         return None
-    merged = fresh if known is None else known.unionByName(fresh)
-    from costlens.session import materialize
-    tables.save_params(materialize(merged, f"fit-{detector.name}"), root, detector.name)
-    return tables.load_params(spark, root, detector.name)
+    return tables.merge_params(spark, root, detector.name, fresh, GROUP)
 
 
 def detect(features: DataFrame, detectors: list[Detector],

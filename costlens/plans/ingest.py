@@ -2,22 +2,44 @@
 
 from __future__ import annotations
 
+import time
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
-from costlens import constants as C
+from costlens import constants as C, session
 from costlens.functions import calendar as cal, identity
 from costlens.operators import filters as flt, rollup, tables
-from costlens.plans.normalise import normalise
+from costlens.plans.normalise import accepted_and_rejected, normalise
 from costlens.sources.billing import Source
 
 
+def rejects(raw: DataFrame) -> DataFrame:
+    """Rows that cannot be normalised, whole, with the reason, in the rejects schema.
+
+    The date is that of ingestion, or a fixed one where it does not parse, so that a
+    repeated load finds the rows it stored before.
+    """
+    _, bad = accepted_and_rejected(raw)
+    row = F.to_json(F.struct(*raw.columns), {"ignoreNullFields": "false"})
+    return bad.select(
+        identity.row_id(F.col("reject_reason"), row).alias("reject_id"),
+        F.coalesce(F.col("ingested_at").cast("date"), F.lit("1970-01-01").cast("date"))
+        .alias("reject_date"), "reject_reason", "cloud_provider", "record_id", row.alias("raw_row"))
+
+
+def store(raw: DataFrame, root: str) -> dict[str, int]:
+    """Insert accepted rows that are new and keep the rejected ones; counts of both."""
+    counts = tables.insert_if_absent(normalise(raw), root, "billing_records", unique=True)
+    kept = tables.insert_if_absent(rejects(raw), root, "rejects")
+    return counts | {"errors": kept["total"]}
+
+
 def load(raw: DataFrame, root: str, start, end) -> dict[str, int]:
     """One load of raw rows of any number of providers."""
     spark = raw.sparkSession
-    counts = tables.insert_if_absent(normalise(raw), root, "billing_records", unique=True)
+    counts = store(raw, root)
     billing = tables.scan(spark, root, "billing_records", start, end)
     tables.merge(rollup.daily_rollup(billing, start, end), root, "daily_aggregates")
     return counts
@@ -26,11 +48,12 @@ def load(raw: DataFrame, root: str, start, end) -> dict[str, int]:
 def load_provider(spark: SparkSession, source: Source, root: str, start, end,
                   run_at: Column) -> DataFrame:
     """Load one source and append its audit row; a failure becomes the row's status."""
+    began = time.monotonic()
     try:
         counts, status, error = load(source.read(spark, start, end), root, start, end), \
             "success", None
     except Exception as problem:  # noqa: BLE001  one provider must not stop the others
-        counts, status, error = {"inserted": 0, "skipped": 0}, "error", str(problem)[:500]
+        counts, status, error = {"inserted": 0, "skipped": 0, "errors": 0}, "error", str(problem)
     row = spark.range(1).select(
         identity.row_id(F.lit(source.cloud_provider), F.lit(str(start)), F.lit(str(end)),
                         run_at).alias("log_id"),
@@ -39,7 +62,8 @@ def load_provider(spark: SparkSession, source: Source, root: str, start, end,
         F.lit(counts["skipped"]).alias("records_skipped"),
         F.lit(str(start)).cast("date").alias("date_range_start"),
         F.lit(str(end)).cast("date").alias("date_range_end"),
-        F.lit(None).cast("double").alias("duration_seconds"), F.lit(status).alias("status"),
+        F.lit(counts["errors"]).alias("error_count"),
+        F.lit(time.monotonic() - began).alias("duration_seconds"), F.lit(status).alias("status"),
         F.lit(error).cast("string").alias("error_message"))
     tables.log_run(spark, root, row)
     return row
@@ -79,12 +103,19 @@ def next_starts(state: DataFrame, fallback: str = C.INGESTION_START) -> DataFram
                                          F.lit(fallback).cast("date")).alias("next_start"))
 
 
+def day_before(as_of) -> date:
+    return date.fromisoformat(str(as_of)) - timedelta(days=1)
+
+
 def pending(raw: DataFrame, state: DataFrame, as_of, fallback: str = C.INGESTION_START
             ) -> DataFrame:
-    """Raw rows after each provider's mark, up to the day before `as_of`."""
-    until = date.fromisoformat(str(as_of)) - timedelta(days=1)
+    """Raw rows after each provider's mark, up to the day before `as_of`.
+
+    A date that does not parse is never pending; a full load rejects it.
+    """
+    until = day_before(as_of)
     marks = next_starts(state, fallback)
-    day = F.col("usage_date").cast("date")
+    day = F.col("usage_date").try_cast("date")
     return (raw.join(F.broadcast(marks), "cloud_provider")
             .where((day >= F.col("next_start")) & (day <= F.lit(until))).drop("next_start"))
 
@@ -106,32 +137,50 @@ def read_state(spark: SparkSession, root: str) -> DataFrame:
     return versions.where(F.col("version") == last).where("cloud_provider <> ''").drop("version")
 
 
-def write_state(state: DataFrame, root: str, version: int) -> None:
-    """Append a version; a blank row marks a version that holds no provider."""
+def write_state(state: DataFrame, root: str) -> None:
+    """Append the version after the newest; a blank row marks one that holds no provider."""
+    path = tables.path(root, "ingestion_state")
+    try:
+        last = state.sparkSession.read.schema("version bigint").parquet(path).agg(
+            F.max("version").alias("v")).first()["v"]
+    except AnalysisException:
+        last = None
+    version = 0 if last is None else last + 1
     marker = state.sparkSession.range(1).select(
         F.lit("").alias("cloud_provider"), F.lit(None).cast("date").alias("last_ingested_date"),
         F.lit(0).cast("bigint").alias("total_records"))
     (state.select(*marker.columns).unionByName(marker).withColumn("version", F.lit(version))
-     .write.mode("append").parquet(tables.path(root, "ingestion_state")))
+     .coalesce(1).write.mode("append").parquet(path))
+
+
+def reset_stored(spark: SparkSession, root: str, cloud: str | None = None) -> DataFrame:
+    """Forget one provider's mark, or all, in the stored state; returns what is left."""
+    write_state(session.materialize(reset(read_state(spark, root), cloud), "ingest-state"), root)
+    return read_state(spark, root)
 
 
 def run_incremental(spark: SparkSession, source: Source, root: str, as_of,
                     dry_run: bool = False) -> DataFrame:
-    """Load what each provider has after its mark; returns the loaded range and count."""
+    """Load what each provider has after its mark; returns the loaded range and count.
+
+    The earliest mark and the day before `as_of` bound the source's scan; the pending
+    rows are staged once and serve the counts and the load.
+    """
     state = read_state(spark, root)
-    rows = pending(source.read(spark), state, as_of)
+    first = next_starts(state).agg(F.min("next_start").alias("d")).first()["d"]
+    rows = pending(source.read(spark, first, day_before(as_of)), state, as_of)
+    if not dry_run:
+        rows = session.materialize(rows, "ingest-pending")
+    day = F.col("usage_date").try_cast("date")
     loaded = rows.groupBy("cloud_provider").agg(
-        F.max(F.col("usage_date").cast("date")).alias("last_date"),
-        F.min(F.col("usage_date").cast("date")).alias("first_date"),
+        F.max(day).alias("last_date"), F.min(day).alias("first_date"),
         F.count(F.lit(1)).alias("records"))
     if dry_run:
         return loaded
-    from costlens.session import materialize
-    done = materialize(loaded, "ingest-loaded")
+    done = session.materialize(loaded, "ingest-loaded")
     bounds = done.agg(F.min("first_date").alias("a"), F.max("last_date").alias("b"),
                       F.count(F.lit(1)).alias("n")).first()
     if bounds["n"]:
         load(rows, root, bounds["a"], bounds["b"])
-        version = date.fromisoformat(str(as_of)).toordinal()
-        write_state(state_after(state, done), root, version)
+        write_state(session.materialize(state_after(state, done), "ingest-state"), root)
     return done

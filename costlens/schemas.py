@@ -54,10 +54,14 @@ DAILY = _struct("""
 
 INGESTION_LOG = _struct("""
     log_id string not null, run_at timestamp not null, cloud_provider string not null,
-    records_inserted bigint not null, records_skipped bigint not null,
+    records_inserted bigint not null, records_skipped bigint not null, error_count bigint,
     date_range_start date not null, date_range_end date not null, duration_seconds double,
     status string not null, error_message string""")
 
+REJECTS = _struct("""
+    reject_id string not null, reject_date date not null, reject_reason string not null,
+    cloud_provider string, record_id string, raw_row string not null""")
+
 FEATURES = _struct("""
     feature_date date not null, cloud_provider string not null, service_category string not null,
     account_id string not null, environment string, team string,
@@ -112,6 +116,7 @@ TABLES = {
     "billing_records": (BILLING, ["usage_date", "fingerprint"], "usage_date"),
     "daily_aggregates": (DAILY, DAILY_KEY, "agg_date"),
     "ingestion_log": (INGESTION_LOG, ["log_id"], None),
+    "rejects": (REJECTS, ["reject_date", "reject_id"], "reject_date"),
     "spend_features": (FEATURES, FEATURE_KEY, "feature_date"),
     "anomalies": (ANOMALIES, ["anomaly_id"], "usage_date"),
     "forecasts": (FORECASTS, ["cloud_provider", "service", "horizon_days", "forecast_date",

@@ -38,17 +38,23 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only a local master, where driver and executors are one process, may fall
-    back to a folder of its own.
+    The setting is demanded; `local_default` gives a one-process session its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    own = tempfile.mkdtemp(prefix="costlens-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return named
+
+
+def local_default(spark: SparkSession) -> SparkSession:
+    """Where the setting is unset and driver and executors are one process, a new folder.
+
+    For tests, benchmarks and the registered queries on one machine.
+    """
+    if not spark.conf.get("spark.checkpoint.dir", None) \
+            and spark.sparkContext.master.startswith("local["):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="costlens-"))
+    return spark
 
 
 def run_path(spark: SparkSession, label: str) -> str:

@@ -88,6 +88,8 @@ class ParquetSource:
     def read(self, spark: SparkSession, start=None, end=None, cloud=None,
              account=None) -> DataFrame:
         rows = read_billing(spark, self.root, cloud, start, end)
+        if not flt.is_given(account):
+            return rows
         return flt.equals(rows, account_id=account).orderBy("usage_date", "record_id")
 
     def read_cloud(self, spark: SparkSession, cloud: str, start=None, end=None) -> DataFrame:
@@ -120,7 +122,7 @@ def in_windows(rows: DataFrame, windows: DataFrame) -> DataFrame:
     """Rows with the window they fall in; the window number is arithmetic on the
     date, so this is an equi join however many windows there are."""
     first = windows.agg(F.min("window_start")).scalar()
-    day = F.col("usage_date").cast("date")
+    day = F.col("usage_date").try_cast("date")
     number = F.floor(F.datediff(day, first) / (C.FETCH_WINDOW_DAYS + 1)).cast("int")
     return rows.withColumn("window_no", number).join(windows, "window_no")
 

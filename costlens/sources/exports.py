@@ -29,7 +29,7 @@ def from_aws(df: DataFrame) -> DataFrame:
     tag_map = F.to_json(F.struct(*[F.col(c).alias(c.removeprefix("resource_tags_user_"))
                                    for c in tags])) if tags else F.lit("{}")
     cost, cur = F.col("line_item_unblended_cost"), F.col("line_item_currency_code")
-    day = F.to_date("line_item_usage_start_date")
+    day = F.col("line_item_usage_start_date").try_cast("timestamp").cast("date")
     return _raw(df, {
         "record_id": F.coalesce(F.col("identity_line_item_id"),
                                 row_id(F.col("line_item_resource_id"), day, cost)),
@@ -44,7 +44,7 @@ def from_aws(df: DataFrame) -> DataFrame:
 def from_azure(df: DataFrame) -> DataFrame:
     """Cost details export: PascalCase columns, tags as a JSON object without braces."""
     cost, cur = F.col("CostInBillingCurrency"), F.col("BillingCurrency")
-    day = F.to_date("Date")
+    day = F.col("Date").try_cast("date")
     text = F.trim("Tags")
     tags = (F.when(text.isNull() | (text == ""), "{}").when(text.startswith("{"), text)
             .otherwise(F.concat(F.lit("{"), text, F.lit("}"))))
@@ -62,9 +62,13 @@ def from_azure(df: DataFrame) -> DataFrame:
 def from_gcp(df: DataFrame) -> DataFrame:
     """Billing export: nested structs; labels are an array of key and value."""
     cost, cur = F.col("cost"), F.col("currency")
-    day = F.to_date("usage_start_time")
+    day = F.col("usage_start_time").try_cast("timestamp").cast("date")
+    keyed = F.filter("labels", lambda x: x["key"].isNotNull())
+    # of a repeated key the last value holds
+    last = F.filter(keyed, lambda x, i: ~F.exists(
+        F.slice(keyed, i + 2, F.size(keyed)), lambda y: y["key"] == x["key"]))
     labels = F.to_json(F.map_from_entries(F.transform(
-        "labels", lambda x: F.struct(x["key"], x["value"]))))
+        last, lambda x: F.struct(x["key"], x["value"]))))
     return _raw(df, {
         "record_id": row_id(F.col("project.id"), F.col("service.description"),
                             F.col("usage_start_time"), cost),

@@ -16,12 +16,13 @@ FEATURE_VALUES = [
 
 
 def billing_records(billing: DataFrame, start, end, cloud=None, service=None, account=None,
-                    environment=None, team=None, limit: int = 10_000) -> DataFrame:
-    """Newest rows in a range under up to five equality filters."""
+                    environment=None, team=None, limit: int | None = None) -> DataFrame:
+    """Rows in a range under up to five equality filters, newest first."""
     rows = flt.equals(flt.date_range(billing, "usage_date", start, end), cloud_provider=cloud,
                       service_category=service, account_id=account, environment=environment,
                       team=team)
-    return rows.orderBy(F.col("usage_date").desc(), "record_id").limit(limit)
+    rows = rows.orderBy(F.col("usage_date").desc(), "record_id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def daily_with_warmup(daily: DataFrame, start, end, cloud=None, days: int = 30) -> DataFrame:
@@ -56,11 +57,12 @@ def features_for_group(table: DataFrame, cloud: str, service: str, start, end) -
 
 
 def anomalies(table: DataFrame, cloud=None, service=None, start=None, end=None,
-              min_severity=None, limit: int = 1000) -> DataFrame:
+              min_severity=None, limit: int | None = None) -> DataFrame:
     rows = flt.equals(flt.date_range(table, "usage_date", start, end), cloud_provider=cloud,
                       service=service)
-    return flt.min_severity(rows, min_severity).orderBy(
-        F.col("usage_date").desc(), F.col("ensemble_score").desc(), "anomaly_id").limit(limit)
+    rows = flt.min_severity(rows, min_severity).orderBy(
+        F.col("usage_date").desc(), F.col("ensemble_score").desc(), "anomaly_id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def anomaly_list(table: DataFrame, start=None, end=None, clouds=None, severities=None,

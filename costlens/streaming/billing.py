@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from costlens.functions import calendar as cal
-from costlens.operators import filters as flt, series, tables
+from costlens.operators import series, tables
+from costlens.operators.rollup import daily_rollup
 from costlens.plans import alerts as al
-from costlens.plans.normalise import accepted_and_rejected, enrich, normalise, with_fingerprint
+from costlens.plans.ingest import store
+from costlens.plans.normalise import accepted_and_rejected, enrich, with_fingerprint
 from costlens.schemas import DIMENSIONS, RAW_BILLING
+from costlens.session import materialize
 
 LATENESS = "8 days"
 
@@ -31,44 +34,46 @@ def _start(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
 
 def ingest(raw: DataFrame, root: str, checkpoint: str, available_now: bool = True
            ) -> StreamingQuery:
-    """Normalise each micro-batch and insert what is new.
+    """Normalise each micro-batch, insert what is new and keep what is rejected.
 
     Insert-if-absent makes a replayed batch a no-op.
     """
     def write(batch: DataFrame, _: int) -> None:
-        tables.insert_if_absent(normalise(batch), root, "billing_records", unique=True)
+        store(materialize(batch, "stream-batch"), root)
     return _start(raw.writeStream.foreachBatch(write), checkpoint, available_now)
 
 
 def deduplicated(raw: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Stateful dedup: one row per fingerprint within the lateness bound."""
+    """Stateful dedup: one row per fingerprint among those that arrive within the bound.
+
+    The bound is on arrival, the time of the micro-batch, which only moves forward:
+    history that is read late is never dropped, whatever its dates. A copy that
+    arrives after the bound is for the target's key to refuse, as `ingest` does.
+    """
     good, _ = accepted_and_rejected(raw)
-    rows = with_fingerprint(good).withColumn("usage_ts", F.col("usage_date").cast("timestamp"))
-    once = rows.withWatermark("usage_ts", lateness).dropDuplicatesWithinWatermark(["fingerprint"])
+    rows = with_fingerprint(good).withColumn("arrived", F.current_timestamp())
+    once = rows.withWatermark("arrived", lateness).dropDuplicatesWithinWatermark(["fingerprint"])
     return enrich(once)
 
 
-def daily_totals(rows: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Tumbling daily totals per five-dimension key, open to late rows."""
-    stamped = flt.unknown_dimensions(rows, "environment", "team").withColumn(
-        "usage_ts", F.col("usage_date").cast("timestamp"))
-    return (stamped.withWatermark("usage_ts", lateness)
-            .groupBy(F.window("usage_ts", "1 day").alias("w"), *DIMENSIONS)
-            .agg(F.sum("cost_usd").alias("total_cost_usd"),
-                 F.count(F.lit(1)).alias("record_count"),
-                 F.avg("cost_usd").alias("avg_cost_usd"))
-            .withColumn("agg_date", F.col("w.start").cast("date")).drop("w"))
-
-
 def rollup(raw: DataFrame, root: str, checkpoint: str, available_now: bool = True
            ) -> StreamingQuery:
-    """Keep the daily rollup current: changed windows replace their rows."""
+    """Store each micro-batch and roll up its days anew from the stored billing rows.
+
+    Duplicates, whichever batch brings them, are refused by the stored keys, so the
+    rollup is that of the batch job, in any order of files.
+    """
     def write(batch: DataFrame, _: int) -> None:
-        tables.merge(batch, root, "daily_aggregates")
-    good, _ = accepted_and_rejected(raw)
-    totals = daily_totals(enrich(with_fingerprint(good)))
-    return _start(totals.writeStream.outputMode("update").foreachBatch(write), checkpoint,
-                  available_now)
+        rows = materialize(batch, "stream-batch")
+        store(rows, root)
+        days = rows.select(F.col("usage_date").try_cast("date").alias("d")).where(
+            F.col("d").isNotNull()).distinct()
+        span = days.agg(F.min("d").alias("a"), F.max("d").alias("b")).first()
+        if span["a"] is not None:
+            stored = tables.scan(batch.sparkSession, root, "billing_records", span["a"], span["b"])
+            touched = stored.join(days, F.col("usage_date") == F.col("d"), "left_semi")
+            tables.merge(daily_rollup(touched), root, "daily_aggregates")
+    return _start(raw.writeStream.foreachBatch(write), checkpoint, available_now)
 
 
 def spike_alerts(daily: DataFrame, baseline: DataFrame, root: str, checkpoint: str,
@@ -87,8 +92,11 @@ def spike_alerts(daily: DataFrame, baseline: DataFrame, root: str, checkpoint: s
             "pct_change_1d": cal.finite(series.change(F.col("total_cost_usd"),
                                                       F.col("_previous"))),
             "rolling_mean_7d": F.lit(None).cast("double")})
-        found = al.from_spikes(rows, created_at, threshold)
-        stored = tables.scan(batch.sparkSession, root, "alerts")
+        found = materialize(al.from_spikes(rows, created_at, threshold), "stream-alerts")
+        span = found.agg(F.min("alert_date").alias("a"), F.max("alert_date").alias("b")).first()
+        if span["a"] is None:
+            return
+        stored = tables.scan(batch.sparkSession, root, "alerts", span["a"], span["b"])
         tables.insert_if_absent(al.new_alerts(found, stored), root, "alerts", unique=True)
 
     return _start(daily.writeStream.foreachBatch(write), checkpoint, available_now)

@@ -14,7 +14,7 @@ ORACLE: dict[str, str] = {}
 def entry(name: str, sql: str | None = None):
     def register(fn):
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            session.configure(spark)
+            session.configure(session.local_default(spark))
             return plain(fn(Bed(spark, sf_dir)))
         QUERIES[name] = query
         if sql is not None:

@@ -33,7 +33,7 @@ def _stored(b, label: str) -> str:
 @entry("ml2_isolation_forest")
 def _(b):
     rows = session.materialize(b.features, "features")
-    forest = detect.IsolationForest(trees=100)
+    forest = detect.IsolationForest()
     params = session.materialize(forest.fit(rows), "forest")
     scored = forest.score(rows, params)
     return scored.select(*FEATURE_KEY, "total_cost_usd", "z_score_30d", "iforest_score")
@@ -42,7 +42,7 @@ def _(b):
 @entry("ml3_sequence_reconstruction")
 def _(b):
     rows = session.materialize(b.features, "features")
-    detector = detect.SequenceReconstruction(components=6)
+    detector = detect.SequenceReconstruction()
     params = session.materialize(detector.fit(rows), "sequence")
     return detector.score(rows, params).select(*FEATURE_KEY, "total_cost_usd", "sequence_score")
 
@@ -194,13 +194,13 @@ def _(b):
 def _(b):
     """Parameters of one cloud are stored, the other groups fitted later, none twice."""
     root, rows = b.root("ml12"), session.materialize(b.features, "features")
-    detector = detect.IsolationForest(trees=20)
+    detector = detect.IsolationForest()
     detect.train(rows.where("cloud_provider = 'aws'"), detector, root)
     params = detect.train(rows, detector, root)
     scored = detect.combine(detector.score(detect.ZScore().score(rows), params))
     trees = params.groupBy(*at.GROUP).agg(F.count(F.lit(1)).alias("trees"))
     return (scored.groupBy(*at.GROUP).agg(F.count(F.lit(1)).alias("n"))
-            .join(trees.where("trees = 20").drop("trees"), at.GROUP))
+            .join(trees.where(f"trees = {detector.trees}").drop("trees"), at.GROUP))
 
 
 # --- ingestion -------------------------------------------------------------------------

@@ -12,7 +12,6 @@ from costlens.schemas import FEATURE_KEY, RAW_BILLING
 from entries.base import entry, f32, rounded, s32
 from entries.ctes import DIMS, sql
 
-IN_RANGE = "usage_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-28'"
 
 for _n, _c in (("ag10_by_severity", "severity"), ("ag11_by_cloud", "cloud_provider"),
                ("ag12_by_method", "detection_method")):
@@ -21,14 +20,13 @@ for _n, _c in (("ag10_by_severity", "severity"), ("ag11_by_cloud", "cloud_provid
         return reports.count_by(b.anomalies, column)
 
 
-@entry("ag13_anomaly_summary", sql(f"""
-    SELECT 'by_severity' AS metric, severity AS key, count(*) AS n FROM anom WHERE {IN_RANGE}
-    GROUP BY ALL UNION ALL SELECT 'by_cloud', cloud_provider, count(*) FROM anom WHERE {IN_RANGE}
+@entry("ag13_anomaly_summary", sql("""
+    SELECT 'by_severity' AS metric, severity AS key, count(*) AS n FROM anom
+    GROUP BY ALL UNION ALL SELECT 'by_cloud', cloud_provider, count(*) FROM anom
     GROUP BY ALL UNION ALL SELECT 'by_type', detection_method, count(*) FROM anom
-    WHERE {IN_RANGE} GROUP BY ALL UNION ALL SELECT 'total', '', count(*) FROM anom
-    WHERE {IN_RANGE}""", "anom"))
+    GROUP BY ALL UNION ALL SELECT 'total', '', count(*) FROM anom""", "anom"))
 def _(b):
-    row = reports.anomaly_summary(b.anomalies, "2024-01-05", "2024-01-28")
+    row = reports.anomaly_summary(b.anomalies)
     maps = [row.select(F.lit(m).alias("metric"), F.explode(m).alias("key", "n"))
             for m in ("by_severity", "by_cloud", "by_type")]
     total = row.select(F.lit("total").alias("metric"), F.lit("").alias("key"),
@@ -47,11 +45,11 @@ def _(b):
 
 
 @entry("ag15_unresolved_by_severity", sql("""
-    SELECT s AS severity, (SELECT count(*) FROM alert WHERE severity = s AND NOT is_resolved
-      AND cloud_provider = 'aws' AND alert_date >= DATE '2024-01-10') AS unresolved
+    SELECT s AS severity, (SELECT count(*) FROM alert WHERE severity = s AND NOT is_resolved)
+      AS unresolved
     FROM (SELECT unnest(['low', 'medium', 'high', 'critical']) AS s)""", "alert"))
 def _(b):
-    return reports.unresolved_by_severity(b.alerts, start="2024-01-10", cloud="aws")
+    return reports.unresolved_by_severity(b.alerts)
 
 
 @entry("ag17_projected_by_cloud", sql("""
@@ -417,8 +415,14 @@ def _(b):
 # --- data quality ----------------------------------------------------------------------
 
 @entry("dq_row_checks", sql("""
-    SELECT 'schema' AS "check", 0 AS failed_rows
-    UNION ALL SELECT 'cost_usable', 0
+    SELECT 'schema' AS "check", count(*) FILTER (WHERE record_id IS NULL OR cloud_provider IS NULL
+      OR account_id IS NULL OR service IS NULL OR usage_date IS NULL OR cost_usd IS NULL OR
+      original_cost IS NULL OR original_currency IS NULL OR exchange_rate IS NULL OR tags IS NULL
+      OR ingested_at IS NULL) AS failed_rows FROM raw
+    UNION ALL SELECT 'cost_usable', count(*) FILTER (WHERE cost_usd IS NULL OR NOT
+      isfinite(cost_usd)) FROM raw
+    UNION ALL SELECT 'date_parses', count(*) FILTER (WHERE try_cast(usage_date AS DATE) IS NULL OR
+      try_cast(ingested_at AS TIMESTAMP) IS NULL) FROM raw
     UNION ALL SELECT 'usage_before_ingest', count(*) FILTER (WHERE usage_date > ingested_at[1:10])
       FROM raw
     UNION ALL SELECT 'currency_consistent', count(*) FILTER (WHERE
@@ -427,9 +431,10 @@ def _(b):
       CAST(ingested_at[1:10] AS DATE) - CAST(usage_date AS DATE) <= 2) FROM raw
     UNION ALL SELECT 'credit_tagged', count(*) FILTER (WHERE cost_usd < 0 AND
       tags NOT LIKE '%credit_type%') FROM raw
-    UNION ALL SELECT 'anomaly_typed', count(*) FILTER (WHERE is_anomaly AND anomaly_type = '')
-      FROM raw
-    UNION ALL SELECT 'known_provider', 0""", "raw"))
+    UNION ALL SELECT 'anomaly_typed', count(*) FILTER (WHERE is_anomaly AND
+      trim(coalesce(anomaly_type, '')) = '') FROM raw
+    UNION ALL SELECT 'known_provider', count(*) FILTER (WHERE cloud_provider NOT IN ('aws',
+      'azure', 'gcp')) FROM raw""", "raw"))
 def _(b):
     """Schema, cost, date, currency, lag, credit, label and provider checks in one pass."""
     rows = b.raw_billing
@@ -456,7 +461,7 @@ def _(b):
 @entry("dq10_conservation", sql("""
     SELECT 'conservation' AS "check", count(*) - count(*) AS failed_rows FROM raw""", "raw"))
 def _(b):
-    return dq.conservation(dq.fingerprinted(b.raw_billing))
+    return dq.conservation(b.raw_billing)
 
 
 @entry("dq11_known_categories", sql("""

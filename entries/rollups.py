@@ -300,11 +300,10 @@ def _(b):
 
 @entry("tk8_multi_key_order", sql("""
     SELECT record_id, environment, cost_usd FROM bill
-    ORDER BY environment ASC NULLS LAST, cost_usd DESC NULLS FIRST, record_id LIMIT 500""",
-    "bill"))
+    ORDER BY environment ASC NULLS LAST, cost_usd DESC NULLS FIRST, record_id""", "bill"))
 def _(b):
     return paging.multi_key_order(b.billing, ("environment", True), ("cost_usd", False),
-                                  ("record_id", True)).limit(500).select(
+                                  ("record_id", True)).select(
         "record_id", "environment", "cost_usd")
 
 

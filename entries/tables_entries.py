@@ -141,7 +141,7 @@ def _(b):
       AND environment = 'prod' ORDER BY bill.usage_date DESC, record_id LIMIT 10000""", "bill"))
 def _(b):
     return scans.billing_records(b.billing, "1996-01-01", "1999-12-31", cloud="aws",
-                                 environment="prod").select("record_id", "usage_date", "cost_usd")
+                                 environment="prod", limit=10_000).select("record_id", "usage_date", "cost_usd")
 
 
 @entry("sc15_anomaly_scan", sql("""
@@ -149,7 +149,8 @@ def _(b):
     WHERE service = 'compute' AND ensemble_score >= 0.5 ORDER BY anom.usage_date DESC,
       ensemble_score DESC, anomaly_id LIMIT 1000""", "anom"))
 def _(b):
-    return scans.anomalies(b.anomalies, service="compute", min_severity="medium").select(
+    return scans.anomalies(b.anomalies, service="compute", min_severity="medium",
+                           limit=1000).select(
         "anomaly_id", "severity", "usage_date")
 
 
@@ -409,14 +410,18 @@ def _(b):
         "record_id", "anomaly_flag", "anomaly_severity")
 
 
-@entry("sk9_update_flags", sql(MARKED, "found", "bill", fl=FLAGGED))
-def _(b):
-    root = b.root("sk9")
+def _billing_stored(b, root: str) -> None:
     full = b.billing.withColumns({
         "service_name_raw": F.col("service_category"),
         "ingested_at": F.col("usage_date").cast("timestamp"), "cost_original": F.col("cost_usd"),
         "currency_original": F.lit("USD")})
     tables.insert_if_absent(full, root, "billing_records")
+
+
+@entry("sk9_update_flags", sql(MARKED, "found", "bill", fl=FLAGGED))
+def _(b):
+    root = b.root("sk9")
+    _billing_stored(b, root)
     tables.update_flags(root, _flagged(b))
     return tables.scan(b.spark, root, "billing_records").select(
         "record_id", "anomaly_flag", "anomaly_severity")
@@ -432,8 +437,11 @@ def _(b):
     by_record = rows.where("service_category = '1-URGENT'").select(
         F.col("record_id").alias("identifier"))
     ids = by_print.unionByName(by_record).withColumn("severity", F.lit("critical"))
-    return tables.flag_by_identifier(rows, ids).select("record_id", "anomaly_flag",
-                                                       "anomaly_severity")
+    root = b.root("sk10")
+    _billing_stored(b, root)
+    tables.update_flags_by_identifier(root, ids)
+    return tables.scan(b.spark, root, "billing_records").select(
+        "record_id", "anomaly_flag", "anomaly_severity")
 
 
 @entry("jn5_semi_on_either", sql("""
@@ -456,8 +464,13 @@ def _(b):
     rows = b.alerts
     todo = rows.where("severity = 'critical'").select(
         "alert_id", F.to_timestamp(F.lit("2024-03-01 00:00:00")).alias("resolved_at"))
-    return tables.resolve(rows, todo.unionByName(todo)).select(
-        "alert_id", "is_resolved", "changed", "resolved_at")
+    root = b.root("sk11")
+    tables.insert_if_absent(rows, root, "alerts")
+    tables.resolve_stored(root, todo.unionByName(todo))
+    stored = tables.scan(b.spark, root, "alerts").select("alert_id", "is_resolved", "resolved_at")
+    changed = tables.resolve(rows, todo).select("alert_id", "changed")
+    return stored.join(changed, "alert_id").select("alert_id", "is_resolved", "changed",
+                                                   "resolved_at")
 
 
 @entry("sk12_dataset_writer", sql("""

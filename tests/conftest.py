@@ -16,7 +16,7 @@ def spark():
              .config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    return session.configure(spark)
+    return session.configure(session.local_default(spark))
 
 
 @pytest.fixture

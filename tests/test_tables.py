@@ -101,7 +101,7 @@ def test_flags_take_the_highest_severity(spark, root):
 
 
 def test_bootstrap_creates_once(spark, root):
-    assert len(tables.bootstrap(spark, root)) == 9
+    assert len(tables.bootstrap(spark, root)) == 10
     assert tables.bootstrap(spark, root) == []
     assert tables.scan(spark, root, "alerts").isEmpty()
 
