@@ -1,7 +1,7 @@
 """Terms of texts for small text models: choosing a vocabulary and counting it.
 
-A term is a lower-cased run of letters, or its first four letters and a star, so
-that word families count together. Words are cut at white space and each distinct
+A term is a lower-cased run of letters, or its first four letters and a
+star, so that word families count together. Words are cut at white space and each distinct
 one is looked at once per batch.
 """
 
@@ -19,15 +19,14 @@ from costlens.llm.encode import sliced
 from costlens.llm.tables import only, stage
 
 LETTERS = re.compile(r"[^\W\d_]+")
-STEM = 4
+STEMS = (4,)
 
 
 def terms_of(word: str) -> list[str]:
     out = []
     for run in LETTERS.findall(word):
         out.append(run)
-        if len(run) > STEM:
-            out.append(run[:STEM] + "*")
+        out += [run[:k] + "*" for k in STEMS if len(run) > k]
     return out
 
 
@@ -128,10 +127,12 @@ def document_counts(rows: DataFrame, label: str) -> DataFrame:
 
 
 def vocabulary(rows: DataFrame, label: str, sizes: dict[str, int], limit: int,
-               least: int = 3, significance: float = 24.0) -> list[str]:
+               least: int = 3, significance: float = 15.0, lift: float = 3.0) -> list[str]:
     """Up to `limit` terms most tied to the classes, by the G² of presence.
 
-    `rows` is a bounded sample with `sizes` rows of each class.
+    A term must be `lift` times as frequent in some class as in another: topic and
+    language words that lean a little would drown the telling ones. `rows` is a
+    bounded sample with `sizes` rows of each class.
     """
     total = sum(sizes.values())
     known = document_counts(rows, label)
@@ -145,7 +146,9 @@ def vocabulary(rows: DataFrame, label: str, sizes: dict[str, int], limit: int,
     g2 = sum((part(F.col(f"`{c}`"), F.col("_all") * n / total)
               + part(n - F.col(f"`{c}`"), (total - F.col("_all")) * n / total)
               for c, n in sizes.items()), F.lit(0.0)) * 2
-    best = (wide.select("term", g2.alias("g2")).where(F.col("g2") >= significance)
+    rates = [(F.col(f"`{c}`") + 0.5) / (n + 1) for c, n in sizes.items()]
+    tells = F.greatest(*rates) >= lift * F.least(*rates) if len(rates) > 1 else F.lit(True)
+    best = (wide.where(tells).select("term", g2.alias("g2")).where(F.col("g2") >= significance)
             .orderBy(F.desc("g2"), "term").limit(limit))
     return [r["term"] for r in best.toLocalIterator()]
 
