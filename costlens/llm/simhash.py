@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from costlens.llm.components import components
 from costlens.llm.encode import sliced
-from costlens.llm.tables import only, prepare, stage
+from costlens.llm.tables import dealt, only, prepare, stage
 
 HALF, MASK = 32, (1 << 32) - 1
 #: Signed 64-bit words with one bit set.
@@ -77,7 +77,7 @@ def ball(x: Column, bits: list[int]) -> Column:
 
 def close_links(fps: DataFrame) -> DataFrame:
     """Step 1: (a, b) links that connect all fingerprints at most two bits apart."""
-    near = fps.select("fp", F.explode(ball(F.col("fp"), SINGLE)).alias("point"))
+    near = dealt(fps, "fp").select("fp", F.explode(ball(F.col("fp"), SINGLE)).alias("point"))
     groups = near.groupBy("point").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     # a ball's members and its centre: the smallest links to each of the others
     return (groups.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
@@ -93,7 +93,7 @@ def segment_links(grouped: DataFrame, distance: int) -> DataFrame:
     low, high = fp.bitwiseAND(F.lit(MASK)), F.shiftrightunsigned(fp, HALF)
     halves = F.array(F.struct(F.lit(0).alias("seg"), low.alias("value")),
                      F.struct(F.lit(1).alias("seg"), high.alias("value")))
-    held = grouped.select("fp", "component", "size", F.explode(halves).alias("h")).select(
+    held = dealt(grouped, "fp").select("fp", "component", "size", F.explode(halves).alias("h")).select(
         "fp", "component", "size", "h.seg", "h.value")
     points = held.select("fp", "component", "size", "seg",
                          F.explode(ball(F.col("value"), SINGLE[:HALF])).alias("value"))

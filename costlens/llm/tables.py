@@ -34,6 +34,13 @@ def stage(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows in the session's number of shuffle partitions: a small file's rows that are
+    about to multiply must not stay in the few tasks that read it."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *columns)
+
+
 def spread(df: DataFrame, column: str = "text", target: int = 48 << 20) -> int:
     """Partitions that hold about `target` bytes of a column each."""
     size = df.agg(F.sum(F.octet_length(F.col(column).cast("binary")))).first()[0] or 0
