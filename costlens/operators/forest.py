@@ -1,7 +1,7 @@
 """Isolation forest per group: bounded fit, distributed scoring.
 
-A forest needs only a few hundred rows per tree, so a group of any size is first
-thinned by hash to a fixed pool. Scoring pairs chunks of a group's rows with a
+A tree needs only a few hundred rows; each tree draws its own from all rows of the
+group, by hash. Scoring pairs chunks of a group's rows with a
 copy of its trees, so no task holds a group and nothing is broadcast.
 """
 
@@ -9,31 +9,41 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from costlens import constants as C
 from costlens.operators.dedup import with_group_count
 from costlens.schemas import with_fields
 
-POOL_ROWS = 8192
-TREE_BLOCKS = 2
+#: Trees grown together by one task.
+TREES_PER_TASK = 25
 CHUNK_ROWS = 100_000
 
 
-def training_pool(df: DataFrame, groups: list[str], identity: list[str],
-                  size: int = POOL_ROWS, seed: int = C.FOREST_SEED) -> DataFrame:
-    """Up to `size` rows per group, chosen by hash.
+def draws(df: DataFrame, groups: list[str], identity: list[str], trees: int,
+          size: int = C.FOREST_SUBSAMPLE, seed: int = C.FOREST_SEED) -> DataFrame:
+    """Rows of every tree's subsample: (groups…, other columns, tree), `size` per tree.
 
-    A hash threshold set from the group's row count leaves a little more than
-    `size` rows before anything is ranked.
+    A group's rows are dealt out among as many trees as leaves each at least half as
+    many again as it needs; further deals, with other hashes, serve the rest. Every
+    row can be in any tree, a row is repeated once per deal only, and a tree keeps
+    the rows of smallest hash. A group that is too small to deal gives all its rows
+    to each tree. Nothing but the group's count is needed beforehand.
     """
-    span = float(2 ** 31)
-    u = F.pmod(F.xxhash64(F.lit(seed), *identity), F.lit(2 ** 31)) / F.lit(span)
-    share = F.lit(1.5 * size) / F.col("group_rows")
-    thin = with_group_count(df, groups).withColumn("_u", u).where(F.col("_u") < share)
-    w = W.partitionBy(*groups).orderBy("_u", *identity)
-    return thin.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= size).drop(
-        "_rn", "_u")
+    wide = F.greatest(F.lit(1), F.floor(F.col("group_rows") / F.lit(1.5 * size)).cast("int"))
+
+    def place(deal: Column, salt: int) -> Column:
+        return F.xxhash64(F.lit(seed + salt), deal, *identity)
+
+    deals = F.sequence(F.lit(0), F.ceil(F.lit(trees) / wide).cast("int") - 1)
+    dealt = F.transform(deals, lambda d: F.struct(
+        (d * wide + F.pmod(place(d, 0), wide)).cast("int").alias("tree"), place(d, 1).alias("u")))
+    rows = (with_group_count(df, groups)
+            .withColumn("_draw", F.explode(F.filter(dealt, lambda x: x["tree"] < trees)))
+            .select("*", F.col("_draw.tree").alias("tree"), F.col("_draw.u").alias("_u")))
+    w = W.partitionBy(*groups, "tree").orderBy("_u", *identity)
+    return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= size).drop(
+        "_rn", "_u", "_draw")
 
 
 def average_path(n):
@@ -44,16 +54,15 @@ def average_path(n):
     return np.where(n > 2, out, np.where(n == 2, 1.0, 0.0))
 
 
-def _grow(x: np.ndarray, trees: int, psi: int, depth: int, rng) -> tuple[np.ndarray, ...]:
-    """Trees as heaps, grown together level by level.
+def _grow(rows: np.ndarray, tree: np.ndarray, depth: int, rng) -> tuple[np.ndarray, ...]:
+    """Trees as heaps, grown together level by level, from the rows of each.
 
     Per node: split column (-1 at a leaf), split value, path length at a leaf.
     """
-    size = 2 ** (depth + 1) - 1
+    size, trees = 2 ** (depth + 1) - 1, int(tree.max()) + 1
     column = np.full((trees, size), -1)
     value, path = np.zeros((trees, size)), np.zeros((trees, size))
-    rows = x[np.concatenate([rng.choice(len(x), psi, replace=False) for _ in range(trees)])]
-    tree, node = np.repeat(np.arange(trees), psi), np.zeros(trees * psi, dtype=int)
+    node = np.zeros(len(rows), dtype=int)
     live = np.arange(len(rows))
     for level in range(depth + 1):
         key = tree[live] * size + node[live]
@@ -82,26 +91,24 @@ def fit_forest(df: DataFrame, groups: list[str], columns: list[str], identity: l
                trees: int = C.FOREST_TREES, subsample: int = C.FOREST_SUBSAMPLE,
                min_rows: int = C.MIN_ROWS["iforest"], seed: int = C.FOREST_SEED) -> DataFrame:
     """One row per (group, tree) with the tree's arrays."""
-    pool = training_pool(df, groups, identity, seed=seed).where(F.col("group_rows") >= min_rows)
-    blocks = min(TREE_BLOCKS, trees)
-    pool = pool.select(*groups, *columns,
-                       F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    drawn = draws(df, groups, identity, trees, subsample, seed).where(
+        F.col("group_rows") >= min_rows)
+    drawn = drawn.select(*groups, *columns, "tree", F.floor(
+        F.col("tree") / TREES_PER_TASK).cast("int").alias("block"))
     schema = with_fields(df, groups, "tree int, psi int, split_column array<int>, "
                                      "split_value array<double>, path array<double>")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        block = int(pdf["block"].iloc[0])
-        x = pdf[columns].to_numpy(float)
-        x = x[np.lexsort(x.T[::-1])]
-        psi = min(subsample, len(x))
-        depth = max(1, int(np.ceil(np.log2(psi))))
-        mine = range(block, trees, blocks)
-        grown = _grow(x, len(mine), psi, depth, np.random.default_rng([seed, block]))
+        x, tree = pdf[columns].to_numpy(float), pdf["tree"].to_numpy()
+        order = np.lexsort([*x.T[::-1], tree])
+        names, local, psi = np.unique(tree[order], return_inverse=True, return_counts=True)
+        depth = max(1, int(np.ceil(np.log2(psi.max()))))
+        grown = _grow(x[order], local, depth, np.random.default_rng([seed, int(names[0])]))
         key = list(pdf.loc[pdf.index[0], groups])
-        return pd.DataFrame([[*key, tree, psi, c, v, p] for tree, c, v, p in zip(mine, *grown)],
+        return pd.DataFrame([[*key, t, n, c, v, p] for t, n, c, v, p in zip(names, psi, *grown)],
                             columns=[f.name for f in schema])
 
-    return pool.groupBy(*groups, "block").applyInPandas(build, schema)
+    return drawn.groupBy(*groups, "block").applyInPandas(build, schema)
 
 
 def _scores(x: np.ndarray, model: pd.DataFrame) -> np.ndarray:

@@ -346,15 +346,16 @@ def _(b):
                "q1", "median", "p95")
 
 
-@entry("ml10_contribution_formula", sql(f"""
-    SELECT cloud_provider, service_category, feature, {s32('sum(v)')} AS total FROM contrib
+@entry("ml10_contribution_formula", sql("""
+    SELECT cloud_provider, service_category, feature,
+      CAST(sum(CAST(v AS DECIMAL(20, 6))) AS DOUBLE) AS total FROM contrib
     GROUP BY ALL""", "contrib"))
 def _(b):
     from costlens.sources.testbed import contributions
     rows = contributions(b.features).select(
         "cloud_provider", "service_category", F.explode("shap_values").alias("feature", "v"))
-    return f32(rows.groupBy("cloud_provider", "service_category", "feature").agg(
-        F.sum("v").alias("total")), "total")
+    return rows.groupBy("cloud_provider", "service_category", "feature").agg(
+        F.sum(F.col("v").cast("decimal(20,6)")).cast("double").alias("total"))
 
 
 @entry("fn14_date_series", sql("""

@@ -12,9 +12,12 @@ from entries.ctes import sql
 
 
 def _landing(b) -> str:
-    """The raw view as a folder that a file stream can follow."""
-    path = b.root("stream-landing")
-    b.raw_billing.write.parquet(path)
+    """The raw view as a folder that a file stream can follow: four files, newest days first."""
+    path, rows = b.root("stream-landing"), b.raw_billing
+    edges = ["2024-01-24", "2024-01-16", "2024-01-08", ""]
+    for low, high in zip(edges, ["~", *edges]):
+        part = rows.where((F.col("usage_date") >= low) & (F.col("usage_date") < high))
+        part.coalesce(1).write.mode("append").parquet(path)
     return path
 
 
@@ -32,7 +35,7 @@ def _(b):
 @entry("ss2_stream_dedup", sql("SELECT DISTINCT fingerprint FROM enriched", "enriched"))
 def _(b):
     root = b.root("ss2")
-    rows = st.deduplicated(st.read_raw(b.spark, _landing(b))).select("fingerprint", "usage_date")
+    rows = st.deduplicated(st.read_raw(b.spark, _landing(b), max_files=1)).select("fingerprint", "usage_date")
     st._start(rows.writeStream.format("parquet").option("path", f"{root}/out"),
               f"{root}/_checkpoint", True).awaitTermination()
     return b.spark.read.parquet(f"{root}/out").select("fingerprint")
@@ -41,11 +44,11 @@ def _(b):
 @entry("ss3_stream_rollup", sql(f"""
     SELECT usage_date AS agg_date, cloud_provider, service_category, account_id,
       coalesce(environment, 'unknown') AS environment, coalesce(team, 'unknown') AS team,
-      round(sum(usd), 2) AS total_cost_usd, count(*) AS record_count FROM enriched
-    GROUP BY ALL""", "enriched"))
+      round(sum(usd), 2) AS total_cost_usd, count(*) AS record_count FROM norm
+    GROUP BY ALL""", "norm"))
 def _(b):
     root = b.root("ss3")
-    st.rollup(st.read_raw(b.spark, _landing(b)), root, f"{root}/_checkpoint").awaitTermination()
+    st.rollup(st.read_raw(b.spark, _landing(b), max_files=1), root, f"{root}/_checkpoint").awaitTermination()
     rows = tables.scan(b.spark, root, "daily_aggregates").drop("avg_cost_usd")
     return rounded(rows, 2, "total_cost_usd")
 

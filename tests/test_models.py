@@ -205,3 +205,16 @@ def test_anomaly_ids_are_stable(spark):
     b = detect.to_anomalies(scored, F.current_timestamp()).select("anomaly_id").collect()
     assert a == b and len(a) >= 1
     assert FEATURE_KEY[0] == "feature_date"
+
+
+def test_any_row_of_a_large_group_can_be_in_a_tree(spark):
+    from costlens.operators import forest
+    rows = spark.range(20_000).select(F.lit("g").alias("g"), F.col("id"),
+                                      F.rand(1).alias("x")).unionByName(
+        spark.range(40).select(F.lit("s").alias("g"), F.col("id"), F.rand(2).alias("x")))
+    got = forest.draws(rows, ["g"], ["id"], 200, 256)
+    per_tree = got.groupBy("g", "tree").count().groupBy("g").agg(
+        F.count(F.lit(1)), F.min("count"), F.max("count")).collect()
+    assert {tuple(r) for r in per_tree} == {("g", 200, 256, 256), ("s", 200, 40, 40)}
+    spread = got.where("g = 'g'").agg(F.countDistinct("id"), F.max("id")).first()
+    assert spread[0] > 15_000 and spread[1] > 19_900
