@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from costlens import session
+from costlens import constants as C, session
 from costlens.operators import forecasts as fq, rollup, series, tables
 from costlens.plans import attribute as at, detect, forecast as fp, ingest
 from costlens.schemas import FEATURE_KEY
@@ -39,6 +39,21 @@ def _(b):
     return scored.select(*FEATURE_KEY, "total_cost_usd", "z_score_30d", "iforest_score")
 
 
+@entry("ml2_score_span", sql(f"""
+    SELECT cloud_provider, service_category, count(*) AS n, 0.0::DOUBLE AS lowest,
+      1.0::DOUBLE AS highest FROM feat GROUP BY ALL
+    HAVING count(*) >= {C.MIN_ROWS['iforest']}""", "feat"))
+def _(b):
+    """Every row of a fitted group has a score, and the scores span the unit interval."""
+    rows = session.materialize(b.features, "features")
+    forest = detect.IsolationForest()
+    params = session.materialize(forest.fit(rows), "forest")
+    scored = forest.score(rows, params).join(params.select(*at.GROUP).distinct(), at.GROUP)
+    return scored.groupBy(*at.GROUP).agg(
+        F.count("iforest_score").alias("n"), F.round(F.min("iforest_score"), 9).alias("lowest"),
+        F.round(F.max("iforest_score"), 9).alias("highest"))
+
+
 @entry("ml3_sequence_reconstruction")
 def _(b):
     rows = session.materialize(b.features, "features")
@@ -65,6 +80,23 @@ def _(b):
     return model.predict(session.materialize(model.fit(series_df), "seasonal"), 30)
 
 
+@entry("ml6_forecast_shape", sql(f"""
+    SELECT cloud_provider, service_category AS service, 30 AS days,
+      CAST(max(feature_date) + 1 AS VARCHAR) AS first, CAST(max(feature_date) + 30 AS VARCHAR)
+      AS last, 0 AS crossed FROM feat GROUP BY ALL
+    HAVING count(DISTINCT feature_date) >= {C.MIN_ROWS['seasonal']}""", "feat"))
+def _(b):
+    """Thirty days in a row after each group's last one, inside their bands."""
+    model = fp.Seasonal()
+    fitted = session.materialize(
+        model.fit(session.materialize(fq.forecast_input(b.features), "series")), "seasonal")
+    out = F.col("lower_bound") > F.col("upper_bound")
+    return model.predict(fitted, 30).groupBy("cloud_provider", "service").agg(
+        F.countDistinct("forecast_date").alias("days"), F.min("forecast_date").alias("first"),
+        F.max("forecast_date").alias("last"),
+        F.count_if(out | (F.col("lower_bound") < 0)).alias("crossed"))
+
+
 @entry("ml7_boosted_forecaster")
 def _(b):
     series_df = session.materialize(fq.forecast_input(b.features), "series")
@@ -165,6 +197,17 @@ def _(b):
         *at.GROUP, "base", "r2", "train_rows", "test_rows", F.size("beta").alias("features"))
 
 
+@entry("ml10_fit_rows", sql(f"""
+    SELECT cloud_provider, service_category, CAST(floor(n * {C.TRAIN_RATIO}::DOUBLE) AS BIGINT)
+      AS train_rows, n - CAST(floor(n * {C.TRAIN_RATIO}::DOUBLE) AS BIGINT)
+      - CAST(floor(n * {C.VAL_RATIO}::DOUBLE) AS BIGINT) AS test_rows
+    FROM (SELECT cloud_provider, service_category, count(*) AS n FROM feat GROUP BY ALL)
+    WHERE n >= {C.MIN_ROWS['attribution']}""", "feat"))
+def _(b):
+    """Each group is fitted on its first 70 % of rows and tested on the last 15 %."""
+    return at.fit(b.features).select(*at.GROUP, "train_rows", "test_rows")
+
+
 @entry("ml10_additive_contributions", sql(f"""
     SELECT CAST(feature_date AS VARCHAR) AS feature_date, {DIMS}, true AS adds_up, 19 AS n_values
     FROM feat""", "feat"))
