@@ -22,8 +22,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 8 << 20
-CACHE_PIECES = 800_000
+SLICE_BYTES = 4 << 20
+CACHE_PIECES = 500_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Pieces that white space before them would not leave as they are.
 SPACE = r"^(?:[\s\v\x85\p{Z}\x1c-\x1f]|$)"
@@ -62,7 +62,6 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.words: tuple[dict[str, list[int]], dict[str, list[int]]] = ({}, {})
         self.known: tuple[dict[str, int], dict[str, int]] = ({}, {})
         self.flat, self.start, self.length = (np.zeros(0, np.uint32), np.zeros(0, np.int64),
                                               np.zeros(0, np.int64))
@@ -76,38 +75,41 @@ class Encoder:
         return [t.id for t in self.tokenizer.model.tokenize(self.spelt[0x20] + word if lead
                                                             else word)]
 
-    def _piece_ids(self, pieces: list[str], lead: bool) -> list[list[int]]:
-        """Ids of each piece, or of the piece after a space."""
-        words, lower = self.words[lead], self.rule == "drop"
-        split = [WORD.fullmatch(p) for p in pieces]
-        space = " " if lead else ""
-        rest = [m.group(2) if m else space + p for p, m in zip(pieces, split)]
-        distinct = list(dict.fromkeys(rest))
-        ids_of = dict(zip(distinct, self._ids(distinct)))
-        out = []
-        for m, r in zip(split, rest):
-            if not m:
-                out.append(ids_of[r])
-                continue
-            word = m.group(1).lower() if lower else m.group(1)
-            if word not in words:
-                words[word] = self._word_ids(word, lead)
-            out.append(words[word] + ids_of[r] if r else words[word])
-        return out
+    def _add(self, found: list[list[int]]) -> range:
+        """New rows of the piece table."""
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        first = len(self.start)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.length = np.concatenate([self.length, lengths])
+        self.flat = np.concatenate([self.flat, flat])
+        return range(first, first + len(found))
 
     def _learn(self, pieces: list[str], lead: bool) -> np.ndarray:
-        """Rows of the piece table, which new pieces are added to."""
-        known = self.known[lead]
-        new = [p for p in pieces if p not in known]
-        if new:
-            found = self._piece_ids(new, lead)
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
-            starts = len(self.flat) + np.cumsum(lengths) - lengths
-            known.update(zip(new, range(len(self.start), len(self.start) + len(new))))
-            self.flat = np.concatenate([self.flat, flat])
-            self.start = np.concatenate([self.start, starts])
-            self.length = np.concatenate([self.length, lengths])
+        """Rows of the piece table, which new pieces are added to.
+
+        A word has its own row; a piece of one word shares it, and a piece with marks
+        behind the word joins the word's ids and those of the marks.
+        """
+        known, lower, space = self.known[lead], self.rule == "drop", " " if lead else ""
+        split = {p: WORD.fullmatch(p) for p in pieces if p not in known}
+        word_of = {p: m.group(1).lower() if lower else m.group(1) for p, m in split.items() if m}
+        words = list(dict.fromkeys(w for w in word_of.values() if w not in known))
+        known.update(zip(words, self._add([self._word_ids(w, lead) for w in words])))
+        known.update((p, known[w]) for p, w in word_of.items() if not split[p].group(2))
+        mixed = [p for p in split if p not in known]
+        rest = [split[p].group(2) if split[p] else space + p for p in mixed]
+        distinct = list(dict.fromkeys(rest))
+        ids_of = dict(zip(distinct, self._ids(distinct)))
+        rows = []
+        for p, r in zip(mixed, rest):
+            ids = ids_of[r]
+            if split[p]:
+                row = known[word_of[p]]
+                at = self.start[row]
+                ids = self.flat[at:at + self.length[row]].tolist() + ids
+            rows.append(ids)
+        known.update(zip(mixed, self._add(rows)))
         return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
     def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from costlens.llm.encode import Encoder, sliced
-from costlens.llm.tables import only, prepare, stage
+from costlens.llm.tables import only, prepare, spread, stage
 from costlens.llm.tokens import with_end
 
 DIMS, BITS = 4, 8
@@ -69,7 +69,9 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 def encoded(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int = 1) -> DataFrame:
     """(rid, doc_id, key, n, ids): staged rows with a curve key and narrow binary ids."""
     narrow = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    rows = only(docs, "doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
+    # few large tasks: each meets most words once, and encodes a word once
+    rows = only(docs, "doc_id", "text").coalesce(spread(docs)).withColumn(
+        "rid", F.monotonically_increasing_id())
     schema = f"rid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, " \
              "key long, n long, ids binary"
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from costlens import session
 
 #: Rows and bytes per Arrow batch: texts may be long, so bytes bound a batch.
-ARROW_ROWS, ARROW_BYTES = 4096, 16 << 20
+ARROW_ROWS, ARROW_BYTES = 2048, 8 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
