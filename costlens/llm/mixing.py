@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
@@ -88,7 +87,7 @@ def fit(docs: DataFrame, labelled: DataFrame, domain: str = "domain",
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = terms.Counter(vocab)
-        for batch in sliced(batches):
+        for batch in sliced(batches, limit=terms.SLICE_BYTES):
             words = terms.Words(batch.column("text"))
             row, term, _ = counter.count(words)
             at = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
@@ -119,7 +118,7 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         counter = terms.Counter(m.vocabulary)
-        for batch in sliced(batches):
+        for batch in sliced(batches, limit=terms.SLICE_BYTES):
             words = terms.Words(batch.column("text"))
             row, term, _ = counter.count(words)
             p = m.posterior(batch.num_rows, row, term,
@@ -230,19 +229,15 @@ def resample(docs: DataFrame, model: Classifier, shares: dict[str, float], of: s
     _, history = plan(docs, model, shares, of, steps)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("int")
-    def copies(texts):
+    def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], ["text"])
-        counter, out = terms.Counter(m.vocabulary), []
-        for part in sliced(iter([batch])):
-            words = terms.Words(part.column("text"))
+        counter = terms.Counter(m.vocabulary)
+        for batch in sliced(batches, limit=terms.SLICE_BYTES):
+            texts = batch.column("text")
+            words = terms.Words(texts)
             row, term, _ = counter.count(words)
-            p = m.posterior(part.num_rows, row, term, shape(words, part.column("text").fill_null("")))
-            out.append(np.floor(rates_of(p, history) + 0.5).astype(np.int32))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, np.int32))
-
-    times = docs.withColumn("_times", copies(F.col("text")))
-    return (times.where(F.col("_times") > 0)
-            .withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times"))))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+            p = m.posterior(batch.num_rows, row, term, shape(words, texts.fill_null("")))
+            times = np.floor(rates_of(p, history) + 0.5).astype(np.int64)
+            yield batch.take(pa.array(np.repeat(np.arange(batch.num_rows), times)))
+
+    return docs.mapInArrow(copies, docs.schema)

@@ -20,6 +20,8 @@ from costlens.llm.tables import only, stage
 
 LETTERS = re.compile(r"[^\W\d_]+")
 STEMS = (4,)
+#: Text looked at together: word tables of a larger part would fill a task's memory.
+SLICE_BYTES = 2 << 20
 
 
 def terms_of(word: str) -> list[str]:
@@ -103,7 +105,7 @@ def examples(docs: DataFrame, labels: DataFrame, label: str, per_class: int) ->
 def document_counts(rows: DataFrame, label: str) -> DataFrame:
     """(term, class, n): texts of each class that hold a term."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, limit=SLICE_BYTES):
             words = Words(batch.column("text"))
             classes, cls = np.unique(batch.column(label).to_pylist(), return_inverse=True)
             owned = [terms_of(w) for w in words.distinct]
@@ -157,7 +159,7 @@ def presence(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
     """Number of texts, and of those that hold each term, over all of `docs`."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, seen, n = Counter(terms), np.zeros(len(terms) + 1, np.int64), 0
-        for batch in sliced(batches):
+        for batch in sliced(batches, limit=SLICE_BYTES):
             _, term, _ = counter.count(Words(batch.column("text")))
             seen[:-1] += np.bincount(term, minlength=len(terms))
             n += batch.num_rows

@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labelled: DataFrame, label: str, k: int = 15,
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = terms.Counter(vocab)
-        for batch in sliced(batches):
+        for batch in sliced(batches, limit=terms.SLICE_BYTES):
             row, term, count = counter.count(terms.Words(batch.column("text")))
             at = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         counter, known = terms.Counter(m.vocabulary), {}
-        for batch in sliced(batches):
+        for batch in sliced(batches, limit=terms.SLICE_BYTES):
             row, term, count = counter.count(terms.Words(batch.column("text")))
             weight = weights(row, term, count, m.idf, batch.num_rows) if len(row) else row
             at = np.searchsorted(row, np.arange(batch.num_rows + 1))
