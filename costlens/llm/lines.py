@@ -1,7 +1,13 @@
-"""Cross-site boilerplate: lines seen on many sites, by HyperLogLog spread."""
+"""Cross-site boilerplate: lines seen on many sites, by HyperLogLog spread.
+
+A corpus also loses passages: lines of over fifty words that another document holds,
+on whatever site.
+"""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from costlens.llm.quality import let
@@ -10,61 +16,93 @@ from costlens.llm.tables import prepare
 LG_K = 12
 #: Relative standard error of a sketch with 2**LG_K registers.
 ERROR = 1.04 / 2 ** (LG_K / 2)
-THREE_WORDS = "[^ ]+ +[^ ]+ +[^ ]"
+ANY_WORD, THREE_WORDS, PASSAGE = "[^ ]", "[^ ]+ +[^ ]+ +[^ ]", "^ *(?:[^ ]+ +){50}[^ ]"
+
+
+class Spread(NamedTuple):
+    """Sites that make lines of one or two words, and of three to fifty, boilerplate, and
+    documents that make longer ones a repeated passage; None counts no such lines."""
+    words: int | None
+    line: int
+    passage: int | None
 
 
-def line_key(line: Column) -> Column:
-    """64-bit hash of a trimmed line of three words or more, else null."""
-    return F.when(line.rlike(THREE_WORDS), F.xxhash64(F.trim(line)))
+#: Three sites are more than a copy and its original; two words alone say little.
+CORPUS = Spread(words=10, line=3, passage=2)
 
 
-def keyed(docs: DataFrame, site: str, text: str) -> DataFrame:
-    """(doc_id, text_hash, site, pos, line): the counted lines of every row."""
+def line_key(line: Column, least: Spread) -> Column:
+    """Struct of a trimmed line's 64-bit hash, its threshold and whether it is a passage;
+    null for a line that does not count."""
+    def key(n: int, passage: bool) -> Column:
+        return F.struct(F.xxhash64(F.trim(line)).alias("line"), F.lit(n).alias("least"),
+                        F.lit(passage).alias("passage"))
+    out = F.when(line.rlike(THREE_WORDS), key(least.line, False))
+    if least.passage is not None:
+        out = F.when(line.rlike(PASSAGE), key(least.passage, True)).otherwise(out)
+    return out if least.words is None else F.coalesce(
+        out, F.when(line.rlike(ANY_WORD), key(least.words, False)))
+
+
+def keyed(docs: DataFrame, site: str, text: str, least: Spread) -> DataFrame:
+    """(doc_id, text_hash, site, pos, line, least): the counted lines of every row.
+
+    A passage's site is its document.
+    """
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    hashes = F.transform(F.split(t, "\n", -1), line_key)
+    keys = F.transform(F.split(t, "\n", -1), lambda x: line_key(x, least))
     rows = docs.select(F.col("doc_id"), F.xxhash64(t).alias("text_hash"),
-                       F.coalesce(F.col(f"`{site}`").cast("string"), F.lit("")).alias("site"),
-                       F.posexplode(hashes).alias("pos", "line"))
-    return rows.where(F.col("line").isNotNull())
+                       F.coalesce(F.col(f"`{site}`").cast("string"), F.lit("")).alias("_at"),
+                       F.posexplode(keys).alias("pos", "key"))
+    place = F.concat_ws(":", F.lit("document"), F.col("doc_id").cast("string"),
+                        F.col("text_hash").cast("string"))
+    return rows.where(F.col("key").isNotNull()).select(
+        "doc_id", "text_hash", F.when(F.col("key.passage"), place).otherwise(F.col("_at")).alias("site"),
+        "pos", "key.line", "key.least")
 
 
-def spread_lines(rows: DataFrame, min_sites: int) -> DataFrame:
-    """(line, first): lines on at least `min_sites` sites, with their first place.
+def spread_lines(rows: DataFrame) -> DataFrame:
+    """(line, first): lines on at least `least` sites, with their first place.
 
     A sketch of the sites per line merges across tasks like a sum, so a line that
     every page carries costs a few hundred bytes a task. Estimates within five
-    standard errors (and one site) of the threshold are replaced by exact counts.
+    standard errors (and one site) of the threshold are replaced by exact counts; a
+    threshold of two needs only the smallest and the largest site.
     """
-    lines = rows.groupBy("line").agg(
+    lines = rows.groupBy("line", "least").agg(
         F.hll_sketch_agg("site", LG_K).alias("sketch"), F.count(F.lit(1)).alias("n"),
+        F.min("site").alias("low"), F.max("site").alias("high"),
         F.min(F.struct("doc_id", "text_hash", "pos")).alias("first"))
-    lines = lines.where(F.col("n") >= min_sites).select(
-        "line", "first", F.hll_sketch_estimate("sketch").alias("sites"))
-    margin = max(1.0, 5 * ERROR * min_sites)
-    sure = lines.where(F.col("sites") > min_sites + margin)
-    near = lines.where(F.col("sites").between(min_sites - margin, min_sites + margin))
-    exact = (rows.select("line", "site").distinct()
+    lines = lines.where(F.col("n") >= F.col("least")).select(
+        "line", "least", "first", "low", "high", F.hll_sketch_estimate("sketch").alias("sites"))
+    pair = lines.where((F.col("least") == 2) & (F.col("low") < F.col("high")))
+    margin = F.greatest(F.lit(1.0), 5 * ERROR * F.col("least"))
+    more = lines.where(F.col("least") != 2).withColumn("over", F.col("sites") - F.col("least"))
+    sure = more.where(F.col("over") > margin)
+    near = more.where(F.abs("over") <= margin)
+    exact = (rows.where(F.col("least") != 2).select("line", "least", "site").distinct()
              .join(near.select("line"), "line", "left_semi")
-             .groupBy("line").agg(F.count(F.lit(1)).alias("sites"))
-             .where(F.col("sites") >= min_sites))
-    return sure.select("line", "first").union(
+             .groupBy("line", "least").agg(F.count(F.lit(1)).alias("sites"))
+             .where(F.col("sites") >= F.col("least")))
+    return sure.select("line", "first").union(pair.select("line", "first")).union(
         near.join(exact.select("line"), "line", "left_semi").select("line", "first"))
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = 10, site: str = "source",
-                text: str = "text") -> DataFrame:
+                text: str = "text", spread: Spread | None = None) -> DataFrame:
     """`docs` with boilerplate lines cut from `text`, and `_n_lines`, `_n_removed`.
 
     A line (trimmed, three words or more) on `min_sites` distinct sites or more
-    stays only in its first place: smallest doc_id, then place in the text. All
+    stays only in its first place: smallest doc_id, then place in the text. `spread`
+    sets thresholds by length instead, also for shorter lines and for passages. All
     other lines keep their order. A null text stays null and has no lines; a null
     site is a site of its own; rows equal in doc_id and text are treated alike; a
     text that loses every line becomes empty, its row stays. Other columns pass
     through (names that begin with an underscore are reserved).
     """
     prepare(docs.sparkSession)
-    rows = keyed(docs, site, text)
-    places = (rows.join(spread_lines(rows, min_sites), "line")
+    rows = keyed(docs, site, text, spread or Spread(None, min_sites, None))
+    places = (rows.join(spread_lines(rows), "line")
               .where(~F.struct("doc_id", "text_hash", "pos").eqNullSafe(F.col("first")))
               .select("doc_id", "text_hash", "pos").distinct()
               .groupBy("doc_id", "text_hash").agg(F.collect_list("pos").alias("_gone"))

@@ -74,6 +74,27 @@ def test_lines_bear_odd_rows(spark):
     assert lines.dedup_lines(no_documents(spark)).count() == 0
 
 
+def test_lines_of_a_corpus(spark):
+    """Passages on two documents of one or nine sites, lines on three, two words on ten."""
+    import corpus_pipeline
+    passage = {k: " ".join(f"{k}{i}" for i in range(51)) for k in ("one", "two", "nine", "hot")}
+    fifty, three, pair = " ".join(f"x{i}" for i in range(50)), "line on three", "two words"
+    rows = [(0, f"a\n{passage['two']}", "s0"), (1, f"b\n{passage['two']}\nc", "s1"),
+            (2, f"{passage['one']}\n{fifty}", "s0"), (3, f"{fifty}\nd", "s1")]
+    rows += [(10 + i, f"own {i}\n{passage['nine']}", f"s{i}") for i in range(9)]
+    rows += [(20 + i, f"own {i}\n{passage['hot']}", "s0") for i in range(40)]
+    rows += [(70 + i, f"{three}\nown {i}", f"s{i}") for i in range(3)]
+    rows += [(80 + i, f"{pair}\nnine sites {i % 9}" if i < 9 else pair, f"s{i}") for i in range(10)]
+    rows += [(100, None, None), (101, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
+    want = {i: t for i, t, _ in rows}
+    want[1] = "b\nc"
+    want |= {10 + i: f"own {i}" for i in range(1, 9)} | {20 + i: f"own {i}" for i in range(1, 40)}
+    want |= {70 + i: f"own {i}" for i in (1, 2)} | {80 + i: f"nine sites {i}" for i in range(1, 9)}
+    assert got == want | {89: ""}
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
         "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
