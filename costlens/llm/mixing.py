@@ -218,26 +218,41 @@ def mix(docs: DataFrame, model: Classifier, shares: dict[str, float], of: str =
     return members.mapInArrow(scan, schema)
 
 
+def draws(batch: pa.RecordBatch, seen: dict[bytes, int]) -> np.ndarray:
+    """A number in [0, 1) for each row, from doc_id, text and how often `seen` had both."""
+    from xxhash import xxh64_intdigest, xxh128_digest
+    out = np.empty(batch.num_rows)
+    texts = batch.column("text").cast(pa.large_binary()).to_pylist()
+    for i, (key, text) in enumerate(zip(batch.column("doc_id").to_pylist(), texts)):
+        row = xxh128_digest(f"{key!r}:".encode() + (b"" if text is None else b"=" + text))
+        nth = seen[row] = seen.get(row, -1) + 1
+        out[i] = (xxh64_intdigest(row + nth.to_bytes(8, "little"), 42) >> 11) / 2.0 ** 53
+    return out
+
+
 def resample(docs: DataFrame, model: Classifier, shares: dict[str, float], of: str = "total",
              steps: int = 60) -> DataFrame:
-    """`docs` with each row as often as its rate says, to the nearest whole number.
+    """`docs` with each row as often as its rate says.
 
     The second pass over the texts computes each row's rate where the row is, so no
-    join moves the texts. Rates near one keep their document, rates below a half
-    drop it. Columns stay as they are.
+    join moves the texts. A row stays as often as its rate's whole part says, and once
+    more if its draw is below the rest, so that the expected totals are those of the
+    rates. Columns stay as they are.
     """
     _, history = plan(docs, model, shares, of, steps)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        counter = terms.Counter(m.vocabulary)
+        counter, seen = terms.Counter(m.vocabulary), {}
         for batch in sliced(batches, limit=terms.SLICE_BYTES):
             texts = batch.column("text")
             words = terms.Words(texts)
             row, term, _ = counter.count(words)
             p = m.posterior(batch.num_rows, row, term, shape(words, texts.fill_null("")))
-            times = np.floor(rates_of(p, history) + 0.5).astype(np.int64)
+            rates = np.round(rates_of(p, history), 9)  # a whole rate may be a hair below
+            whole = np.floor(rates)
+            times = (whole + (draws(batch, seen) < rates - whole)).astype(np.int64)
             yield batch.take(pa.array(np.repeat(np.arange(batch.num_rows), times)))
 
     return docs.mapInArrow(copies, docs.schema)

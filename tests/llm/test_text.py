@@ -218,6 +218,19 @@ def test_mixture_meets_targets(spark):
     assert left.columns == docs.columns and len({i for i in ids if i % 4 == 0}) < 10 and len(ids) > 280
 
 
+def test_resample_meets_fractional_targets(spark):
+    docs, labels = corpus(spark, 2000)
+    named = labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise("good").alias("domain"))
+    model = mixing.fit(docs, named, per_class=200)
+    for shares in ({"good": 1.0, "toxic": 0.1}, {"good": 1.3, "toxic": 0.4}):
+        ids = [r.doc_id for r in mixing.resample(docs, model, shares, "domain").select("doc_id").collect()]
+        held = {"good": sum(i % 4 > 0 for i in ids) / 1500, "toxic": sum(i % 4 == 0 for i in ids) / 500}
+        assert all(abs(held[d] - shares[d]) < 0.06 for d in shares), held
+    same = docs.limit(1).crossJoin(spark.range(1000)).select(*docs.columns)
+    one = mixing.fit(docs, labels.select("doc_id", F.lit("one").alias("domain")))
+    assert 200 < mixing.resample(same, one, {"one": 0.25}).count() < 300
+
+
 def test_mixture_bears_odd_rows(spark):
     docs, labels = corpus(spark, 80)
     model = mixing.fit(docs, labels.select("doc_id", F.lit("one").alias("domain")))
