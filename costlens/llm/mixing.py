@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from costlens.llm import terms
 from costlens.llm.encode import sliced
 from costlens.llm.tables import only, prepare, stage
 
+LOG = logging.getLogger(__name__)
 #: Bounds of the classifier's sample, vocabulary and classes.
 EXAMPLES, VOCABULARY, DOMAINS = 4096, 2048, 64
 DENSE = 6
@@ -144,45 +146,60 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return p.reshape(batch.num_rows, -1)
 
 
-def totals(members: DataFrame, size: int, history: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Expected tokens per domain at the current rates, and sum of n p p'."""
+def totals(members: DataFrame, size: int, history: list[np.ndarray]) -> tuple[
+        np.ndarray, np.ndarray, float]:
+    """Expected tokens per domain at the current rates, sum of n p p' over rows whose rate
+    is above zero, and tokens per row."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size + size * size)
+        total = np.zeros(size + size * size + 2)
         for batch in batches:
             if batch.num_rows:
                 p, n = _matrix(batch), batch.column("n_tokens").to_numpy()
-                total[:size] += (n * rates_of(p, history)) @ p
-                total[size:] += ((p * n[:, None]).T @ p).ravel()
+                rate = rates_of(p, history)
+                total[:size] += (n * rate) @ p
+                total[size:-2] += ((p * (n * (rate > 0))[:, None]).T @ p).ravel()
+                total[-2:] += n.sum(), len(n)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["at", "value"])
     sums = members.select("n_tokens", "p").mapInArrow(scan, "at int, value double").groupBy(
         "at").agg(F.sum("value").alias("value"))
-    out = np.zeros(size + size * size)
+    out = np.zeros(size + size * size + 2)
     for r in sums.toLocalIterator():
         out[r["at"]] = r["value"]
-    return out[:size], out[size:].reshape(size, size)
+    return out[:size], out[size:-2].reshape(size, size), out[-2] / max(1.0, out[-1])
 
 
 def solve(members: DataFrame, targets: np.ndarray, steps: int = 60,
-          tolerance: float = 1e-3) -> list[np.ndarray]:
-    """The steps of projected gradient descent on the targets' squared relative errors.
+          tolerance: float = 1e-3) -> tuple[list[np.ndarray], np.ndarray]:
+    """The steps of projected gradient descent on the targets' squared relative errors,
+    and what the totals still lack or have too much.
 
     The unknowns are one rate per document; the metric weighs documents by their
     tokens, so that a step moves a rate by its posteriors only. A task folds the
     known steps over its rows and returns one number per domain: nothing per
-    document is stored or sent between steps.
+    document is stored or sent between steps. A step is scaled by the moments of the
+    rows that can still move; if that does not lower the errors, the plain gradient
+    step follows, which cannot raise them. It ends when every domain is within
+    `tolerance` of its own target (or one document's tokens), or no step lowers the
+    errors by a thousandth.
     """
     size, history = len(targets), []
     scale = np.sqrt(np.maximum(targets, 1.0))
-    done, gram = totals(members, size, history)
+    done, gram, row = totals(members, size, history)
     top = np.linalg.eigvalsh(gram / np.outer(scale, scale)).max(initial=0.0)
-    for _ in range(steps):
+    near = np.minimum(np.maximum(tolerance * targets, row), tolerance * max(1.0, targets.sum()))
+    while len(history) < steps and top > 0 and (np.abs(done - targets) > near).any():
         gap = done - targets
-        if top <= 0 or np.abs(gap).max(initial=0.0) <= tolerance * max(1.0, targets.sum()):
+        error = np.square(gap / scale).sum()
+        scaled = np.linalg.lstsq(gram / np.outer(scale, scale), gap / scale, 1e-9)[0] / scale
+        for step in (scaled, gap / scale ** 2 / top):
+            after, moved, _ = totals(members, size, [*history, step])
+            if np.square((after - targets) / scale).sum() < 0.999 * error:
+                break
+        else:
             break
-        history.append(gap / scale ** 2 / top)
-        done, _ = totals(members, size, history)
-    return history
+        history, done, gram = [*history, step], after, moved
+    return history, np.where(np.abs(done - targets) > near, done - targets, 0.0)
 
 
 def plan(docs: DataFrame, model: Classifier, shares: dict[str, float], of: str,
@@ -190,10 +207,14 @@ def plan(docs: DataFrame, model: Classifier, shares: dict[str, float], of: str,
     """Staged memberships and the steps that bring their totals to the targets."""
     prepare(docs.sparkSession)
     members = memberships(docs, model)
-    held, _ = totals(members, len(model.domains), [])
+    held, _, _ = totals(members, len(model.domains), [])
     targets = np.array([shares[d] * (held.sum() if of == "total" else held[i]) if d in shares
                         else held[i] for i, d in enumerate(model.domains)])
-    return members, solve(members, targets, steps)
+    history, unmet = solve(members, targets, steps)
+    for i in np.flatnonzero(unmet):
+        LOG.warning("domain %s: target %.0f tokens, unmet by %+.0f after %d steps",
+                    model.domains[i], targets[i], unmet[i], len(history))
+    return members, history
 
 
 def mix(docs: DataFrame, model: Classifier, shares: dict[str, float], of: str = "total",
@@ -204,7 +225,7 @@ def mix(docs: DataFrame, model: Classifier, shares: dict[str, float], of: str =
     holds ("domain"); domains not named keep what they hold. Null and empty texts
     have no tokens and get a rate by their posteriors; repeated rows get equal
     rates; extra columns are ignored; no rows give none. Targets that no rates can
-    reach are met in the least-squares sense.
+    reach are met in the least-squares sense, and the gaps are logged as warnings.
     """
     members, history = plan(docs, model, shares, of, steps)
     schema = f"{members.schema[0].simpleString().replace(':', ' ', 1)}, n_tokens long, " \

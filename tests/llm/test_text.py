@@ -218,6 +218,25 @@ def test_mixture_meets_targets(spark):
     assert left.columns == docs.columns and len({i for i in ids if i % 4 == 0}) < 10 and len(ids) > 280
 
 
+def test_small_domains_meet_their_targets(spark, caplog):
+    """A domain of 0.05 % of the tokens moves to a tenth; unreachable targets are reported."""
+    rows = [(i, 100, [0.0005 / 3, 0.0, 1 - 0.0005 / 3] if i % 2000 else [0.0, 0.98, 0.02])
+            for i in range(20_000)]
+    members = spark.createDataFrame(rows, "doc_id long, n_tokens long, p array<double>")
+    held = mixing.totals(members, 3, [])[0]
+    targets = held * np.array([1.0, 0.1, 1.0])
+    history, unmet = mixing.solve(members, targets)
+    done = mixing.totals(members, 3, history)[0]
+    assert abs(done[1] - targets[1]) <= 100 < 0.001 * targets.sum() and not unmet.any()
+    assert len(history) < 10
+    docs, labels = corpus(spark, 80)
+    one = mixing.fit(docs, labels.select("doc_id", F.lit("one").alias("domain")))
+    mixing.plan(docs, one, {"one": 1.0}, "total", 60)
+    assert "unmet" not in caplog.text
+    mixing.plan(docs, one, {"one": 3.0}, "total", 0)
+    assert "unmet" in caplog.text
+
+
 def test_resample_meets_fractional_targets(spark):
     docs, labels = corpus(spark, 2000)
     named = labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise("good").alias("domain"))
