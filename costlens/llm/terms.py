@@ -60,10 +60,17 @@ class Counter:
         self.place = {t: i for i, t in enumerate(vocabulary)}
         self.size = len(vocabulary)
 
-    def count(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, term, count) triples in row order."""
-        place = self.place
-        owned = [[place[t] for t in terms_of(w) if t in place] for w in words.distinct]
+    def count(self, words: Words, others: bool = False) -> tuple[
+            np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, count) triples in row order; `others` numbers further terms of the
+        batch from the vocabulary's size on."""
+        place, more, width = self.place, {}, self.size
+        if others:
+            owned = [[place[t] if t in place else more.setdefault(t, width + len(more))
+                      for t in terms_of(w)] for w in words.distinct]
+            width += len(more)
+        else:
+            owned = [[place[t] for t in terms_of(w) if t in place] for w in words.distinct]
         n = np.fromiter(map(len, owned), np.int64, len(owned))
         if not n.sum():
             return (np.zeros(0, np.int64),) * 3
@@ -71,10 +78,10 @@ class Counter:
         start = np.cumsum(n) - n
         times = n[words.word]
         at = np.repeat(start[words.word] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        key = np.repeat(words.row, times) * self.size + flat[at]
+        key = np.repeat(words.row, times) * width + flat[at]
         order, back = np.unique(key, return_inverse=True)
         count = np.bincount(back, weights=np.repeat(words.count, times)).astype(np.int64)
-        return order // self.size, order % self.size, count
+        return order // width, order % width, count
 
 
 def sample(labels: DataFrame, label: str, per_class: int, sizes: dict[str, int]) -> DataFrame:
@@ -155,6 +162,13 @@ def vocabulary(rows: DataFrame, label: str, sizes: dict[str, int], limit: int,
     return [r["term"] for r in best.toLocalIterator()]
 
 
+def all_terms(rows: DataFrame, label: str) -> list[str]:
+    """Every term of `rows`, a bounded sample, the most frequent first."""
+    known = document_counts(rows, label).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    order = pc.sort_indices(known, [("n", "descending"), ("term", "ascending")])
+    return known["term"].take(order).to_pylist()
+
+
 def presence(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
     """Number of texts, and of those that hold each term, over all of `docs`."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,4 +193,4 @@ def class_sizes(rows: DataFrame, label: str) -> dict[str, int]:
         F.count(F.lit(1)).alias("n")).toLocalIterator()}
 
 
-__all__ = ["Counter", "Words", "class_sizes", "examples", "presence", "sample", "terms_of", "vocabulary"]
+__all__ = ["Counter", "Words", "all_terms", "class_sizes", "examples", "presence", "sample", "terms_of", "vocabulary"]

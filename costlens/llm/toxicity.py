@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max index.
 
-The index holds a bounded sample of labelled examples; it is built once and every
-task gets a copy. Scores of all documents come from one pass over their texts.
+The index holds a bounded sample of labelled examples with all their terms; it is built
+once and every task gets a copy. Scores of all documents come from one pass over their
+texts. Terms tied to a class weigh more, and no term is left out.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from costlens.llm import terms
 from costlens.llm.encode import sliced
 from costlens.llm.tables import only, prepare
 
-#: Bounds of the fitted sample: examples of each class, and vocabulary terms.
+#: Bounds of the fitted sample: examples of each class, and terms with an extra weight.
 EXAMPLES, VOCABULARY = 4096, 2048
+EXTRA = 4.0
 BLOCK = 64
 
 
@@ -29,43 +31,59 @@ def weights(row: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarra
     return w / np.maximum(norm, 1e-300)[row]
 
 
+def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for each range in turn."""
+    ends = np.cumsum(length)
+    return np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class BlockMax:
     """Inverted lists cut into blocks of examples, with each block's largest weight."""
 
     def __init__(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, size: int):
         self.rows, self.blocks = rows, -(-rows // BLOCK)
         order = np.lexsort((row, term))
-        self.example, self.weight = row[order], weight[order]
-        listed = term[order]
-        edges = np.arange(size)[:, None] * rows + np.arange(self.blocks + 1)[None, :] * BLOCK
-        edges = np.minimum(edges, (np.arange(size)[:, None] + 1) * rows)
-        # pointer[t, b]: first posting of term t in block b
-        self.pointer = np.searchsorted(listed * rows + self.example, edges)
-        self.peak = np.zeros((size, self.blocks))
-        np.maximum.at(self.peak, (listed, self.example // BLOCK), self.weight)
+        self.example, self.weight = row[order].astype(np.int32), weight[order]
+        # cells: the blocks that a term's list touches
+        cell, self.begin = np.unique(term[order] * self.blocks + row[order] // BLOCK, return_index=True)
+        self.length = np.diff(np.append(self.begin, len(order)))
+        self.block = (cell % self.blocks).astype(np.int32)
+        self.peak = np.maximum.reduceat(self.weight, self.begin) if len(cell) else np.zeros(0)
+        self.pointer = np.searchsorted(cell, np.arange(size + 1) * self.blocks)
 
     def nearest(self, query: np.ndarray, weight: np.ndarray, k: int,
                 skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above zero (ties: smaller place), exactly.
 
-        Blocks go by falling upper bound; a block whose bound is below the k-th
-        cosine cannot hold a better one, nor can those after it.
+        Blocks go by falling upper bound, ever more at a time; a block whose bound is
+        below the k-th cosine cannot hold a better one, nor can those after it.
         """
-        bound = weight @ self.peak[query]
-        found, score = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or len(score) == k and bound[block] < score[-1] - 1e-12:
+        first, count = self.pointer[query], self.pointer[query + 1] - self.pointer[query]
+        cell, own = ragged(first, count), np.repeat(weight, count)
+        block = self.block[cell]
+        bound = np.bincount(block, own * self.peak[cell], self.blocks)
+        falling = np.argsort(-bound, kind="stable")
+        place = np.empty(self.blocks, np.int64)
+        place[falling] = np.arange(self.blocks)
+        turn, bound = place[block], bound[falling]
+        found, score, at, width = np.zeros(0, np.int64), np.zeros(0), 0, 2
+        while at < self.blocks:
+            least = score[-1] - 1e-12 if len(score) == k else 0.0
+            end = min(at + width, int(np.searchsorted(-bound, -least, "right")) if least > 0
+                      else int(np.count_nonzero(bound > 0)))
+            if end <= at:
                 break
-            total = np.zeros(BLOCK)
-            for t, w in zip(query, weight):
-                a, b = self.pointer[t, block], self.pointer[t, block + 1]
-                total[self.example[a:b] - block * BLOCK] += w * self.weight[a:b]
-            hit = np.flatnonzero(total > 0)
-            hit = hit[hit + block * BLOCK != skip]
-            found = np.concatenate([found, hit + block * BLOCK])
-            score = np.concatenate([score, total[hit]])
+            here = np.flatnonzero((turn >= at) & (turn < end))
+            c = cell[here]
+            post = ragged(self.begin[c], self.length[c])
+            total = np.bincount(self.example[post],
+                                np.repeat(own[here], self.length[c]) * self.weight[post], self.rows)
+            hit = np.flatnonzero(total > max(0.0, least))
+            hit = hit[hit != skip]
+            found, score = np.concatenate([found, hit]), np.concatenate([score, total[hit]])
             best = np.lexsort((found, -np.round(score, 12)))[:k]
             found, score = found[best], score[best]
+            at, width = end, 2 * width
         return found, score
 
 
@@ -89,7 +107,10 @@ def platt(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
 
 
 class Model:
-    """Vocabulary, idf, index, labels and calibration; small enough to send around."""
+    """Vocabulary, idf, index, labels and calibration; small enough to send around.
+
+    `idf` has one more entry, for terms that no example has.
+    """
 
     def __init__(self, vocabulary, idf, ids, label, row, term, count, k, class_weight):
         self.vocabulary, self.idf, self.ids, self.label, self.k = vocabulary, idf, ids, label, k
@@ -124,21 +145,36 @@ class Model:
         return float(p), self.ids[found[:5]].tolist(), score[:5].tolist()
 
 
+def leading_order(found: pa.Table, terms_looked_at: int = 64) -> list[int]:
+    """Places of the rows by their first terms, then by text hash and id."""
+    lists = found["term"].combine_chunks()
+    at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype(">i4")
+    keys = [flat[a:min(b, a + terms_looked_at)].tobytes() for a, b in zip(at[:-1], at[1:])]
+    h, ids = found["h"].to_pylist(), [i or "" for i in found["doc_id"].to_pylist()]
+    return sorted(range(found.num_rows), key=lambda i: (keys[i], h[i], ids[i]))
+
+
 def fit(docs: DataFrame, labelled: DataFrame, label: str, k: int = 15,
         examples: int = EXAMPLES, limit: int = VOCABULARY) -> Model:
     """A model from about `examples` rows of each class of `labelled` (doc_id, label).
 
-    Document frequencies for idf come from all of `docs`; the classes' full sizes
-    weight the calibration. Repeated labels of a document: the largest counts.
+    All terms of the examples count; up to `limit` terms tied to the classes weigh
+    `EXTRA` times as much. Document frequencies for idf come from all of `docs`; the
+    classes' full sizes weight the calibration. Repeated labels of a document: the
+    largest counts.
     """
     prepare(docs.sparkSession)
     labels = (labelled.where(F.col(label).isin(0, 1)).groupBy("doc_id")
               .agg(F.max(label).cast("int").cast("string").alias("y")))
     chosen, full = terms.examples(docs, labels, "y", examples)
     sizes = terms.class_sizes(chosen, "y")
-    vocab = terms.vocabulary(chosen, "y", sizes, limit) if sizes else []
+    tied = terms.vocabulary(chosen, "y", sizes, limit) if sizes else []
+    known = set(tied)
+    vocab = tied + [t for t in (terms.all_terms(chosen, "y") if sizes else []) if t not in known]
     n, present = terms.presence(docs, vocab) if vocab else (0, np.zeros(0))
-    idf = np.log((1 + n) / (1 + present)) + 1
+    # a term that no example has counts as one that no other text has
+    idf = np.log((1 + n) / (1 + np.append(present, 1))) + 1
+    idf[:len(tied)] *= EXTRA
     schema = "doc_id string, y int, h long, term array<int>, n array<long>"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,23 +190,27 @@ def fit(docs: DataFrame, labelled: DataFrame, label: str, k: int = 15,
 
     typed = chosen.select(F.col("doc_id").cast("string"), F.col("y").cast("int"), "text",
                           F.xxhash64("text").alias("h"))
-    found = list(typed.mapInArrow(scan, schema).toLocalIterator()) if vocab else []
-    # neighbours in the index share their leading terms, so that block bounds are tight
-    found.sort(key=lambda r: (r["term"], r["h"], r["doc_id"]))
-    row = np.repeat(np.arange(len(found)), [len(r["term"]) for r in found]).astype(np.int64)
-    term = np.array([t for r in found for t in r["term"]], np.int64)
-    count = np.array([c for r in found for c in r["n"]], np.float64)
-    label_of = np.array([r["y"] for r in found], np.int64)
+    found = (typed.mapInArrow(scan, schema) if vocab else
+             docs.sparkSession.createDataFrame([], schema)).toArrow().combine_chunks()
+    # neighbours in the index share their leading terms, so that block bounds are tight:
+    # first those tied to a class, then the most frequent
+    found = found.take(pa.array(leading_order(found), pa.int64()))
+    lists = found["term"].combine_chunks()
+    length = lists.value_lengths().to_numpy()
+    row = np.repeat(np.arange(len(length)), length)
+    term = lists.flatten().to_numpy().astype(np.int64)
+    count = found["n"].combine_chunks().flatten().to_numpy().astype(np.float64)
+    label_of = found["y"].to_numpy().astype(np.int64)
     weight = {int(y): full[y] / sizes[y] for y in sizes}
-    return Model(vocab, idf, np.array([r["doc_id"] for r in found]), label_of, row, term, count,
+    return Model(vocab, idf, np.array(found["doc_id"].to_pylist()), label_of, row, term, count,
                  k, weight)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, predicted, evidence, cosines) for every row of `docs`.
 
-    Scores see the text alone. Null and empty texts, and texts without any vocabulary
-    term, score the rate of such examples. Repeated rows score alike; extra columns
+    Scores see the text alone; its norm counts all its terms. Null and empty texts, and
+    texts without any term of an example, score the rate of such examples. Repeated rows score alike; extra columns
     are ignored; without labelled rows every score is 0.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -179,15 +219,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
              "cosines array<double>"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh128_digest
         m = sent.value
         counter, known = terms.Counter(m.vocabulary), {}
         for batch in sliced(batches, limit=terms.SLICE_BYTES):
-            row, term, count = counter.count(terms.Words(batch.column("text")))
+            row, term, count = counter.count(terms.Words(batch.column("text")), True)
+            term = np.minimum(term, counter.size)
             weight = weights(row, term, count, m.idf, batch.num_rows) if len(row) else row
-            at = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            held = term < counter.size
+            at = np.searchsorted(row[held], np.arange(batch.num_rows + 1))
+            term, weight = term[held], weight[held]
             out = []
             for a, b in zip(at[:-1], at[1:]):
-                key = (term[a:b].tobytes(), count[a:b].tobytes())
+                key = xxh128_digest(term[a:b].tobytes() + weight[a:b].tobytes())
                 if key not in known:
                     if len(known) > 20_000:
                         known.clear()

@@ -187,6 +187,34 @@ def test_toxicity_on_unseen_documents(spark):
     assert toxicity.score(docs, none).agg(F.max("score")).first()[0] == 0
 
 
+def test_toxicity_looks_at_all_terms(spark):
+    """A word that one example holds finds that example; cosines are those of whole texts."""
+    docs, labels = corpus(spark)
+    rare = spark.createDataFrame([(900, "quibbish zorvath wab wcd", "en", "s"),
+                                  (901, "a quibbish zorvath unseenword of it", "en", "s")], docs.schema)
+    docs = docs.union(rare)
+    told = labels.union(spark.createDataFrame([(900, 0, 1)], labels.schema))
+    model = toxicity.fit(docs, told, "toxic", examples=1000)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert got[901].evidence[0] == "900" and all(len(r.evidence) == 5 for i, r in got.items() if i < 400)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    place = {t: i for i, t in enumerate(model.vocabulary)}
+
+    def vector(text):
+        n = {}
+        for w in text.split():
+            for t in toxicity.terms.terms_of(w):
+                n[t] = n.get(t, 0) + 1
+        v = {t: (1 + np.log(c)) * model.idf[place.get(t, -1)] for t, c in n.items()}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+    examples = [(i, vector(texts[i])) for i in [*range(400), 900]]
+    for i in (901, 3, 8):
+        q = vector(texts[i])
+        want = sorted((sum(x * v.get(t, 0) for t, x in q.items()) for _, v in examples), reverse=True)
+        assert np.allclose(got[i].cosines, [c for c in want[:5] if c > 0])
+
+
 def test_block_max_is_exact():
     rng = np.random.default_rng(2)
     dense = rng.random((300, 30)) * (rng.random((300, 30)) < 0.15)
