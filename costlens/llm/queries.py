@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costlens.llm import (lines, mixing, packing, pii, quality, simhash, tokens, topk, toxicity,
-                          urls)
+from costlens.llm import (lines, merkle, mixing, packing, pii, quality, simhash, tokens, topk,
+                          toxicity, urls)
 from costlens.llm.tables import only, table
 
 QUERIES: dict = {}
@@ -115,6 +115,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                 enumerate(model.domains)], "rate")
 
 
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    more = (F.col("n_chars").cast("decimal(20,0)") + 1).alias("n_chars")
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    fields = [more if f == "n_chars" else F.col(f) for f in merkle.FIELDS]
+    m = merkle.manifest(docs, tampered=F.when(changed, merkle.leaf(fields)))
+    proved = merkle.prove(m, m.leaves.select("grp", "rank", "key", "tampered"))
+    folded = merkle.fold(F.coalesce("tampered", "digest"), F.col("trail"))
+    return (proved.select(F.col("key").alias("doc_id"), F.col("digest").alias("leaf"), "subroot",
+                          "root", merkle.proof(F.col("trail")).alias("proof_sha256"),
+                          folded.alias("folded_root"))
+            .withColumn("verified", F.col("folded_root") == F.col("root")))
+
+
 ORACLE["op1_topk_search"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
@@ -173,3 +188,58 @@ k AS (SELECT x.doc_id, string_agg(x.part, chr(10) ORDER BY x.i) FILTER (WHERE g.
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text,
        coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed
 FROM documents d LEFT JOIN k USING (doc_id)"""
+
+
+def _leaf(n_chars: str = "n_chars") -> str:
+    return "sha256(" + " || ".join(
+        f"coalesce(strlen(({c})::VARCHAR) || ':' || ({c})::VARCHAR, '-')"
+        for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+# DuckDB has no crc32: bytes of the decimal id, eight shifts each, by nested folds.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+  string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda a, b: list_reduce(
+    list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y:
+      CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+ORACLE["op13_merkle_manifest"] = f"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, lang, {_leaf()} AS leaf,
+         CASE WHEN {_CRC} % 7 = 0 THEN {_leaf("n_chars + 1")} END AS tampered FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+             count(*) OVER (PARTITION BY lang) AS n FROM l),
+t AS (SELECT lang, 0 AS h, i, n, leaf AS d FROM r
+      UNION ALL
+      SELECT lang, h + 1, i // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM t
+      WHERE n > 1 GROUP BY lang, h, n, i // 2),
+s AS (SELECT lang, h AS height, d AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i,
+             count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS h, i, n, subroot AS d FROM s
+      UNION ALL
+      SELECT h + 1, i // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM u
+      WHERE n > 1 GROUP BY h, n, i // 2),
+top AS (SELECT h AS height, d AS root FROM u WHERE n = 1),
+step AS (  -- every level that a leaf passes, its place there and the other of its run
+  SELECT p.*, x.d FROM (
+    SELECT doc_id, r.lang, r.i AS leaf_at, unnest(range(0, height)) AS h, r.i AS pos
+    FROM r JOIN s ON r.lang IS NOT DISTINCT FROM s.lang) p
+  LEFT JOIN t x ON x.lang IS NOT DISTINCT FROM p.lang AND x.h = p.h AND x.i = xor(p.pos >> p.h, 1)
+  UNION ALL
+  SELECT p.doc_id, p.lang, p.leaf_at, p.h + p.height, p.pos << p.height, x.d FROM (
+    SELECT doc_id, r.lang, r.i AS leaf_at, s.height, unnest(range(0, top.height)) AS h, s.i AS pos
+    FROM r JOIN s ON r.lang IS NOT DISTINCT FROM s.lang CROSS JOIN top) p
+  LEFT JOIN u x ON x.h = p.h AND x.i = xor(p.pos >> p.h, 1)),
+path AS (SELECT lang, leaf_at, list({{'d': d, 'even': (pos >> h) & 1 = 0}} ORDER BY h) AS steps,
+                coalesce(string_agg(d, '' ORDER BY h), '') AS joined FROM step GROUP BY ALL),
+f AS (SELECT lang, i, 0 AS k, coalesce(tampered, leaf) AS pos FROM r
+      UNION ALL
+      SELECT f.lang, f.i, k + 1, sha256(CASE WHEN steps[k + 1].d IS NULL THEN f.pos
+        WHEN steps[k + 1].even THEN f.pos || steps[k + 1].d ELSE steps[k + 1].d || f.pos END)
+      FROM f JOIN path ON path.lang IS NOT DISTINCT FROM f.lang AND leaf_at = f.i
+      WHERE k < len(steps)),
+done AS (SELECT lang, i, arg_max(pos, k) AS folded FROM f GROUP BY lang, i)
+SELECT r.doc_id, r.leaf, s.subroot, top.root, sha256(coalesce(path.joined, '')) AS proof_sha256,
+       done.folded AS folded_root, done.folded = top.root AS verified
+FROM r JOIN s ON r.lang IS NOT DISTINCT FROM s.lang CROSS JOIN top
+JOIN done ON done.lang IS NOT DISTINCT FROM r.lang AND done.i = r.i
+LEFT JOIN path ON path.lang IS NOT DISTINCT FROM r.lang AND path.leaf_at = r.i"""
