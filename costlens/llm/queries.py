@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costlens.llm import (lines, merkle, mixing, packing, pii, quality, simhash, tokens, topk,
-                          toxicity, urls)
+from costlens.llm import (lines, merkle, mixing, packing, pii, quality, simhash, spelling, tokens,
+                          topk, toxicity, urls)
 from costlens.llm.tables import only, table
 
 QUERIES: dict = {}
@@ -115,6 +115,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                 enumerate(model.domains)], "rate")
 
 
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
