@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costlens.llm import (lines, merkle, mixing, packing, pii, quality, simhash, spelling, tokens,
-                          topk, toxicity, urls)
+from costlens.llm import (lines, merkle, mixing, packing, pieces, pii, quality, simhash, spelling,
+                          tokens, topk, toxicity, urls)
 from costlens.llm.tables import only, table
 
 QUERIES: dict = {}
@@ -13,6 +13,7 @@ ORACLE: dict[str, str] = {}
 
 BYTE_BPE, BYTE_IDS = "byte_bpe_50k.json", 50257
 WORD_BPE, WORD_IDS = "word_bpe_49k.json", 49408
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def query(fn):
@@ -115,6 +116,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                 enumerate(model.domains)], "rate")
 
 
+@query
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode(table(spark, sf_dir, "documents"), vocabulary_file(PIECE_BPE))
+    written = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(written.cast("binary"), 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 @query
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
