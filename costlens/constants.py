@@ -117,6 +117,7 @@ SEQUENCE_FEATURES = [
     "pct_change_7d", "cost_lag_1d", "cost_lag_7d", "cost_lag_30d",
 ]
 SEQUENCE_ERROR_PERCENTILE = 0.95
+SEQUENCE_LEAST_COLUMNS = 3
 
 # --- fixed values: smallest group sizes --------------------------------------
 MIN_ROWS = {

@@ -15,7 +15,6 @@ import logging
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
-from pyspark.sql.utils import AnalysisException
 
 from costlens import session
 from costlens.operators.dedup import first_wins
@@ -56,11 +55,7 @@ def register(spark: SparkSession, root: str) -> None:
 
 
 def _exists(spark: SparkSession, root: str, table: str) -> bool:
-    try:
-        spark.read.schema(_stored(table)).parquet(path(root, table))
-        return True
-    except AnalysisException:
-        return False
+    return session.exists(spark, path(root, table))
 
 
 def _writer(df: DataFrame, table: str):
@@ -337,10 +332,8 @@ def save_params(params: DataFrame, root: str, model: str) -> None:
 
 
 def load_params(spark: SparkSession, root: str, model: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(f"{root.rstrip('/')}/models/{model}")
-    except AnalysisException:
-        return None
+    place = f"{root.rstrip('/')}/models/{model}"
+    return spark.read.parquet(place) if session.exists(spark, place) else None
 
 
 def merge_params(spark: SparkSession, root: str, model: str, fresh: DataFrame,

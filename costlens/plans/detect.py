@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from costlens import constants as C
+from costlens import constants as C, session
 from costlens.functions import identity, scoring as sc
 from costlens.operators import filters as flt, forest, gram, series, tables
 from costlens.operators.dedup import groups_of_size
@@ -58,15 +58,35 @@ class IsolationForest:
         self.trees, self.min_rows, self.columns = trees, min_rows, columns
         self._x = [f"_x_{c}" for c in columns]
 
+    def _trees(self, features: DataFrame) -> DataFrame:
+        rows = _matrix(features, self.columns).select(*FEATURE_KEY, *self._x)
+        return forest.fit_forest(rows, GROUP, self._x, FEATURE_KEY, self.trees,
+                                 min_rows=self.min_rows)
+
+    def _raw(self, features: DataFrame, trees: DataFrame) -> DataFrame:
+        """`features` with `outlier_score`; rows are carried through, not joined back."""
+        return forest.score_forest(_matrix(features, self.columns), trees, GROUP, self._x,
+                                   FEATURE_KEY).drop(*self._x)
+
+    def _normalised(self, raw: DataFrame, ranges: DataFrame) -> DataFrame:
+        # the library's decision value falls as the outlier score rises
+        score = sc.range_score(-F.col("outlier_score"), -F.col("score_max"),
+                               -F.col("score_min"))
+        return (raw.join(ranges, GROUP, "left")
+                .withColumn("iforest_score", F.coalesce(score, F.lit(0.0)))
+                .drop("outlier_score", "score_min", "score_max"))
+
     def fit(self, features: DataFrame) -> DataFrame:
         """Trees with the group's score range on the rows they were fitted on."""
-        rows = _matrix(features, self.columns).select(*FEATURE_KEY, *self._x)
-        trees = forest.fit_forest(rows, GROUP, self._x, FEATURE_KEY, self.trees,
-                                  min_rows=self.min_rows)
-        scored = forest.score_forest(rows, trees, GROUP, self._x, FEATURE_KEY)
-        ranges = forest.score_ranges(scored.where("outlier_score IS NOT NULL"), GROUP,
+        return self.fit_score(features)[0]
+
+    def fit_score(self, features: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Parameters and the scored rows they were fitted on, scored once."""
+        trees = session.materialize(self._trees(features), "trees")
+        raw = session.materialize(self._raw(features, trees), "outlier-scores")
+        ranges = forest.score_ranges(raw.where("outlier_score IS NOT NULL"), GROUP,
                                      "outlier_score")
-        return trees.join(ranges, GROUP)
+        return trees.join(ranges, GROUP), self._normalised(raw, ranges)
 
     def score(self, features: DataFrame, params: DataFrame | None) -> DataFrame:
         if params is None:
@@ -74,15 +94,7 @@ class IsolationForest:
         trees = params.drop("score_min", "score_max")
         ranges = params.groupBy(*GROUP).agg(F.first("score_min").alias("score_min"),
                                             F.first("score_max").alias("score_max"))
-        rows = _matrix(features, self.columns).select(*FEATURE_KEY, *self._x)
-        raw = forest.score_forest(rows, trees, GROUP, self._x, FEATURE_KEY).select(
-            *FEATURE_KEY, "outlier_score")
-        # the library's decision value falls as the outlier score rises
-        score = sc.range_score(-F.col("outlier_score"), -F.col("score_max"),
-                               -F.col("score_min"))
-        return (features.join(raw, FEATURE_KEY, "left").join(ranges, GROUP, "left")
-                .withColumn("iforest_score", F.coalesce(score, F.lit(0.0)))
-                .drop("outlier_score", "score_min", "score_max"))
+        return self._normalised(self._raw(features, trees), ranges)
 
 
 class SequenceReconstruction:
@@ -91,15 +103,19 @@ class SequenceReconstruction:
     The encoder is the leading principal directions of a group's windows, taken
     from its grouped second moments; the error threshold is the 95th percentile
     over the last part of the data. Off by default: its ensemble weight is 0.
+
+    A group is fitted if it has enough rows in all and enough of them in its training
+    part; features with fewer than three of the columns fit no group.
     """
 
     name = "sequence"
 
     def __init__(self, components: int = 8, length: int = C.SEQUENCE_LENGTH,
                  min_rows: int = C.MIN_ROWS["sequence"],
-                 columns: list[str] = C.SEQUENCE_FEATURES):
+                 columns: list[str] = C.SEQUENCE_FEATURES,
+                 min_train: int = C.MIN_ROWS["sequence_train"]):
         self.components, self.length, self.min_rows = components, length, min_rows
-        self.columns = columns
+        self.columns, self.min_train = columns, min_train
 
     def _scaled(self, rows: DataFrame, ranges: DataFrame) -> DataFrame:
         width = {c: F.col(f"_max_{c}") - F.col(f"_min_{c}") for c in self.columns}
@@ -117,13 +133,17 @@ class SequenceReconstruction:
                                          self.length)
 
     def train_ranges(self, split_rows: DataFrame) -> DataFrame:
-        """Min and max per group over the training part only."""
+        """Min and max per group over the training part only, where it has enough rows."""
         part = split_rows.where("split = 'train'")
         return part.groupBy(*GROUP).agg(
+            F.count(F.lit(1)).alias("_train_rows"),
             *[F.min(c).alias(f"_min_{c}") for c in self.columns],
-            *[F.max(c).alias(f"_max_{c}") for c in self.columns])
+            *[F.max(c).alias(f"_max_{c}") for c in self.columns]).where(
+            F.col("_train_rows") >= self.min_train).drop("_train_rows")
 
     def fit(self, features: DataFrame) -> DataFrame:
+        if len(set(self.columns) & set(features.columns)) < C.SEQUENCE_LEAST_COLUMNS:
+            features = features.where(F.lit(False))
         rows = groups_of_size(self._numbers(features), GROUP, self.min_rows)
         rows = series.chronological_split(rows, GROUP, "feature_date", DIMENSIONS[2:])
         ranges = self.train_ranges(rows)
@@ -256,8 +276,7 @@ def run(spark: SparkSession, root: str, start, end, detected_at: Column, cloud=N
     if "predict" not in mode:
         return features.sparkSession.createDataFrame([], "cloud_provider string")
     from costlens.operators.reports import detection_report
-    from costlens.session import materialize
-    scored = materialize(detect(features, detectors, params, weights), "scored")
+    scored = session.materialize(detect(features, detectors, params, weights), "scored")
     found = to_anomalies(scored, detected_at)
     tables.merge(found, root, "anomalies", ["severity", "ensemble_score"])
     tables.update_flags(root, found.select(

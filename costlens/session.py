@@ -57,6 +57,21 @@ def local_default(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there anything at a path or pattern? Asked of the file system that holds it, as a
+    read that fails would be logged as an error."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(place)
+    return found is not None and len(found) > 0
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """Let iterative fits cut their lineage in the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(run_path(spark, "checkpoints"))
+
+
 def run_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder, never reused by another run."""
     return f"{shared_dir(spark).rstrip('/')}/costlens/{label}-{uuid.uuid4().hex}"

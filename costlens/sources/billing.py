@@ -6,9 +6,8 @@ from datetime import date
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.utils import AnalysisException
 
-from costlens import constants as C
+from costlens import constants as C, session
 from costlens.operators import filters as flt
 from costlens.schemas import RAW_BILLING
 
@@ -37,13 +36,7 @@ def blanks_to_null(df: DataFrame) -> DataFrame:
 
 def _load(spark: SparkSession, paths: list[str]) -> DataFrame | None:
     """One scan over the paths that exist; provider folders are concatenated."""
-    found = []
-    for p in paths:
-        try:
-            spark.read.schema(RAW_BILLING).parquet(p).limit(0).schema
-            found.append(p)
-        except AnalysisException:
-            continue
+    found = [p for p in paths if session.exists(spark, p)]
     return spark.read.schema(RAW_BILLING).parquet(*found) if found else None
 
 

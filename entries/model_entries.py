@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from costlens import constants as C, session
 from costlens.operators import forecasts as fq, rollup, series, tables
@@ -32,10 +32,7 @@ def _stored(b, label: str) -> str:
 
 @entry("ml2_isolation_forest")
 def _(b):
-    rows = session.materialize(b.features, "features")
-    forest = detect.IsolationForest()
-    params = session.materialize(forest.fit(rows), "forest")
-    scored = forest.score(rows, params)
+    _, scored = detect.IsolationForest().fit_score(session.materialize(b.features, "features"))
     return scored.select(*FEATURE_KEY, "total_cost_usd", "z_score_30d", "iforest_score")
 
 
@@ -73,6 +70,55 @@ def _(b):
     return report.join(flagged, ["cloud_provider", "service_category"], "left")
 
 
+@entry("ml3_sequence_gates", sql(f"""
+    SELECT cloud_provider, service_category, n, n >= {C.MIN_ROWS['sequence']}
+      AND floor(n * {C.TRAIN_RATIO}::DOUBLE) >= {C.MIN_ROWS['sequence_train']} AS fitted,
+      CAST(0 AS BIGINT) AS early, CAST(0 AS BIGINT) AS outside
+    FROM (SELECT cloud_provider, service_category, count(*) AS n FROM feat GROUP BY ALL)""", "feat"))
+def _(b):
+    """Groups with enough rows are fitted; scores lie in 0..1 and start with the 30th row of a
+    series."""
+    rows = session.materialize(b.features, "features")
+    detector = detect.SequenceReconstruction()
+    params = session.materialize(detector.fit(rows), "sequence")
+    number = F.row_number().over(series.over_series("feature_date"))
+    scored = detector.score(rows, params).withColumn("_i", number)
+    score = F.col("sequence_score")
+    counted = scored.groupBy(*at.GROUP).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if((F.col("_i") < C.SEQUENCE_LENGTH) & (score != 0)).alias("early"),
+        F.count_if(~score.between(0, 1)).alias("outside"))
+    fitted = params.select(*at.GROUP, F.lit(True).alias("fitted"))
+    return counted.join(fitted, at.GROUP, "left").withColumn(
+        "fitted", F.coalesce("fitted", F.lit(False)))
+
+
+@entry("ml5_flags_agree", sql("""
+    SELECT cloud_provider, service_category, count(*) AS n, CAST(0 AS BIGINT) AS disagreeing,
+      CAST(0 AS BIGINT) AS unreported FROM bill GROUP BY ALL""", "bill"))
+def _(b):
+    """After the job a billing row is flagged, with the severity, just where its (cloud,
+    category, account, date) is a stored anomaly, and the report counts them all."""
+    from costlens.functions.scoring import severity_rank
+    root = _stored(b, "ml5-flags")
+    report = detect.run(b.spark, root, "1995-01-01", "2001-12-31",
+                        F.to_timestamp(F.lit("2002-01-01")))
+    found = tables.scan(b.spark, root, "anomalies")
+    keys = ["cloud_provider", "service_category", "account_id", "usage_date"]
+    named = found.withColumnRenamed("service", "service_category")
+    worst = named.groupBy(*keys).agg(
+        F.max_by("severity", severity_rank(F.col("severity"))).alias("wanted"))
+    rows = tables.scan(b.spark, root, "billing_records").join(worst, keys, "left")
+    same = (F.col("anomaly_flag") == F.col("wanted").isNotNull()) & F.col(
+        "anomaly_severity").eqNullSafe(F.col("wanted"))
+    stored = named.groupBy(*at.GROUP).agg(F.count(F.lit(1)).alias("stored"))
+    unreported = report.join(stored, at.GROUP, "left").select(
+        *at.GROUP, F.abs(F.col("anomalies") - F.coalesce("stored", F.lit(0))).alias("unreported"))
+    return rows.groupBy(*at.GROUP).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~same).alias("disagreeing")).join(
+        unreported, at.GROUP, "left").withColumn("unreported", F.coalesce("unreported", F.lit(0)))
+
+
 @entry("ml6_seasonal_forecaster")
 def _(b):
     series_df = session.materialize(fq.forecast_input(b.features), "series")
@@ -100,10 +146,51 @@ def _(b):
 @entry("ml7_boosted_forecaster")
 def _(b):
     series_df = session.materialize(fq.forecast_input(b.features), "series")
-    model = fp.Boosted(max_trees=10, depth=4)
+    model = fp.Boosted()
     return model.predict(session.materialize(model.fit(series_df), "boosted"))
 
 
+@entry("ml6_band_growth", sql(f"""
+    SELECT cloud_provider, service_category AS service, CAST(29 AS BIGINT) AS widening,
+      CAST(30 AS BIGINT) AS explained FROM feat GROUP BY ALL
+    HAVING count(DISTINCT feature_date) >= {C.MIN_ROWS['seasonal']}""", "feat"))
+def _(b):
+    """Bands widen from day to day, as the stored spread and trend changes say."""
+    model = fp.Seasonal()
+    fitted = session.materialize(
+        model.fit(session.materialize(fq.forecast_input(b.features), "series")), "seasonal")
+    rows = model.predict(fitted, 30).join(
+        fitted.select(*fp.GROUP, "beta", "sigma", "scale", "span_days", "last_day"), fp.GROUP)
+    days = W.partitionBy(*fp.GROUP).orderBy("forecast_date")
+    half = F.col("upper_bound") - F.col("predicted_cost")
+    rows = rows.withColumns({"half": half, "before": F.lag(half).over(days)})
+    explained = F.expr("""abs(half - 1.96 * sqrt(pow(sigma, 2) + pow(scale * aggregate(
+        slice(beta, 3, 25), 0D, (s, x) -> s + abs(x)) / 25, 2) * 2 * 31.25 / 3
+        * pow(datediff(forecast_date, last_day) / span_days, 3))) <= 1e-9 * abs(half)""")
+    return rows.groupBy(*fp.GROUP).agg(F.count_if(F.col("half") > F.col("before")).alias("widening"),
+                                       F.count_if(explained).alias("explained"))
+
+
+@entry("ml7_boosted_horizons", sql(f"""
+    SELECT cloud_provider, service, h AS horizon_days, CAST(last + h AS VARCHAR) AS forecast_date,
+      CAST(n - h - floor((n - h) * {C.TRAIN_RATIO}::DOUBLE) - floor((n - h) *
+        {C.VAL_RATIO}::DOUBLE) AS BIGINT) AS test_rows, true AS inside
+    FROM (SELECT cloud_provider, service_category AS service, max(feature_date) AS last,
+            CAST(count(DISTINCT feature_date) AS INTEGER) AS n FROM feat GROUP BY ALL)
+      JOIN (SELECT unnest({C.FORECAST_HORIZONS}) AS h) ON n > h
+    WHERE n >= {C.MIN_ROWS['boosted']}""", "feat"))
+def _(b):
+    """One forecast per group and horizon that its series reaches, inside its band."""
+    model = fp.Boosted()
+    params = session.materialize(
+        model.fit(session.materialize(fq.forecast_input(b.features), "series")), "boosted")
+    inside = F.col("predicted_cost").between(F.col("lower_bound"), F.col("upper_bound"))
+    return model.predict(params).join(
+        params.select(*fp.GROUP, "horizon_days", "test_rows"), [*fp.GROUP, "horizon_days"]).select(
+        *fp.GROUP, "horizon_days", "forecast_date", "test_rows",
+        (inside | (F.col("predicted_cost") < 0)).alias("inside"))
+
+
 BLEND_SIDE = """SELECT cloud_provider, service, forecast_date, sum(predicted_cost) AS p,
     sum(lower_bound) AS lo, sum(upper_bound) AS hi FROM fcst WHERE model_used = '{m}'
     GROUP BY ALL"""
@@ -186,11 +273,58 @@ def _(b):
 @entry("ml9_forecast_job")
 def _(b):
     root = _stored(b, "ml9")
-    fp.run(b.spark, root, "1995-01-01", "2001-12-31", F.to_timestamp(F.lit("2002-01-01")),
-           boosted=fp.Boosted(max_trees=5, depth=3))
+    fp.run(b.spark, root, "1995-01-01", "2001-12-31", F.to_timestamp(F.lit("2002-01-01")))
     return tables.scan(b.spark, root, "forecasts")
 
 
+@entry("ml9_blend_of_stored", sql(f"""
+    SELECT cloud_provider, service_category AS service, CASE WHEN count(DISTINCT feature_date)
+      >= {C.MIN_ROWS['seasonal']} THEN 90 ELSE 3 END AS dates, true AS consistent
+    FROM feat GROUP BY ALL HAVING count(DISTINCT feature_date) >= {C.MIN_ROWS['boosted']}""", "feat"))
+def _(b):
+    """Stored forecasts are the weighted means of their stored parts, one for each day."""
+    root = _stored(b, "ml9-blend")
+    fp.run(b.spark, root, "1995-01-01", "2001-12-31", F.to_timestamp(F.lit("2002-01-01")))
+    zero = F.lit(0.0)
+    mixed = (F.coalesce(F.col("seasonal_prediction") * F.col("seasonal_weight"), zero)
+             + F.coalesce(F.col("boosted_prediction") * F.col("boosted_weight"), zero))
+    last = F.date_sub("forecast_date", F.col("horizon_days"))
+    rows = tables.scan(b.spark, root, "forecasts")
+    return rows.groupBy(*fp.GROUP).agg(
+        F.countDistinct("forecast_date").cast("int").alias("dates"),
+        (F.bool_and(F.abs(F.greatest(mixed, zero) - F.col("predicted_cost"))
+                    <= 1e-9 * (1 + F.abs("predicted_cost")))
+         & F.bool_and(F.abs(F.col("seasonal_weight") + F.col("boosted_weight") - 1) <= 1e-9)
+         & (F.min(last) == F.max(last))).alias("consistent"))
+
+
+@entry("ml9_force_one_cloud", sql(f"""
+    SELECT cloud_provider, count(*) AS groups, count(*) FILTER (WHERE cloud_provider = 'aws')
+      AS refitted, sum(CASE WHEN n >= {C.MIN_ROWS['seasonal']} THEN 90 ELSE 3 END)::BIGINT
+      AS forecasts FROM (SELECT cloud_provider, count(DISTINCT feature_date) AS n FROM feat
+      GROUP BY cloud_provider, service_category) WHERE n >= {C.MIN_ROWS['boosted']}
+    GROUP BY 1""", "feat"))
+def _(b):
+    """Models of one cloud are fitted anew and stored; the others' stay, and all predict."""
+    root = _stored(b, "ml9-force")
+    span, now = ("1995-01-01", "2001-12-31"), F.to_timestamp(F.lit("2002-01-01"))
+    fp.run(b.spark, root, *span, now, mode="train")
+
+    def versions(name):
+        return session.materialize(tables.load_params(b.spark, root, "boosted").groupBy(
+            *fp.GROUP).agg(F.any_value("version").alias(name)), "versions")
+
+    before = versions("before")
+    fp.run(b.spark, root, *span, now, cloud="aws", mode="train", force=True)
+    both = before.join(versions("after"), fp.GROUP, "full_outer")
+    fp.run(b.spark, root, *span, now, mode="predict")
+    counts = tables.scan(b.spark, root, "forecasts").groupBy("cloud_provider").agg(
+        F.count(F.lit(1)).alias("forecasts"))
+    return both.groupBy("cloud_provider").agg(
+        F.count(F.lit(1)).alias("groups"),
+        F.count_if(F.col("before") != F.col("after")).alias("refitted")).join(counts, "cloud_provider")
+
+
 @entry("ml10_attribution_fit")
 def _(b):
     return at.fit(b.features).select(
