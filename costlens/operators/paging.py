@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 MAX_PAGE_SIZE = 500
 
@@ -30,6 +30,22 @@ def page(df: DataFrame, order: list[Column], page: int = 1, page_size: int = 50,
         "has_next", F.col("total") > F.lit(page * page_size))
 
 
+def page_result(df: DataFrame, order: list[Column], number: int = 1, page_size: int = 50,
+                max_size: int = MAX_PAGE_SIZE) -> DataFrame:
+    """One row: `items` (the page's rows in order), `total`, `page`, `page_size`, `has_next`.
+
+    A page behind the last one has no items but still the total.
+    """
+    rows = page(df, order, number, page_size, max_size)
+    place = F.row_number().over(W.orderBy(*order))
+    rows = rows.select(place.alias("_i"), F.struct(*df.columns).alias("item"))
+    items = F.transform(F.sort_array(F.collect_list(F.struct("_i", "item"))), lambda x: x["item"])
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return rows.agg(items.alias("items")).withColumns({
+        "total": total, "page": F.lit(number), "page_size": F.lit(page_size),
+        "has_next": total > F.lit(number * page_size)})
+
+
 def page_after(df: DataFrame, key: str, last_seen, page_size: int) -> DataFrame:
     """Keyset paging: cost does not grow with the page number."""
     rest = df if last_seen is None else df.where(F.col(key) > F.lit(last_seen))

@@ -27,6 +27,14 @@ def daily_rollup(billing: DataFrame, start=None, end=None) -> DataFrame:
                  F.avg("cost_usd").alias("avg_cost_usd")))
 
 
+def add_up(daily: DataFrame) -> DataFrame:
+    """One rollup row per key from several partial ones."""
+    return daily.groupBy(*DAILY_KEY).agg(
+        F.sum("total_cost_usd").alias("total_cost_usd"),
+        F.sum("record_count").alias("record_count")).withColumn(
+        "avg_cost_usd", F.col("total_cost_usd") / F.col("record_count"))
+
+
 def regroup_daily(daily: DataFrame, start=None, end=None, cloud=None, service=None,
                   group_by: tuple[str, ...] = ("agg_date", "cloud_provider")) -> DataFrame:
     """Re-aggregate the rollup by any of its dimensions."""

@@ -91,32 +91,52 @@ def rebuild_recent(daily: DataFrame, as_of, days_back: int = 7) -> DataFrame:
     return build_features(daily, end - timedelta(days=days_back), end)
 
 
+def _before(rows: DataFrame, groups: list[str], order: list[str], count: str) -> DataFrame:
+    """`rows` with `_before`, the sum of `count` over a group's earlier rows."""
+    w = W.partitionBy(*groups).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumn("_before", F.coalesce(F.sum(count).over(w), F.lit(0)))
+
+
+def _null_safe(left: list[str], right: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right)])
+
+
 def chronological_split(df: DataFrame, groups: list[str], order: str, tiebreak: list[str],
                         train: float = C.TRAIN_RATIO, val: float = C.VAL_RATIO) -> DataFrame:
     """`split` by row position in the group: first 70 %, next 15 %, the rest.
 
-    Positions come from counts: a group's cells (a day and a value of the first
-    tiebreak column) are cumulated, one row per cell, and rows are numbered only
-    within their own cell. No task ever holds a group, nor all rows of a day.
+    Positions come from counts on two levels: the days of a group are cumulated (one row
+    per day), then the cells of a day (a cell is a day and a value of the first tiebreak
+    column, one row per cell), and rows are numbered only within their own cell. No task
+    ever holds a group, nor all rows of a day.
     """
     cell = list(dict.fromkeys([order, *tiebreak[:1]]))
     counts = df.groupBy(*groups, *cell).agg(F.count(F.lit(1)).alias("_n"))
-    w = W.partitionBy(*groups)
-    counts = counts.select(
-        *[F.col(c).alias(f"_{c}") for c in (*groups, *cell)],
-        F.coalesce(F.sum("_n").over(w.orderBy(*cell).rowsBetween(W.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_before"),
-        F.sum("_n").over(w).alias("group_rows"))
+    day_key = [f"_d_{c}" for c in (*groups, order)]
+    days = counts.groupBy(*groups, order).agg(F.sum("_n").alias("_n"))
+    days = _before(days, groups, [order], "_n").select(
+        *[F.col(c).alias(k) for c, k in zip((*groups, order), day_key)],
+        F.col("_before").alias("_day_before"),
+        F.sum("_n").over(W.partitionBy(*groups)).alias("group_rows"))
+    cell_key = [f"_{c}" for c in (*groups, *cell)]
+    if len(cell) > 1:
+        counts = _before(counts, [*groups, order], cell[1:], "_n").join(
+            days, _null_safe([*groups, order], day_key))
+        counts = counts.select(
+            *[F.col(c).alias(k) for c, k in zip((*groups, *cell), cell_key)],
+            (F.col("_before") + F.col("_day_before")).alias("_before"), "group_rows")
+    else:
+        counts = days.withColumnRenamed("_day_before", "_before").withColumnsRenamed(
+            dict(zip(day_key, cell_key)))
     in_cell = W.partitionBy(*groups, *cell).orderBy(*tiebreak)
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}"))
-                                       for c in (*groups, *cell)])
     train_end = F.floor(F.col("group_rows") * F.lit(train))
     val_end = train_end + F.floor(F.col("group_rows") * F.lit(val))
-    return (df.withColumn("_in_cell", F.row_number().over(in_cell)).join(counts, same)
+    return (df.withColumn("_in_cell", F.row_number().over(in_cell))
+            .join(counts, _null_safe([*groups, *cell], cell_key))
             .withColumn("position", F.col("_before") + F.col("_in_cell") - 1)
             .withColumn("split", F.when(F.col("position") < train_end, "train")
                         .when(F.col("position") < val_end, "val").otherwise("test"))
-            .drop("_in_cell", "_before", *[f"_{c}" for c in (*groups, *cell)]))
+            .drop("_in_cell", "_before", *cell_key))
 
 
 def last_row(df: DataFrame, groups: list[str], order: str) -> DataFrame:

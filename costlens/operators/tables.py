@@ -25,6 +25,10 @@ log = logging.getLogger(__name__)
 
 PART = "part_date"
 GRAIN = {"billing_records": "week"}
+#: Columns that name single rows, by which an index finds a row's partition.
+IDENTIFIERS = {"billing_records": ("fingerprint", "record_id")}
+INDEX = "id_hash bigint, part_date date, bucket int"
+INDEX_BUCKETS = 32
 
 
 def path(root: str, table: str) -> str:
@@ -113,14 +117,72 @@ def _touched(spark: SparkSession, root: str, table: str, incoming: DataFrame) ->
     return stored.where(F.col(PART).isin(_parts(incoming)))
 
 
+# --- identifier index --------------------------------------------------------
+
+def _index_path(root: str, table: str) -> str:
+    return path(root, f"_index/{table}")
+
+
+def _write_index(rows: DataFrame, root: str, table: str, mode: str) -> None:
+    hashes = F.explode(F.array(*[F.xxhash64(c) for c in IDENTIFIERS[table]]))
+    entries = rows.select(hashes.alias("id_hash"), PART).distinct()
+    entries = entries.withColumn("bucket", F.pmod("id_hash", F.lit(INDEX_BUCKETS)).cast("int"))
+    (entries.hint("rebalance", "bucket").write.mode(mode)
+     .option("partitionOverwriteMode", "static").partitionBy("bucket")
+     .parquet(_index_path(root, table)))
+
+
+def rebuild_index(spark: SparkSession, root: str, table: str) -> None:
+    """Write a table's index anew from its stored rows, for one that has none yet or many
+    small files."""
+    stored = spark.read.schema(_stored(table)).parquet(path(root, table))
+    _write_index(stored, root, table, "overwrite")
+
+
+def _index(rows: DataFrame, root: str, table: str) -> None:
+    """Note the partitions of rows that are about to be written.
+
+    The index is written first, so it names every stored row whatever fails; it may name
+    more, as it is not trimmed when a batch is repeated.
+    """
+    if table not in IDENTIFIERS:
+        return
+    spark = rows.sparkSession
+    if _exists(spark, root, table) and not session.exists(spark, _index_path(root, table)):
+        rebuild_index(spark, root, table)
+    _write_index(rows, root, table, "append")
+
+
+def holding(spark: SparkSession, root: str, table: str, ids: DataFrame) -> list:
+    """Partitions that may hold a row with one of `ids.identifier`.
+
+    Reads only the index buckets that the identifiers fall in, and no stored row.
+    """
+    if not session.exists(spark, _index_path(root, table)):
+        rebuild_index(spark, root, table)
+    return _parts(_index_entries(spark, root, table, ids))
+
+
+def _index_entries(spark: SparkSession, root: str, table: str, ids: DataFrame) -> DataFrame:
+    hashed = session.materialize(ids.select(F.xxhash64("identifier").alias("id_hash")).distinct(),
+                                 "id-hashes")
+    bucket = F.pmod("id_hash", F.lit(INDEX_BUCKETS)).cast("int")
+    buckets = [r["b"] for r in hashed.select(bucket.alias("b")).distinct().toLocalIterator()]
+    entries = spark.read.schema(INDEX).parquet(_index_path(root, table))
+    return entries.where(F.col("bucket").isin(buckets)).join(hashed, "id_hash", "left_semi")
+
+
+# --- writes ------------------------------------------------------------------
+
 def _append(df: DataFrame, root: str, table: str) -> None:
     spread = df.hint("rebalance", PART) if TABLES[table][2] else df
     _writer(spread, table).mode("append").save(path(root, table))
 
 
-def _overwrite(df: DataFrame, root: str, table: str) -> None:
+def _overwrite(df: DataFrame, root: str, table: str, staged: bool = False) -> None:
+    """Replace the partitions that `df` has rows for; it is staged first if it is not yet."""
     spark = df.sparkSession
-    staged = session.materialize(df, f"staging-{table}")
+    staged = df if staged else session.materialize(df, f"staging-{table}")
     spread = staged.hint("rebalance", PART) if TABLES[table][2] else staged
     (_writer(spread, table).mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .save(path(root, table)))
@@ -159,6 +221,7 @@ def insert_if_absent(df: DataFrame, root: str, table: str,
         once = first_wins(once, key, order or [*first, *_by_value(incoming)])
     batch = session.materialize(once, f"batch-{table}")
     stored = _touched(spark, root, table, batch).select(*key)
+    _index(batch, root, table)
     added = Observation()
     new = batch.join(stored, key, "left_anti").observe(added, F.count(F.lit(1)).alias("rows"))
     _append(new.select(*batch.columns), root, table)
@@ -167,6 +230,35 @@ def insert_if_absent(df: DataFrame, root: str, table: str,
     return {"inserted": inserted, "skipped": total - inserted, "total": total}
 
 
+def new_rows(df: DataFrame, root: str, table: str) -> DataFrame:
+    """The rows that `insert_if_absent` would append, in the table's columns."""
+    key = TABLES[table][1]
+    once = first_wins(_with_part(conform(df, table), table), key, _by_value(conform(df, table)))
+    batch = session.materialize(once, f"batch-{table}")
+    stored = _touched(df.sparkSession, root, table, batch).select(*key)
+    return batch.join(stored, key, "left_anti").select(*[f.name for f in TABLES[table][0]])
+
+
+def append(rows: DataFrame, root: str, table: str) -> None:
+    """Add rows whose keys are known not to be stored."""
+    rows = _with_part(conform(rows, table), table)
+    _index(rows, root, table)
+    _append(rows, root, table)
+    rows.sparkSession.catalog.refreshByPath(path(root, table))
+
+
+def touched_with(incoming: DataFrame, root: str, table: str) -> DataFrame:
+    """Stored rows of the partitions that the staged `incoming` falls in, and its own."""
+    incoming = _with_part(conform(incoming, table), table)
+    stored = _touched(incoming.sparkSession, root, table, incoming)
+    return stored.unionByName(incoming).drop(PART)
+
+
+def replace_partitions(staged: DataFrame, root: str, table: str) -> None:
+    """Write staged rows over the partitions they fall in, which they hold whole."""
+    _overwrite(_with_part(conform(staged, table), table), root, table, staged=True)
+
+
 def merge(df: DataFrame, root: str, table: str, update: list[str] | None = None,
           order: list[str | Column] | None = None) -> None:
     """Keyed merge: new keys are inserted, existing ones take the `update` columns.
@@ -180,6 +272,7 @@ def merge(df: DataFrame, root: str, table: str, update: list[str] | None = None,
     incoming = first_wins(incoming, key, order or _by_value(incoming))
     incoming = session.materialize(incoming, f"batch-{table}")
     stored = _touched(spark, root, table, incoming)
+    _index(incoming, root, table)
     part = [PART] if TABLES[table][2] else []
     old = stored.select(*key, *part, F.struct(*names).alias("_old"))
     new = incoming.select(*key, *part, F.struct(*names).alias("_new"))
@@ -248,17 +341,17 @@ def _holding(root: str, table: str, spark: SparkSession, hit: Column, listed: Da
 
 
 def update_flags_by_identifier(root: str, flagged: DataFrame) -> None:
-    """Flag stored rows by fingerprint or record id; only partitions with one are rewritten."""
-    spark = flagged.sparkSession
-    if not _exists(spark, root, "billing_records"):
+    """Flag stored rows by fingerprint or record id.
+
+    The index says which partitions hold one; only those are read and rewritten.
+    """
+    spark, table = flagged.sparkSession, "billing_records"
+    if not _exists(spark, root, table):
         return
     ids = session.materialize(flagged.select("identifier", "severity"), "flagged")
-    parts = [F.col("identifier") == F.col(c) for c in ("fingerprint", "record_id")]
-    dates = {p for hit in parts for p in _parts(_holding(root, "billing_records", spark, hit, ids))}
-    stored = spark.read.schema(_stored("billing_records")).parquet(path(root, "billing_records"))
-    touched = stored.where(F.col(PART).isin(sorted(dates)))
-    _overwrite(_with_part(flag_by_identifier(touched.drop(PART), ids), "billing_records"), root,
-               "billing_records")
+    stored = spark.read.schema(_stored(table)).parquet(path(root, table))
+    touched = stored.where(F.col(PART).isin(sorted(holding(spark, root, table, ids))))
+    _overwrite(_with_part(flag_by_identifier(touched.drop(PART), ids), table), root, table)
 
 
 def resolve_stored(root: str, resolutions: DataFrame) -> int:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import time
+import uuid
+from collections.abc import Callable
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.utils import AnalysisException
 
 from costlens import constants as C, session
 from costlens.functions import calendar as cal, identity
@@ -84,12 +85,12 @@ STATE_COLUMNS = "cloud_provider string, last_ingested_date date, total_records b
 def state_after(state: DataFrame, loaded: DataFrame) -> DataFrame:
     """State merged with a load (cloud_provider, last_date, records).
 
-    The mark moves only for providers that delivered rows.
+    The mark moves only for providers that delivered rows, and never back.
     """
     got = loaded.where("records > 0").select(
         "cloud_provider", F.col("last_date").alias("_d"), F.col("records").alias("_n"))
     return state.join(got, "cloud_provider", "full_outer").select(
-        "cloud_provider", F.coalesce("_d", "last_ingested_date").alias("last_ingested_date"),
+        "cloud_provider", F.greatest("_d", "last_ingested_date").alias("last_ingested_date"),
         (F.coalesce("total_records", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias(
             "total_records"))
 
@@ -111,13 +112,29 @@ def pending(raw: DataFrame, state: DataFrame, as_of, fallback: str = C.INGESTION
             ) -> DataFrame:
     """Raw rows after each provider's mark, up to the day before `as_of`.
 
-    A date that does not parse is never pending; a full load rejects it.
+    Rows whose date does not parse go by the day they were ingested, and are always
+    pending if that is unknown too: they are rejected, once, where they are stored.
     """
-    until = day_before(as_of)
     marks = next_starts(state, fallback)
-    day = F.col("usage_date").try_cast("date")
-    return (raw.join(F.broadcast(marks), "cloud_provider")
-            .where((day >= F.col("next_start")) & (day <= F.lit(until))).drop("next_start"))
+    day = F.coalesce(F.col("usage_date").try_cast("date"), _ingested())
+    dated = (F.col("usage_date").try_cast("date").isNull() & day.isNull()) | (
+        (day >= F.col("next_start")) & (day <= F.lit(day_before(as_of))))
+    return raw.join(F.broadcast(marks), "cloud_provider").where(dated).drop("next_start")
+
+
+def _ingested() -> Column:
+    return F.col("ingested_at").try_cast("timestamp").cast("date")
+
+
+def undated(raw: DataFrame, start) -> DataFrame:
+    """Rows whose date does not parse, ingested from `start` on or at an unknown time.
+
+    The first test is on raw text and reaches the file's statistics: ISO times order as
+    text, and other text, which may be anything, is kept.
+    """
+    at = F.col("ingested_at")
+    recent = at.isNull() | (at >= F.lit(str(start))) | (at < F.lit("1"))
+    return raw.where(recent).where(F.col("usage_date").try_cast("date").isNull())
 
 
 def reset(state: DataFrame, cloud: str | None = None) -> DataFrame:
@@ -126,37 +143,49 @@ def reset(state: DataFrame, cloud: str | None = None) -> DataFrame:
         else state.where(F.lit(False))
 
 
-def read_state(spark: SparkSession, root: str) -> DataFrame:
-    """The newest state version; versions are written whole and never edited."""
+def _versions(spark: SparkSession, root: str) -> tuple[str, int]:
+    """The state's folder and its newest version, -1 if there is none."""
     path = tables.path(root, "ingestion_state")
-    try:
-        versions = spark.read.schema(f"{STATE_COLUMNS}, version bigint").parquet(path)
-    except AnalysisException:
+    found = [int(n.removeprefix("version=")) for n in session.names(spark, path)
+             if n.startswith("version=")]
+    return path, max(found, default=-1)
+
+
+def _state_of(spark: SparkSession, path: str, version: int) -> DataFrame:
+    if version < 0:
         return spark.createDataFrame([], STATE_COLUMNS)
-    last = versions.agg(F.max("version")).scalar()
-    return versions.where(F.col("version") == last).where("cloud_provider <> ''").drop("version")
+    return spark.read.schema(STATE_COLUMNS).parquet(f"{path}/version={version}")
 
 
-def write_state(state: DataFrame, root: str) -> None:
-    """Append the version after the newest; a blank row marks one that holds no provider."""
-    path = tables.path(root, "ingestion_state")
-    try:
-        last = state.sparkSession.read.schema("version bigint").parquet(path).agg(
-            F.max("version").alias("v")).first()["v"]
-    except AnalysisException:
-        last = None
-    version = 0 if last is None else last + 1
-    marker = state.sparkSession.range(1).select(
-        F.lit("").alias("cloud_provider"), F.lit(None).cast("date").alias("last_ingested_date"),
-        F.lit(0).cast("bigint").alias("total_records"))
-    (state.select(*marker.columns).unionByName(marker).withColumn("version", F.lit(version))
-     .coalesce(1).write.mode("append").parquet(path))
-
-
-def reset_stored(spark: SparkSession, root: str, cloud: str | None = None) -> DataFrame:
+def read_state(spark: SparkSession, root: str) -> DataFrame:
+    """The newest state version; versions are written whole and never edited."""
+    return _state_of(spark, *_versions(spark, root))
+
+
+def update_state(spark: SparkSession, root: str,
+                 change: Callable[[DataFrame], DataFrame], attempts: int = 20) -> DataFrame:
+    """Replace the newest version by what `change` makes of it; returns the new state.
+
+    The next version is written aside and published under a name that only one writer
+    can take. One that finds it taken changes the newer version instead, so no writer's
+    change is lost.
+    """
+    for _ in range(attempts):
+        path, version = _versions(spark, root)
+        staged = f"{path}/_staged-{uuid.uuid4().hex}"
+        change(_state_of(spark, path, version)).select("cloud_provider", "last_ingested_date",
+                                                       "total_records").coalesce(1).write.parquet(staged)
+        if session.publish(spark, staged, f"{path}/version={version + 1}"):
+            return _state_of(spark, path, version + 1)
+    raise RuntimeError(f"the state of {root} was changed by others {attempts} times in a row")
+
+
+def reset_stored(spark: SparkSession, root: str, cloud: str | None = None,
+                 dry_run: bool = False) -> DataFrame:
     """Forget one provider's mark, or all, in the stored state; returns what is left."""
-    write_state(session.materialize(reset(read_state(spark, root), cloud), "ingest-state"), root)
-    return read_state(spark, root)
+    if dry_run:
+        return reset(read_state(spark, root), cloud)
+    return update_state(spark, root, lambda state: reset(state, cloud))
 
 
 def run_incremental(spark: SparkSession, source: Source, root: str, as_of,
@@ -164,15 +193,17 @@ def run_incremental(spark: SparkSession, source: Source, root: str, as_of,
     """Load what each provider has after its mark; returns the loaded range and count.
 
     The earliest mark and the day before `as_of` bound the source's scan; the pending
-    rows are staged once and serve the counts and the load.
+    rows are staged once and serve the counts and the load. Rows without a readable date
+    are sought by the time of their ingestion and end as rejects.
     """
     state = read_state(spark, root)
     first = next_starts(state).agg(F.min("next_start").alias("d")).first()["d"]
-    rows = pending(source.read(spark, first, day_before(as_of)), state, as_of)
+    day = F.col("usage_date").try_cast("date")
+    rows = source.read(spark, first, day_before(as_of)).where(day.isNotNull())
+    rows = pending(rows.unionByName(undated(source.read(spark), first)), state, as_of)
     if not dry_run:
         rows = session.materialize(rows, "ingest-pending")
-    day = F.col("usage_date").try_cast("date")
-    loaded = rows.groupBy("cloud_provider").agg(
+    loaded = rows.where(day.isNotNull()).groupBy("cloud_provider").agg(
         F.max(day).alias("last_date"), F.min(day).alias("first_date"),
         F.count(F.lit(1)).alias("records"))
     if dry_run:
@@ -182,5 +213,7 @@ def run_incremental(spark: SparkSession, source: Source, root: str, as_of,
                       F.count(F.lit(1)).alias("n")).first()
     if bounds["n"]:
         load(rows, root, bounds["a"], bounds["b"])
-        write_state(session.materialize(state_after(state, done), "ingest-state"), root)
+        update_state(spark, root, lambda newest: state_after(newest, done))
+    elif not rows.isEmpty():
+        store(rows, root)
     return done

@@ -57,15 +57,55 @@ def local_default(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _folder(spark: SparkSession, path: str):
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(context._jsc.hadoopConfiguration()), place
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Is there anything at a path or pattern? Asked of the file system that holds it, as a
     read that fails would be logged as an error."""
-    context = spark.sparkContext
-    place = context._jvm.org.apache.hadoop.fs.Path(path)
-    found = place.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(place)
+    files, place = _folder(spark, path)
+    found = files.globStatus(place)
     return found is not None and len(found) > 0
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if there is no such folder."""
+    files, place = _folder(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, place = _folder(spark, path)
+    files.delete(place, True)
+
+
+def publish(spark: SparkSession, staged: str, target: str) -> bool:
+    """Rename a written folder to a name that must not be taken; False if it was.
+
+    A folder is renamed at once, but one whose new name is taken may end up inside the
+    other: so the rename counts only if the folder's own files are there afterwards.
+    """
+    files, source = _folder(spark, staged)
+    _, place = _folder(spark, target)
+    if files.exists(place):
+        remove(spark, staged)
+        return False
+    own = set(names(spark, staged))
+    files.mkdirs(place.getParent())
+    try:
+        files.rename(source, place)
+    except Exception:  # noqa: BLE001  the file system refuses a taken name in its own way
+        pass
+    if own and own <= set(names(spark, target)):
+        return True
+    remove(spark, f"{target}/{source.getName()}")
+    remove(spark, staged)
+    return False
+
+
 def checkpoints(spark: SparkSession) -> None:
     """Let iterative fits cut their lineage in the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:

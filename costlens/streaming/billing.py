@@ -9,14 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from costlens import session
 from costlens.functions import calendar as cal
 from costlens.operators import series, tables
-from costlens.operators.rollup import daily_rollup
+from costlens.operators.rollup import add_up, daily_rollup
 from costlens.plans import alerts as al
-from costlens.plans.ingest import store
-from costlens.plans.normalise import accepted_and_rejected, enrich, with_fingerprint
-from costlens.schemas import DIMENSIONS, RAW_BILLING
+from costlens.plans.ingest import rejects, store
+from costlens.plans.normalise import accepted_and_rejected, enrich, normalise, with_fingerprint
+from costlens.schemas import RAW_BILLING, TABLES
 from costlens.session import materialize
+from costlens.streaming import spikes
 
 LATENESS = "8 days"
 
@@ -58,39 +60,56 @@ def deduplicated(raw: DataFrame, lateness: str = LATENESS) -> DataFrame:
 
 def rollup(raw: DataFrame, root: str, checkpoint: str, available_now: bool = True
            ) -> StreamingQuery:
-    """Store each micro-batch and roll up its days anew from the stored billing rows.
+    """Store each micro-batch and add the rows that were new to the rollup of their days.
 
-    Duplicates, whichever batch brings them, are refused by the stored keys, so the
-    rollup is that of the batch job, in any order of files.
+    Duplicates, whichever batch brings them, are refused by the stored keys, so the rollup
+    is that of the batch job, in any order of files. Of the billing table a batch reads
+    the keys, and of the rollup the rows, in the partitions it has rows for.
+
+    Adding is not repeatable by itself, so a batch's steps are written below its number,
+    each before it is acted on: the new rows, then the summed partitions, which replace
+    the stored ones. A batch that is run again takes up what it finds there.
     """
-    def write(batch: DataFrame, _: int) -> None:
-        rows = materialize(batch, "stream-batch")
-        store(rows, root)
-        days = rows.select(F.col("usage_date").try_cast("date").alias("d")).where(
-            F.col("d").isNotNull()).distinct()
-        span = days.agg(F.min("d").alias("a"), F.max("d").alias("b")).first()
-        if span["a"] is not None:
-            stored = tables.scan(batch.sparkSession, root, "billing_records", span["a"], span["b"])
-            touched = stored.join(days, F.col("usage_date") == F.col("d"), "left_semi")
-            tables.merge(daily_rollup(touched), root, "daily_aggregates")
+    def write(batch: DataFrame, number: int) -> None:
+        spark, work = batch.sparkSession, f"{checkpoint.rstrip('/')}-rollup"
+        new_at, sums_at = f"{work}/{number}/rows", f"{work}/{number}/sums"
+        repeated = session.exists(spark, f"{new_at}/_SUCCESS")
+        if not repeated:
+            rows = materialize(batch, "stream-batch")
+            tables.insert_if_absent(rejects(rows), root, "rejects")
+            tables.new_rows(normalise(rows), root, "billing_records").write.mode(
+                "overwrite").parquet(new_at)
+        new = spark.read.schema(TABLES["billing_records"][0]).parquet(new_at)
+        if repeated:
+            tables.insert_if_absent(new, root, "billing_records", unique=True)
+        else:
+            tables.append(new, root, "billing_records")
+        if not session.exists(spark, f"{sums_at}/_SUCCESS"):
+            delta = materialize(daily_rollup(new), "rollup-delta")
+            add_up(tables.touched_with(delta, root, "daily_aggregates")).write.mode(
+                "overwrite").parquet(sums_at)
+        sums = spark.read.schema(TABLES["daily_aggregates"][0]).parquet(sums_at)
+        tables.replace_partitions(sums, root, "daily_aggregates")
+        session.remove(spark, f"{work}/{number - 1}")
     return _start(raw.writeStream.foreachBatch(write), checkpoint, available_now)
 
 
-def spike_alerts(daily: DataFrame, baseline: DataFrame, root: str, checkpoint: str,
-                 created_at, threshold: float, available_now: bool = True) -> StreamingQuery:
-    """Alert on streamed daily rows against the stored previous day.
+def spike_alerts(daily: DataFrame, root: str, checkpoint: str, created_at, threshold: float,
+                 baseline: DataFrame | None = None, days_apart: int | None = None,
+                 available_now: bool = True) -> StreamingQuery:
+    """Alert on streamed daily rows against the day before in their series.
 
-    `baseline` holds (five dimensions, agg_date, total_cost_usd) of past days.
+    The days of a series that matter are state (`spikes.py`), so a day that streams in is
+    compared with one that streamed in before. `baseline` (five dimensions, agg_date,
+    total_cost_usd) holds past days to start from; `days_apart` limits how far back the
+    day before may be (none: the row before, as in the batch job's features).
     """
-    keys = DIMENSIONS
-    before = baseline.select(*keys, F.date_add("agg_date", 1).alias("agg_date"),
-                             F.col("total_cost_usd").alias("_previous"))
+    changes = spikes.day_changes(daily, baseline, days_apart)
 
     def write(batch: DataFrame, _: int) -> None:
-        rows = batch.join(before, [*keys, "agg_date"]).withColumns({
-            "feature_date": F.col("agg_date"),
+        rows = batch.withColumns({
             "pct_change_1d": cal.finite(series.change(F.col("total_cost_usd"),
-                                                      F.col("_previous"))),
+                                                      F.col("previous_cost"))),
             "rolling_mean_7d": F.lit(None).cast("double")})
         found = materialize(al.from_spikes(rows, created_at, threshold), "stream-alerts")
         span = found.agg(F.min("alert_date").alias("a"), F.max("alert_date").alias("b")).first()
@@ -99,7 +118,8 @@ def spike_alerts(daily: DataFrame, baseline: DataFrame, root: str, checkpoint: s
         stored = tables.scan(batch.sparkSession, root, "alerts", span["a"], span["b"])
         tables.insert_if_absent(al.new_alerts(found, stored), root, "alerts", unique=True)
 
-    return _start(daily.writeStream.foreachBatch(write), checkpoint, available_now)
+    return _start(changes.writeStream.outputMode("append").foreachBatch(write), checkpoint,
+                  available_now)
 
 
 def provider_state(raw: DataFrame) -> DataFrame:

@@ -454,12 +454,31 @@ def _(b):
     return ingest.read_state(b.spark, root).withColumn("stored", stored)
 
 
+@entry("nm4_undated_rows", sql("""
+    SELECT count(DISTINCT fingerprint) FILTER (WHERE record_id NOT LIKE '%7') AS stored,
+      count(*) FILTER (WHERE record_id LIKE '%7') AS rejected FROM enriched""", "enriched"))
+def _(b):
+    """Rows whose date cannot be read are rejected on the incremental path, each once."""
+    bad = F.col("record_id").endswith("7")
+    raw = b.raw_billing.withColumn("usage_date", F.when(bad, "n/a").otherwise(F.col("usage_date")))
+    root, source = b.root("nm4-undated"), src.ParquetSource(landed(b, raw))
+    for as_of in ("2024-01-12", "2024-02-15", "2024-02-15"):
+        ingest.run_incremental(b.spark, source, root, as_of)
+    stored = tables.scan(b.spark, root, "billing_records").agg(F.count(F.lit(1))).scalar()
+    return tables.scan(b.spark, root, "rejects").agg(F.count(F.lit(1)).alias("rejected")).withColumn(
+        "stored", stored)
+
+
 @entry("nm5_reset_state", sql("""
     SELECT cloud_provider, CAST(last_ingested_date AS VARCHAR) AS last_ingested_date,
       total_records FROM st WHERE cloud_provider <> 'aws'""", "raw", st=STATE))
 def _(b):
-    state = _state(b)
-    return ingest.reset(state, "aws").unionByName(ingest.reset(state))
+    """One provider's mark is forgotten in the stored state, at last all; a dry run forgets none."""
+    root = b.root("nm5")
+    ingest.update_state(b.spark, root, lambda _: _state(b))
+    ingest.reset_stored(b.spark, root, dry_run=True)
+    left = ingest.reset_stored(b.spark, root, "aws")
+    return left.unionByName(ingest.reset_stored(b.spark, root))
 
 
 @entry("nm6_run_summary", sql("""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from costlens.operators import filters as flt, forecasts as fq, joins, reports, rollup, tables
-from costlens.operators.paging import page
+from costlens.operators.paging import page, page_result
 from costlens.plans import attribute as at, normalise as nm
-from costlens.schemas import DIMENSIONS, FEATURE_KEY
+from costlens.schemas import DIMENSIONS, FEATURE_KEY, TABLES
 from costlens.sources import billing as src, exports, scans
 from entries import ctes
 from entries.base import entry, f32, rounded, s32
@@ -20,10 +20,10 @@ RAW_KEPT = ["record_id", "cloud_provider", "service", "region", "resource_id", "
             "cost_usd"]
 
 
-def landed(b) -> str:
+def landed(b, raw=None) -> str:
     """The raw view as one Parquet folder per provider, as a source would leave it."""
     root = b.root("landing")
-    raw = b.raw_billing
+    raw = b.raw_billing if raw is None else raw
     for cloud in ("aws", "azure", "gcp"):
         raw.where(F.col("cloud_provider") == cloud).write.parquet(f"{root}/{cloud}")
     return root
@@ -104,6 +104,24 @@ def _(b):
     return _export_counts(exports.ExportSource("aws", path).read(b.spark))
 
 
+@entry("sc7_export_range", sql(EXPORT.replace("tags <> '{}'", "true")
+                               + "'aws' AND usage_date BETWEEN '2024-01-09' AND '2024-01-16'", "raw"))
+def _(b):
+    """A range of days, read by bounds on the export's own time column."""
+    path = b.root("aws-range")
+    b.raw_billing.where("cloud_provider = 'aws'").select(
+        F.col("record_id").alias("identity_line_item_id"),
+        F.col("account_id").alias("line_item_usage_account_id"),
+        F.col("service").alias("product_servicename"), F.col("region").alias("product_region"),
+        F.col("resource_id").alias("line_item_resource_id"),
+        F.col("usage_date").cast("timestamp").alias("line_item_usage_start_date"),
+        F.col("original_cost").alias("line_item_unblended_cost"),
+        F.col("original_currency").alias("line_item_currency_code"),
+        F.col("ingested_at").alias("bill_billing_period_end_date")).write.parquet(path)
+    rows = exports.ExportSource("aws", path).read(b.spark, "2024-01-09", "2024-01-16")
+    return _export_counts(rows.withColumn("tags", F.lit("{\"a\":1}")))
+
+
 @entry("sc8_azure_export", sql(EXPORT + "'azure'", "raw"))
 def _(b):
     path = b.root("azure-export")
@@ -224,6 +242,25 @@ def _(b):
     return out.select("anomaly_id", "severity", "total", "has_next")
 
 
+@entry("tk9_empty_page", sql("""
+    SELECT CAST(0 AS INTEGER) AS n_items, count(*) AS total, 9999 AS page, 50 AS page_size,
+      false AS has_next FROM anom""", "anom"))
+def _(b):
+    """A page behind the last one still tells the total."""
+    out = page_result(b.anomalies, [F.col("detected_at").desc(), F.col("anomaly_id")], 9999, 50)
+    return out.select(F.size("items").alias("n_items"), "total", "page", "page_size", "has_next")
+
+
+@entry("tk9_page_result", sql("""
+    SELECT string_agg(anomaly_id, ',' ORDER BY detected_at DESC, anomaly_id) AS ids,
+      (SELECT count(*) FROM anom) AS total, (SELECT count(*) FROM anom) > 100 AS has_next
+    FROM (SELECT anomaly_id, anom.detected_at FROM anom ORDER BY anom.detected_at DESC, anomaly_id
+      LIMIT 50 OFFSET 50)""", "anom"))
+def _(b):
+    out = page_result(b.anomalies, [F.col("detected_at").desc(), F.col("anomaly_id")], 2, 50)
+    return out.select(F.array_join("items.anomaly_id", ",").alias("ids"), "total", "has_next")
+
+
 @entry("tk9_forecast_pages", sql("""
     SELECT cloud_provider, service, horizon_days, CAST(forecast_date AS VARCHAR) AS forecast_date,
       CAST(forecast_date AS VARCHAR) AS forecast_date_display, model_used,
@@ -515,8 +552,8 @@ def _(b):
     return b.spark.read.json(target)
 
 
-@entry("sk16_bootstrap", sql("""
-    SELECT 9 AS created, 0 AS created_again, count(*) AS n FROM bill""", "bill"))
+@entry("sk16_bootstrap", sql(f"""
+    SELECT {len(TABLES)} AS created, 0 AS created_again, count(*) AS n FROM bill""", "bill"))
 def _(b):
     root = b.root("sk16")
     created, again = tables.bootstrap(b.spark, root), tables.bootstrap(b.spark, root)
