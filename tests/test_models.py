@@ -1,5 +1,6 @@
 import math
 from datetime import date, timedelta
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -130,6 +131,113 @@ def test_boosted_forecaster_gives_one_row_per_horizon(spark):
     assert all(0 <= r.lower_bound <= r.predicted_cost <= r.upper_bound for r in rows)
 
 
+def stored_features(spark, root, clouds=("aws", "gcp"), days=150):
+    from costlens.operators import tables
+    rng = np.random.default_rng(1)
+    frames = [daily(spark, 100 + 0.5 * np.arange(days) + rng.standard_normal(days), cloud=c)
+              for c in clouds]
+    rows = series.build_features(reduce(lambda a, b: a.unionByName(b), frames))
+    tables.merge(rows, root, "spend_features")
+
+
+SPAN = ("2023-01-01", "2023-12-31")
+
+
+def models():
+    return {"seasonal": fp.Seasonal(), "boosted": fp.Boosted(horizons=[7, 30], max_trees=3, depth=2)}
+
+
+def by_key(df):
+    return {(r.cloud_provider, r.horizon_days, r.forecast_date): r.predicted_cost
+            for r in df.collect()}
+
+
+def test_stored_forecasters_predict_alike_in_a_new_session(spark, root):
+    from costlens.operators import tables
+    from costlens.operators.forecasts import forecast_input
+    stored_features(spark, root)
+    rows = session.materialize(forecast_input(tables.scan(spark, root, "spend_features")), "t")
+    fitted = {name: fp.train(rows, m, root) for name, m in models().items()}
+    here = {name: by_key(m.predict(fitted[name], 30)) for name, m in models().items()}
+    other = spark.newSession()
+    for name, m in models().items():
+        there = m.predict(tables.load_params(other, root, name), 30)
+        assert there.sparkSession is not spark and by_key(there) == pytest.approx(here[name])
+        assert len(here[name]) == {"seasonal": 60, "boosted": 4}[name]
+
+
+def test_modes_and_forcing_of_the_forecast_job(spark, root):
+    from costlens.operators import tables
+    now = F.to_timestamp(F.lit("2024-01-01"))
+    stored_features(spark, root, ("aws",))
+    with pytest.raises(ValueError):
+        fp.run(spark, root, *SPAN, now, mode="predict", **models())
+    assert fp.run(spark, root, *SPAN, now, mode="train", **models()).isEmpty()
+    assert tables.scan(spark, root, "forecasts").isEmpty()
+
+    def versions():
+        return {r.cloud_provider: r.version for r in
+                tables.load_params(spark, root, "boosted").collect()}
+    first = versions()
+    stored_features(spark, root)
+    report = {r.cloud_provider: r for r in fp.run(spark, root, *SPAN, now, **models()).collect()}
+    second = versions()
+    assert second["aws"] == first["aws"] and second["gcp"] != first["aws"]
+    assert set(report) == {"aws", "gcp"} and report["aws"].train_rows == 150
+    fp.run(spark, root, *SPAN, now, cloud="gcp", mode="train", force=True, **models())
+    third = versions()
+    assert third["aws"] == first["aws"] and third["gcp"] != second["gcp"]
+    assert tables.scan(spark, root, "forecasts").groupBy("cloud_provider").count().count() == 2
+
+
+def test_short_groups_are_left_for_the_next_training(spark, root):
+    from costlens.operators import tables
+    stored_features(spark, root, ("aws",), days=20)
+    now = F.to_timestamp(F.lit("2024-01-01"))
+    out = fp.run(spark, root, *SPAN, now, **models())
+    assert out.isEmpty() and tables.load_params(spark, root, "boosted").isEmpty()
+
+
+def test_bands_widen_with_the_horizon(spark):
+    costs = [100 + i + (9 * (i - 100) if i > 100 else 0) - (18 * (i - 150) if i > 150 else 0)
+             for i in range(200)]
+    model = fp.Seasonal()
+    rows = model.predict(session.materialize(model.fit(group_series(spark, costs)), "t"), 60)
+    width = [r.upper_bound - r.predicted_cost for r in rows.orderBy("forecast_date").collect()]
+    assert all(b > a for a, b in zip(width, width[1:]))
+
+
+def test_boosted_design_counts_from_both_ends(spark):
+    rows = group_series(spark, range(100)).withColumns(
+        {c: F.lit(1.0) for c in C.BOOSTED_FEATURES if c not in ("month", "quarter")})
+    got = fp.Boosted(horizons=[7, 99]).design(rows)
+    by = {(r.split_7, r.split_99): r.n for r in got.groupBy("split_7", "split_99").agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    assert sum(n for (s, _), n in by.items() if s == "train") == 65
+    assert sum(n for (s, _), n in by.items() if s == "val") == 13
+    assert sum(n for (s, _), n in by.items() if s is None) == 7
+    assert [r.target_99 for r in got.where("split_99 IS NOT NULL").collect()] == [99.0]
+
+
+def test_forest_scores_once(spark):
+    rows = session.materialize(noisy_features(spark), "t")
+    model = detect.IsolationForest(trees=10)
+    params, scored = model.fit_score(rows)
+    again = model.score(rows, session.materialize(params, "t"))
+    assert scored.columns == again.columns
+    assert scored.select("feature_date", "iforest_score").exceptAll(
+        again.select("feature_date", "iforest_score")).isEmpty()
+    assert set(rows.columns) < set(scored.columns)
+
+
+def test_sequence_gates(spark):
+    rows = session.materialize(noisy_features(spark), "t")
+    assert detect.SequenceReconstruction(components=4).fit(rows).count() == 1
+    assert detect.SequenceReconstruction(components=4, min_train=100).fit(rows).isEmpty()
+    few = rows.drop(*C.SEQUENCE_FEATURES[2:])
+    assert detect.SequenceReconstruction(components=4).fit(few).isEmpty()
+
+
 def side(spark, rows, mape):
     return spark.createDataFrame(
         [("aws", "compute", h, date(2024, 1, 1) + timedelta(days=d), p, lo, hi, mape)

@@ -1,5 +1,7 @@
 """Plans and results when one key dominates."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from costlens.operators import dedup, joins, percentiles
@@ -53,6 +55,39 @@ def test_percentiles_order_only_the_buckets_they_need(spark):
     assert got.where("k = 'hot'").first().m == want
 
 
+def test_percentiles_of_values_that_are_almost_equal(spark, monkeypatch):
+    monkeypatch.setattr(percentiles, "CROWDED", 500)
+    rows = spark.range(200_000).select(
+        F.lit("g").alias("g"), (1 + F.col("id") * 5e-15).alias("v")).unionByName(
+        spark.range(50).select(F.lit("s").alias("g"), (F.col("id") - 20).cast("double").alias("v")))
+    got = {r.g: (r.a, r.b) for r in percentiles.exact_percentiles(
+        rows, ["g"], "v", {"a": 0.25, "b": 0.953}).collect()}
+    for g in ("g", "s"):
+        want = rows.where(F.col("g") == g).agg(F.percentile("v", 0.25), F.percentile("v", 0.953)).first()
+        assert got[g] == tuple(want)
+
+
+def test_no_window_of_the_split_holds_a_group(spark):
+    from costlens.operators.series import chronological_split
+    rows = spark.range(20_000).select(
+        (F.col("id") % 1).alias("g"), F.date_add(F.lit("2023-01-01").cast("date"),
+                                          (F.col("id") % 10).cast("int")).alias("d"),
+        F.col("id").cast("string").alias("a"))
+    out = chronological_split(rows, ["g"], "d", ["a"])
+    counts = {r.split: (r.n, r.lo, r.hi) for r in out.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.min("position").alias("lo"),
+        F.max("position").alias("hi")).collect()}
+    assert counts == {"train": (14_000, 0, 13_999), "val": (3000, 14_000, 16_999),
+                      "test": (3000, 17_000, 19_999)}
+    ordered = out.orderBy("d", "a").select("position").collect()
+    assert [r.position for r in ordered] == list(range(20_000))
+    # windows over a whole group order its days, those that order cells are within a day
+    text = plan(out)
+    assert re.search(r"windowspecdefinition\(g#\d+, d#\d+ ASC", text)
+    assert re.search(r"windowspecdefinition\(g#\d+, d#\d+, a#\d+ ASC", text)
+    assert not re.search(r"windowspecdefinition\(g#\d+, (d#\d+ ASC NULLS FIRST, )?a#", text)
+
+
 def test_filters_and_columns_reach_the_scan(spark, root):
     from costlens.plans.normalise import normalise
     from costlens.sources.billing import read_billing

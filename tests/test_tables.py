@@ -1,6 +1,9 @@
+from functools import reduce
+
 import pytest
 from pyspark.sql import functions as F
 
+from costlens import session
 from costlens.operators import rollup, series, tables
 from costlens.operators.filters import date_range
 from costlens.sources import scans
@@ -106,6 +109,65 @@ def test_bootstrap_creates_once(spark, root):
     assert tables.scan(spark, root, "alerts").isEmpty()
 
 
+def weeks(spark, n=6):
+    parts = [normalised(spark, 5, f"2023-0{m}-15", prefix=f"p{m}") for m in range(1, n + 1)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def listed(spark, *ids):
+    return spark.createDataFrame([(i, "high") for i in ids], "identifier string, severity string")
+
+
+def test_flagging_reads_only_indexed_partitions(spark, root):
+    tables.insert_if_absent(weeks(spark), root, "billing_records")
+    ids = listed(spark, "p2_3", "p5-r1", "unknown")
+    assert [str(d) for d in sorted(tables.holding(spark, root, "billing_records", ids))] == [
+        "2023-02-13", "2023-05-15"]
+    lookup = tables._index_entries(spark, root, "billing_records", ids)
+    text = lookup._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in text or "PartitionFilters: [bucket" in text
+    assert "fingerprint" not in text and "record_id" not in text
+    tables.update_flags_by_identifier(root, ids)
+    got = tables.scan(spark, root, "billing_records").where("anomaly_flag").select("record_id")
+    assert {r.record_id for r in got.collect()} == {"p2-r3", "p5-r1"}
+
+
+def test_a_table_without_index_gets_one(spark, root):
+    tables.insert_if_absent(weeks(spark, 2), root, "billing_records")
+    session.remove(spark, tables._index_path(root, "billing_records"))
+    tables.insert_if_absent(weeks(spark, 3), root, "billing_records")
+    assert len(tables.holding(spark, root, "billing_records", listed(spark, "p1_0", "p3_0"))) == 2
+    tables.rebuild_index(spark, root, "billing_records")
+    assert len(tables.holding(spark, root, "billing_records", listed(spark, "p1_0", "p3_0"))) == 2
+
+
+def test_a_page_result_keeps_the_total(spark):
+    from costlens.operators.paging import page_result
+    df = spark.range(10).withColumnRenamed("id", "n")
+    row = page_result(df, [F.col("n").desc()], 2, 4).first()
+    assert [r.n for r in row["items"]] == [5, 4, 3, 2] and row.total == 10 and row.has_next
+    behind = page_result(df, [F.col("n")], 9, 4).first()
+    assert behind["items"] == [] and (behind.total, behind.page, behind.has_next) == (10, 9, False)
+    assert page_result(df.where("n < 0"), [F.col("n")]).first().total == 0
+
+
+def test_existence_is_asked_of_the_file_system(spark, root):
+    assert not session.exists(spark, root) and session.names(spark, root) == []
+    spark.range(1).write.parquet(f"{root}/a")
+    assert session.exists(spark, f"{root}/a") and session.exists(spark, f"{root}/*")
+    assert not session.exists(spark, f"{root}/b*")
+
+
+def test_publishing_takes_a_name_once(spark, root):
+    for name in ("x", "y"):
+        spark.range(1).write.parquet(f"{root}/_{name}")
+    assert session.publish(spark, f"{root}/_x", f"{root}/v=1")
+    before = set(session.names(spark, f"{root}/v=1"))
+    assert not session.publish(spark, f"{root}/_y", f"{root}/v=1")
+    assert set(session.names(spark, f"{root}/v=1")) == before
+    assert session.names(spark, root) == ["v=1"]
+
+
 def test_csv_quotes_only_where_needed(spark, root):
     df = spark.createDataFrame([("plain", None), ('say "hi"', "a,b"), ("two\nlines", "x")],
                                "a string, b string")
