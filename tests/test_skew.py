@@ -83,9 +83,9 @@ def test_no_window_of_the_split_holds_a_group(spark):
     assert [r.position for r in ordered] == list(range(20_000))
     # windows over a whole group order its days, those that order cells are within a day
     text = plan(out)
-    assert re.search(r"windowspecdefinition\(g#\d+, d#\d+ ASC", text)
-    assert re.search(r"windowspecdefinition\(g#\d+, d#\d+, a#\d+ ASC", text)
-    assert not re.search(r"windowspecdefinition\(g#\d+, (d#\d+ ASC NULLS FIRST, )?a#", text)
+    assert re.search(r"windowspecdefinition\(g#\d+L, d#\d+ ASC", text)
+    assert re.search(r"windowspecdefinition\(g#\d+L, d#\d+, a#\d+ ASC", text)
+    assert not re.search(r"windowspecdefinition\(g#\d+L, (d#\d+ ASC NULLS FIRST, )?a#", text)
 
 
 def test_filters_and_columns_reach_the_scan(spark, root):
