@@ -48,27 +48,26 @@ def _fold(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Rec
         yield emit()
 
 
-def standardised(df: DataFrame, keys: list[str], vector: str, size: int) -> DataFrame:
-    """`df` with `_std`: each number less its group's mean, over its group's deviation.
+def centres(df: DataFrame, keys: list[str], vector: str, size: int) -> DataFrame:
+    """One row per group: `_mean` and `_scale`, the deviation, of each place of a vector.
 
-    A column whose deviation is lost in its size is constant and becomes 0 (`_scale`
-    0). `_mean` and `_scale` are the group's.
+    A column whose deviation is lost in its size is constant and has `_scale` 0.
     """
     def each(f):
         return F.array(*[f(F.get(F.col(vector), F.lit(i))) for i in range(size)])
     stats = df.groupBy(*keys).agg(each(F.avg).alias("_mean"), each(F.stddev_pop).alias("_sd"))
-    stats = stats.withColumn("_scale", F.zip_with("_sd", "_mean", lambda s, m: F.when(
+    return stats.withColumn("_scale", F.zip_with("_sd", "_mean", lambda s, m: F.when(
         s > 1e-9 * F.greatest(F.lit(1.0), F.abs(m)), s).otherwise(F.lit(0.0)))).drop("_sd")
+
+
+def standardised(df: DataFrame, stats: DataFrame, keys: list[str], vector: str, size: int
+                 ) -> DataFrame:
+    """`df` with `_std`: each number less its group's mean, over its group's deviation;
+    0 where that is 0."""
     places = F.sequence(F.lit(0), F.lit(size - 1))
     std = F.transform(places, lambda i: F.when(F.get("_scale", i) > 0, (
         F.get(vector, i) - F.get("_mean", i)) / F.get("_scale", i)).otherwise(F.lit(0.0)))
-    return df.join(stats, keys).withColumn("_std", std)
-
-
-def centres(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per group of standardised rows: its means and scales."""
-    return rows.groupBy(*keys).agg(F.any_value("_mean").alias("_mean"),
-                                   F.any_value("_scale").alias("_scale"))
+    return df.join(stats, keys).withColumn("_std", std).drop("_mean", "_scale")
 
 
 def gram_sums(df: DataFrame, keys: list[str], vector: str) -> DataFrame:

@@ -231,9 +231,10 @@ def insert_if_absent(df: DataFrame, root: str, table: str,
 
 
 def new_rows(df: DataFrame, root: str, table: str) -> DataFrame:
-    """The rows that `insert_if_absent` would append, in the table's columns."""
+    """The rows that `insert_if_absent` would append, in the table's columns, of a batch
+    that repeats no key."""
     key = TABLES[table][1]
-    once = first_wins(_with_part(conform(df, table), table), key, _by_value(conform(df, table)))
+    once = _with_part(conform(df, table), table)
     batch = session.materialize(once, f"batch-{table}")
     stored = _touched(df.sparkSession, root, table, batch).select(*key)
     return batch.join(stored, key, "left_anti").select(*[f.name for f in TABLES[table][0]])

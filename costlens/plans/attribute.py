@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from costlens import constants as C
+from costlens import constants as C, session
 from costlens.operators import filters as flt, gram, series, tables
 from costlens.operators.dedup import groups_of_size
 from costlens.schemas import DIMENSIONS, with_fields
@@ -23,17 +23,17 @@ def fit(features: DataFrame, columns: list[str] = C.ATTRIBUTION_FEATURES,
     The first 70 % of a group's rows in date order are fitted, the last 15 %
     tested. Both need only second moments, of columns that are first centred and
     scaled by their group's mean and deviation: raw moments of large values would
-    cancel. One row per group holds the means.
+    cancel. The rows are designed once, and one row per group holds the means.
     """
-    rows = groups_of_size(features, GROUP, min_rows)
-    numbers = [flt.number_or_zero(rows, c) for c in columns]
-    rows = rows.select(*GROUP, "feature_date", *DIMENSIONS[2:],
-                       F.array(*numbers, F.col(TARGET)).alias("_raw"))
-    rows = gram.standardised(rows, GROUP, "_raw", len(columns) + 1)
-    rows = rows.withColumn("_v", F.concat(F.array(F.lit(1.0)), F.col("_std")))
+    numbers = [flt.number_or_zero(features, c) for c in columns]
+    rows = session.materialize(groups_of_size(features.select(
+        *GROUP, "feature_date", *DIMENSIONS[2:], F.array(*numbers, F.col(TARGET)).alias("_raw")),
+        GROUP, min_rows), "attribution-rows")
+    stats = session.materialize(gram.centres(rows, GROUP, "_raw", len(columns) + 1), "centres")
+    rows = gram.standardised(rows, stats, GROUP, "_raw", len(columns) + 1).drop("_raw")
+    rows = rows.withColumn("_v", F.concat(F.array(F.lit(1.0)), F.col("_std"))).drop("_std")
     rows = series.chronological_split(rows, GROUP, "feature_date", DIMENSIONS[2:])
-    cells = gram.gram_sums(rows.where("split <> 'val'"), [*GROUP, "split"], "_v").join(
-        gram.centres(rows, GROUP), GROUP)
+    cells = gram.gram_sums(rows.where("split <> 'val'"), [*GROUP, "split"], "_v").join(stats, GROUP)
     size = len(columns) + 2
     schema = with_fields(rows, GROUP, "beta array<double>, centre array<double>, base double, "
                                       "r2 double, train_rows bigint, test_rows bigint")

@@ -33,8 +33,13 @@ def rejects(raw: DataFrame) -> DataFrame:
 def store(raw: DataFrame, root: str) -> dict[str, int]:
     """Insert accepted rows that are new and keep the rejected ones; counts of both."""
     counts = tables.insert_if_absent(normalise(raw), root, "billing_records", unique=True)
-    kept = tables.insert_if_absent(rejects(raw), root, "rejects")
-    return counts | {"errors": kept["total"]}
+    return counts | {"errors": store_rejects(raw, root)}
+
+
+def store_rejects(raw: DataFrame, root: str) -> int:
+    """Keep the rejected rows; how many there are, stored before or not."""
+    bad = session.materialize(rejects(raw), "rejects")
+    return 0 if bad.isEmpty() else tables.insert_if_absent(bad, root, "rejects")["total"]
 
 
 def load(raw: DataFrame, root: str, start, end) -> dict[str, int]:

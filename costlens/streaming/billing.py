@@ -14,7 +14,7 @@ from costlens.functions import calendar as cal
 from costlens.operators import series, tables
 from costlens.operators.rollup import add_up, daily_rollup
 from costlens.plans import alerts as al
-from costlens.plans.ingest import rejects, store
+from costlens.plans.ingest import store, store_rejects
 from costlens.plans.normalise import accepted_and_rejected, enrich, normalise, with_fingerprint
 from costlens.schemas import RAW_BILLING, TABLES
 from costlens.session import materialize
@@ -76,7 +76,7 @@ def rollup(raw: DataFrame, root: str, checkpoint: str, available_now: bool = Tru
         repeated = session.exists(spark, f"{new_at}/_SUCCESS")
         if not repeated:
             rows = materialize(batch, "stream-batch")
-            tables.insert_if_absent(rejects(rows), root, "rejects")
+            store_rejects(rows, root)
             tables.new_rows(normalise(rows), root, "billing_records").write.mode(
                 "overwrite").parquet(new_at)
         new = spark.read.schema(TABLES["billing_records"][0]).parquet(new_at)
