@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from costlens import session
-from costlens.llm import lines, mixing, near, packing, quality, queries
+from costlens.llm import lines, mixing, packing, quality, queries, simhash
 from costlens.llm.tables import prepare, table
 
 #: Parts of their present tokens that the domains should hold after mixing.
@@ -28,8 +28,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word similarity of 0.8 links: the smallest id's."""
-    return near.keep_one(docs)
+    """One document of each group that fingerprints of three-word shingles at most three bits
+    apart link: the smallest id's."""
+    return simhash.keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
