@@ -16,6 +16,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -47,7 +48,7 @@ def cut_rule(spec: dict) -> str:
 
 
 class Encoder:
-    """One task's tokenizer and the pieces it has met."""
+    """A tokenizer and the pieces it has met."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,6 +67,24 @@ class Encoder:
         self.flat, self.start, self.length = (np.zeros(0, np.uint32), np.zeros(0, np.int64),
                                               np.zeros(0, np.int64))
 
+    def _keep(self, pieces: list[str]) -> None:
+        """Forget all but the pieces (and their words) at hand, most of which are frequent."""
+        old, flat, start, length = self.known, self.flat, self.start, self.length
+        self._forget()
+        at_hand = {*pieces, *(m.group(1).lower() if self.rule == "drop" else m.group(1)
+                              for m in map(WORD.fullmatch, pieces) if m)}
+        for lead, rows in enumerate(old):
+            kept = [p for p in at_hand if p in rows]
+            row = np.fromiter((rows[p] for p in kept), np.int64, len(kept))
+            ends = np.cumsum(length[row])
+            at = np.repeat(start[row] - (ends - length[row]), length[row]) + np.arange(
+                ends[-1] if len(ends) else 0)
+            first = len(self.start)
+            self.start = np.concatenate([self.start, len(self.flat) + ends - length[row]])
+            self.length = np.concatenate([self.length, length[row]])
+            self.flat = np.concatenate([self.flat, flat[at]])
+            self.known[lead].update(zip(kept, range(first, first + len(kept))))
+
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
@@ -138,7 +157,7 @@ class Encoder:
             if odd.any():
                 return self._merge(texts, odd)
         if max(map(len, self.known)) > CACHE_PIECES:
-            self._forget()
+            self._keep(pieces)
         word = self._learn(pieces, lead)[piece]
         if lead:
             word[edges[:-1]] = self._learn([pieces[i] for i in piece[edges[:-1]]], False)
@@ -159,6 +178,12 @@ class Encoder:
         return np.concatenate([ids for ids, _ in parts]), np.concatenate(bounds)
 
 
+@lru_cache(maxsize=4)
+def encoder(path: str) -> Encoder:
+    """One for each worker process, whose later tasks need not learn its words again."""
+    return Encoder(path)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str = "text",
            limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most about `limit` bytes of text (or one row)."""

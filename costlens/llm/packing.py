@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from costlens.llm.encode import Encoder, sliced
+from costlens.llm.encode import encoder as shared_encoder, sliced
 from costlens.llm.tables import only, prepare, spread, stage
 from costlens.llm.tokens import with_end
 
@@ -66,6 +66,20 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
+def binaries(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """One binary value for each range of a flat array, which is not copied."""
+    edges = (bounds * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1,
+                                 [None, pa.py_buffer(edges), pa.py_buffer(data)])
+
+
+def flat(values: pa.Array, kind: str) -> np.ndarray:
+    """The numbers of all binary values in turn."""
+    _, edges, data = values.buffers()
+    edges = np.frombuffer(edges, np.int32)[values.offset:values.offset + len(values) + 1]
+    return np.frombuffer(data.slice(edges[0], edges[-1] - edges[0]), kind)
+
+
 def encoded(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int = 1) -> DataFrame:
     """(rid, doc_id, key, n, ids): staged rows with a curve key and narrow binary ids."""
     narrow = "<u2" if vocabulary <= 1 << 16 else "<u4"
@@ -79,16 +93,13 @@ def encoded(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int = 1) -
         encoder = signs = None
         for batch in sliced(batches):
             if encoder is None:
-                encoder, signs = Encoder(tokenizer), projection(1 << 16)
+                encoder, signs = shared_encoder(tokenizer), projection(1 << 16)
             ids, bounds = encoder.encode(batch.column("text"))
             key = hilbert(grid(ids, bounds, signs))
             ids, bounds = with_end(ids, bounds, end_id)
-            data = ids.astype(narrow)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("rid"), batch.column("doc_id"), pa.array(key, pa.int64()),
-                 pa.array(np.diff(bounds), pa.int64()),
-                 pa.array([data[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])],
-                          pa.binary())],
+                 pa.array(np.diff(bounds), pa.int64()), binaries(ids.astype(narrow), bounds)],
                 ["rid", "doc_id", "key", "n", "ids"])
 
     return stage(rows.mapInArrow(encode, schema), "encoded")
@@ -150,13 +161,13 @@ def pack(docs: DataFrame, tokenizer: str, vocabulary: int, length: int = 2048,
             begin = np.maximum(pos[row], sequence * length)
             end = np.minimum((pos + n)[row], (sequence + 1) * length)
             start = begin - pos[row]
-            ids = [np.frombuffer(b.as_buffer(), narrow) for b in batch.column("ids")]
-            data = [ids[r][s:s + k].astype("<u4").tobytes()
-                    for r, s, k in zip(row, start, end - begin)]
+            # a document's pieces follow each other, as its ids do
+            data = binaries(flat(batch.column("ids"), narrow).astype("<u4"),
+                            np.concatenate([[0], np.cumsum(end - begin)]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(row)), *(pa.array(x, pa.int64()) for x in
                                                                (start, end - begin)),
-                 pa.array(data, pa.binary()), *(pa.array(x, pa.int64()) for x in
+                 data, *(pa.array(x, pa.int64()) for x in
                                                 (n[row], sequence, begin - sequence * length))],
                 ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 

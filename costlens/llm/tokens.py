@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from costlens import session
 from costlens.llm.bits import Reader, Writer, crc32, width
-from costlens.llm.encode import Encoder, sliced
+from costlens.llm.encode import encoder as shared_encoder, sliced
 from costlens.llm.tables import only, prepare, spread
 
 MANIFEST = "part int, path string, n_docs long, n_ids long"
@@ -50,7 +50,7 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, vocabulary: int, en
         path = f"{folder}/{part:06d}-{uuid.uuid4().hex}.ids"
         for batch in sliced(batches, text):
             if writer is None:
-                encoder = Encoder(tokenizer)
+                encoder = shared_encoder(tokenizer)
                 files.create_dir(folder, recursive=True)
                 sink = files.open_output_stream(path)
                 writer = Writer(sink, bits)

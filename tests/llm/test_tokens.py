@@ -125,3 +125,21 @@ def test_no_rows(spark):
 
 def test_crc(spark):
     assert tokens.crc32(np.array([1, 2], np.uint32)) == zlib.crc32(b"\1\0\0\0\2\0\0\0")
+
+
+def test_frequent_pieces_survive_a_full_table(encoders, monkeypatch):
+    from costlens.llm import encode
+    monkeypatch.setattr(encode, "CACHE_PIECES", 4)
+    for path in FILES:
+        e = Encoder(queries.vocabulary_file(path))
+        for texts in (["One two, three four five", "two, TWO six"], ["seven two, one"], ["one"]):
+            ids, at = e.encode(pa.array(texts))
+            want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
+
+
+def test_flat_binaries_round_trip():
+    data = np.arange(10, dtype="<u2")
+    values = packing.binaries(data, np.array([0, 3, 3, 10]))
+    assert [len(v.as_py()) for v in values] == [6, 0, 14]
+    assert packing.flat(values[1:], "<u2").tolist() == list(range(3, 10))
