@@ -9,7 +9,8 @@ from __spark_entry__ import entry, oracle_sql, queries
 from entries import load
 
 ROOT = pathlib.Path(__file__).resolve().parent.parent
-SLOW = ("ml2_", "ml3_", "ml5_", "ml7_", "ml9_", "ml11_", "ml12_", "sk9_", "sk16_", "nm3_",
+#: Whole jobs and model fits; `tools/check.py` runs all of them.
+SLOW = ("ml2_", "ml3_", "ml5_", "ml7_", "ml9_", "ml11_", "ml12_", "sk9_", "nm3_",
         "nm4_incremental", "sk2_", "al4_")
 
 
