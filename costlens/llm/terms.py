@@ -60,17 +60,10 @@ class Counter:
         self.place = {t: i for i, t in enumerate(vocabulary)}
         self.size = len(vocabulary)
 
-    def count(self, words: Words, others: bool = False) -> tuple[
-            np.ndarray, np.ndarray, np.ndarray]:
-        """(row, term, count) triples in row order; `others` numbers further terms of the
-        batch from the vocabulary's size on."""
-        place, more, width = self.place, {}, self.size
-        if others:
-            owned = [[place[t] if t in place else more.setdefault(t, width + len(more))
-                      for t in terms_of(w)] for w in words.distinct]
-            width += len(more)
-        else:
-            owned = [[place[t] for t in terms_of(w) if t in place] for w in words.distinct]
+    def count(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, count) triples in row order."""
+        place, width = self.place, self.size
+        owned = [[place[t] for t in terms_of(w) if t in place] for w in words.distinct]
         n = np.fromiter(map(len, owned), np.int64, len(owned))
         if not n.sum():
             return (np.zeros(0, np.int64),) * 3
@@ -162,35 +155,9 @@ def vocabulary(rows: DataFrame, label: str, sizes: dict[str, int], limit: int,
     return [r["term"] for r in best.toLocalIterator()]
 
 
-def all_terms(rows: DataFrame, label: str) -> list[str]:
-    """Every term of `rows`, a bounded sample, the most frequent first."""
-    known = document_counts(rows, label).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    order = pc.sort_indices(known, [("n", "descending"), ("term", "ascending")])
-    return known["term"].take(order).to_pylist()
-
-
-def presence(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
-    """Number of texts, and of those that hold each term, over all of `docs`."""
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, seen, n = Counter(terms), np.zeros(len(terms) + 1, np.int64), 0
-        for batch in sliced(batches, limit=SLICE_BYTES):
-            _, term, _ = counter.count(Words(batch.column("text")))
-            seen[:-1] += np.bincount(term, minlength=len(terms))
-            n += batch.num_rows
-        seen[-1] = n
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at], pa.int64())],
-                                         ["at", "n"])
-    sums = only(docs, "text").mapInArrow(scan, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    out = np.zeros(len(terms) + 1, np.int64)
-    for r in sums.toLocalIterator():
-        out[r["at"]] = r["n"]
-    return int(out[-1]), out[:-1]
-
-
 def class_sizes(rows: DataFrame, label: str) -> dict[str, int]:
     return {r[label]: r["n"] for r in rows.groupBy(label).agg(
         F.count(F.lit(1)).alias("n")).toLocalIterator()}
 
 
-__all__ = ["Counter", "Words", "all_terms", "class_sizes", "examples", "presence", "sample", "terms_of", "vocabulary"]
+__all__ = ["Counter", "Words", "class_sizes", "examples", "sample", "terms_of", "vocabulary"]

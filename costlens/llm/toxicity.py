@@ -1,90 +1,32 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max index.
 
-The index holds a bounded sample of labelled examples with all their terms; it is built
-once and every task gets a copy. Scores of all documents come from one pass over their
-texts. Terms tied to a class weigh more, and no term is left out.
+The index holds a bounded sample of labelled examples with all their terms. One task
+writes it to the shared folder, workers read it from there, and scores of all documents
+come from one pass over their texts. The driver sees class sizes, paths and one vote per
+example. Terms tied to a class weigh more, and no term is left out.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costlens.llm import terms
+from costlens import session
+from costlens.llm import blockmax, terms
+from costlens.llm.blockmax import Features, weights
 from costlens.llm.encode import sliced
-from costlens.llm.tables import only, prepare
-
-#: Bounds of the fitted sample: examples of each class, and terms with an extra weight.
-EXAMPLES, VOCABULARY = 4096, 2048
-EXTRA = 4.0
-BLOCK = 64
-
-
-def weights(row: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray,
-            rows: int) -> np.ndarray:
-    """Unit-length (1 + log tf) · idf weights of (row, term, count) triples."""
-    w = (1 + np.log(count)) * idf[term]
-    norm = np.sqrt(np.bincount(row, weights=w * w, minlength=rows))
-    return w / np.maximum(norm, 1e-300)[row]
-
-
-def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... for each range in turn."""
-    ends = np.cumsum(length)
-    return np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
-
-
-class BlockMax:
-    """Inverted lists cut into blocks of examples, with each block's largest weight."""
-
-    def __init__(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, size: int):
-        self.rows, self.blocks = rows, -(-rows // BLOCK)
-        order = np.lexsort((row, term))
-        self.example, self.weight = row[order].astype(np.int32), weight[order]
-        # cells: the blocks that a term's list touches
-        cell, self.begin = np.unique(term[order] * self.blocks + row[order] // BLOCK, return_index=True)
-        self.length = np.diff(np.append(self.begin, len(order)))
-        self.block = (cell % self.blocks).astype(np.int32)
-        self.peak = np.maximum.reduceat(self.weight, self.begin) if len(cell) else np.zeros(0)
-        self.pointer = np.searchsorted(cell, np.arange(size + 1) * self.blocks)
-
-    def nearest(self, query: np.ndarray, weight: np.ndarray, k: int,
-                skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above zero (ties: smaller place), exactly.
-
-        Blocks go by falling upper bound, ever more at a time; a block whose bound is
-        below the k-th cosine cannot hold a better one, nor can those after it.
-        """
-        first, count = self.pointer[query], self.pointer[query + 1] - self.pointer[query]
-        cell, own = ragged(first, count), np.repeat(weight, count)
-        block = self.block[cell]
-        bound = np.bincount(block, own * self.peak[cell], self.blocks)
-        falling = np.argsort(-bound, kind="stable")
-        place = np.empty(self.blocks, np.int64)
-        place[falling] = np.arange(self.blocks)
-        turn, bound = place[block], bound[falling]
-        found, score, at, width = np.zeros(0, np.int64), np.zeros(0), 0, 2
-        while at < self.blocks:
-            least = score[-1] - 1e-12 if len(score) == k else 0.0
-            end = min(at + width, int(np.searchsorted(-bound, -least, "right")) if least > 0
-                      else int(np.count_nonzero(bound > 0)))
-            if end <= at:
-                break
-            here = np.flatnonzero((turn >= at) & (turn < end))
-            c = cell[here]
-            post = ragged(self.begin[c], self.length[c])
-            total = np.bincount(self.example[post],
-                                np.repeat(own[here], self.length[c]) * self.weight[post], self.rows)
-            hit = np.flatnonzero(total > max(0.0, least))
-            hit = hit[hit != skip]
-            found, score = np.concatenate([found, hit]), np.concatenate([score, total[hit]])
-            best = np.lexsort((found, -np.round(score, 12)))[:k]
-            found, score = found[best], score[best]
-            at, width = end, 2 * width
-        return found, score
+from costlens.llm.tables import only, prepare, stage
+
+#: Bound of the fitted sample: examples of each class.
+EXAMPLES = 4096
+#: A term is tied to a class if it is in so many examples, so significant by G² and so many
+#: times as frequent in one class as in another; its weight is multiplied by EXTRA.
+LEAST, SIGNIFICANCE, LIFT, EXTRA = 3, 15.0, 3.0, 4.0
 
 
 def vote(score: np.ndarray, label: np.ndarray) -> float:
@@ -106,137 +48,218 @@ def platt(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     return float(beta[0]), float(beta[1])
 
 
+def counted(examples: DataFrame) -> DataFrame:
+    """(doc_id, y, h, term, n): features of examples with their counts, and a text hash."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features()
+        for batch in sliced(batches, limit=terms.SLICE_BYTES):
+            row, term, count = features.count(batch.column("text"))
+            at = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("y"), batch.column("h"),
+                 pa.ListArray.from_arrays(at, pa.array(term, pa.int32())),
+                 pa.ListArray.from_arrays(at, pa.array(count, pa.int64()))],
+                ["doc_id", "y", "h", "term", "n"])
+
+    return (examples.select(F.col("doc_id").cast("string"), F.col("y").cast("int"), "text",
+                            F.xxhash64("text").alias("h"))
+            .mapInArrow(scan, "doc_id string, y int, h long, term array<int>, n array<long>"))
+
+
+def tied(row: np.ndarray, term: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Features that are far more frequent in one of two classes of examples."""
+    n = np.array([np.sum(label == c) for c in (0, 1)], float)
+    if not n.all():
+        return np.zeros(0, np.int64)
+    seen = [np.bincount(term[label[row] == c], minlength=blockmax.SIZE) for c in (0, 1)]
+    at = np.flatnonzero(seen[0] + seen[1] >= LEAST)
+    held = np.stack([s[at] for s in seen], 1).astype(float)
+    share = held.sum(axis=1, keepdims=True) / n.sum()
+
+    def part(observed, expected):
+        return np.where(observed > 0, observed * np.log(np.maximum(observed, 1) / expected), 0)
+
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g2 = 2 * (part(held, share * n) + part(n - held, (1 - share) * n)).sum(axis=1)
+    rate = (held + 0.5) / (n + 1)
+    return at[(g2 >= SIGNIFICANCE) & (rate.max(axis=1) >= LIFT * rate.min(axis=1))]
+
+
+@dataclass
 class Model:
-    """Vocabulary, idf, index, labels and calibration; small enough to send around.
+    """Path of the index, calibration, and the score of texts that share no term with it."""
 
-    `idf` has one more entry, for terms that no example has.
-    """
+    path: str | None
+    k: int
+    slope: float = 0.0
+    offset: float = 0.0
+    empty: float = 0.0
 
-    def __init__(self, vocabulary, idf, ids, label, row, term, count, k, class_weight):
-        self.vocabulary, self.idf, self.ids, self.label, self.k = vocabulary, idf, ids, label, k
-        weight = weights(row, term, count, idf, len(ids))
-        self.index = BlockMax(row, term, weight, len(ids), len(vocabulary)) if len(row) else None
-        edges = np.searchsorted(row, np.arange(len(ids) + 1))
-        own = np.array([class_weight[int(y)] for y in label]) if len(label) else np.zeros(0)
-        votes = np.full(len(ids), np.nan)
-        for i in range(len(ids)):
-            a, b = edges[i], edges[i + 1]
-            if a < b:
-                _, s, v = self._vote(term[a:b], weight[a:b], i)
-                votes[i] = v if len(s) else np.nan
-        seen = ~np.isnan(votes)
-        prior = (own * label).sum() / own.sum() if own.sum() else 0.0
-        self.empty = float(((own * label)[~seen].sum() + prior) / (own[~seen].sum() + 1))
-        self.slope, self.offset = (platt(votes[seen], label[seen], own[seen]) if seen.any()
-                                   else (0.0, 0.0))
-
-    def _vote(self, query, weight, skip=-1):
-        found, score = self.index.nearest(query, weight, self.k, skip)
-        return found, score, vote(score, self.label[found]) if len(found) else 0.0
-
-    def score(self, query: np.ndarray, weight: np.ndarray):
-        """(probability, evidence ids, evidence cosines); no shared term: the rate of those."""
-        if self.index is None or not len(query):
-            return self.empty, [], []
-        found, score, v = self._vote(query, weight)
+    def probability(self, found: np.ndarray, cosine: np.ndarray, label: np.ndarray) -> float:
         if not len(found):
-            return self.empty, [], []
-        p = 1 / (1 + np.exp(-np.clip(self.slope * v + self.offset, -30, 30)))
-        return float(p), self.ids[found[:5]].tolist(), score[:5].tolist()
+            return self.empty
+        x = self.slope * vote(cosine, label[found]) + self.offset
+        return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
 
-def leading_order(found: pa.Table, terms_looked_at: int = 64) -> list[int]:
-    """Places of the rows by their first terms, then by text hash and id."""
-    lists = found["term"].combine_chunks()
-    at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype(">i4")
-    keys = [flat[a:min(b, a + terms_looked_at)].tobytes() for a, b in zip(at[:-1], at[1:])]
-    h, ids = found["h"].to_pylist(), [i or "" for i in found["doc_id"].to_pylist()]
-    return sorted(range(found.num_rows), key=lambda i: (keys[i], h[i], ids[i]))
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """(at, n): texts of `docs` that hold each feature, and at -1 their number."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, seen, n = Features(), np.zeros(blockmax.SIZE, np.int64), 0
+        for batch in sliced(batches, limit=terms.SLICE_BYTES):
+            at, held = np.unique(features.count(batch.column("text"))[1], return_counts=True)
+            seen[at] += held
+            n += batch.num_rows
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(seen[at], n), pa.int64())],
+            ["at", "n"])
+
+    return (only(docs, "text").mapInArrow(scan, "at int, n long")
+            .groupBy("at").agg(F.sum("n").alias("n")))
+
+
+def written(rows: DataFrame, root: str, make) -> str:
+    """Path of a file that one task makes of all `rows`, which are bounded by a constant."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path = f"{root}/{uuid.uuid4().hex}.npz"
+        blockmax.save(path, **make(pa.Table.from_batches(batches)))
+        yield pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
+
+    found = rows.repartition(1).mapInArrow(write, "path string").toArrow()
+    return found["path"][0].as_py()
+
+
+def inverse_frequencies(counts: pa.Table) -> dict[str, np.ndarray]:
+    """ln((1 + N) / (1 + n)) + 1 by feature; one that no text holds counts as held by one."""
+    at, n = counts["at"].to_numpy(), counts["n"].to_numpy()
+    seen = np.ones(blockmax.SIZE)
+    seen[at[at >= 0]] = n[at >= 0]
+    return {"idf": (np.log((1 + n[at < 0].sum()) / (1 + seen)) + 1).astype(np.float32)}
+
+
+def layout(row: np.ndarray, term: np.ndarray, rows: int, extra: np.ndarray, h: np.ndarray,
+           ids: list[str]) -> np.ndarray:
+    """Order of examples that brings like weights together, so that peaks are tight:
+    by length on a log scale, then by tied and frequent features, text hash and id."""
+    size = np.bincount(row, minlength=rows)
+    often = np.bincount(term, minlength=blockmax.SIZE)
+    first = np.lexsort((term, -often[term], ~np.isin(term, extra), row))
+    edges = np.concatenate([[0], np.cumsum(size)])
+    lead = [tuple(term[first[a:min(b, a + 8)]]) for a, b in zip(edges[:-1], edges[1:])]
+    scale = np.log2(size + 1).astype(int)
+    return np.array(sorted(range(rows), key=lambda i: (scale[i], lead[i], h[i], ids[i])), np.int64)
+
+
+def build(examples: pa.Table, idf: np.ndarray) -> dict[str, np.ndarray]:
+    """Arrays of the index: ids, labels, and (edges, term, weight) in the examples' order."""
+    label = examples["y"].to_numpy().astype(np.int64)
+    ids = examples["doc_id"].to_pylist()
+    lists = examples["term"].combine_chunks()
+    row = np.repeat(np.arange(len(label)), lists.value_lengths().to_numpy())
+    term = lists.flatten().to_numpy().astype(np.int64)
+    count = examples["n"].combine_chunks().flatten().to_numpy()
+    extra = tied(row, term, label)
+    order = layout(row, term, len(label), extra, examples["h"].to_numpy(), ids)
+    idf = idf.copy()
+    idf[extra] *= EXTRA
+    weight = weights(row, term, count, idf, len(label))
+    place = np.empty(len(label), np.int64)
+    place[order] = np.arange(len(label))
+    at = np.lexsort((term, place[row]))
+    edges = np.searchsorted(place[row][at], np.arange(len(label) + 1))
+    return {"idf": idf, "ids": np.array([ids[i] for i in order], str), "label": label[order],
+            "edges": edges, "term": term[at].astype(np.int32), "weight": weight[at]}
+
+
+def votes_of_others(spark: SparkSession, path: str, rows: int, k: int) -> pa.Table:
+    """(place, y, vote) of every example by its nearest others; null without any."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, index = blockmax.opened(path)
+        for batch in batches:
+            place = batch.column("id").to_numpy()
+            size = held["edges"][place + 1] - held["edges"][place]
+            post = blockmax.ragged(held["edges"][place], size)
+            found = index.nearest(np.repeat(np.arange(len(place)), size), held["term"][post],
+                                  held["weight"][post], len(place), k, place) if index else []
+            out = [vote(c, held["label"][f]) if len(f) else None for f, c in found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(place), pa.array(held["label"][place]),
+                 pa.array(out if index else [None] * len(place), pa.float64())],
+                ["place", "y", "vote"])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spark.range(0, rows, 1, n).mapInArrow(scan, "place long, y long, vote double").toArrow()
 
 
 def fit(docs: DataFrame, labelled: DataFrame, label: str, k: int = 15,
-        examples: int = EXAMPLES, limit: int = VOCABULARY) -> Model:
+        examples: int = EXAMPLES) -> Model:
     """A model from about `examples` rows of each class of `labelled` (doc_id, label).
 
-    All terms of the examples count; up to `limit` terms tied to the classes weigh
-    `EXTRA` times as much. Document frequencies for idf come from all of `docs`; the
-    classes' full sizes weight the calibration. Repeated labels of a document: the
-    largest counts.
+    All terms of the examples count, and those tied to a class weigh `EXTRA` times as
+    much. Document frequencies of all terms come from all of `docs`; the classes' full
+    sizes weight the calibration, which uses the votes of an example's nearest others.
+    Repeated labels of a document: the largest counts. Rows without a document, an id or a
+    label of 0 or 1 are no examples; without any, every score is 0.
     """
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     labels = (labelled.where(F.col(label).isin(0, 1)).groupBy("doc_id")
               .agg(F.max(label).cast("int").cast("string").alias("y")))
     chosen, full = terms.examples(docs, labels, "y", examples)
     sizes = terms.class_sizes(chosen, "y")
-    tied = terms.vocabulary(chosen, "y", sizes, limit) if sizes else []
-    known = set(tied)
-    vocab = tied + [t for t in (terms.all_terms(chosen, "y") if sizes else []) if t not in known]
-    n, present = terms.presence(docs, vocab) if vocab else (0, np.zeros(0))
-    # a term that no example has counts as one that no other text has
-    idf = np.log((1 + n) / (1 + np.append(present, 1))) + 1
-    idf[:len(tied)] *= EXTRA
-    schema = "doc_id string, y int, h long, term array<int>, n array<long>"
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = terms.Counter(vocab)
-        for batch in sliced(batches, limit=terms.SLICE_BYTES):
-            row, term, count = counter.count(terms.Words(batch.column("text")))
-            at = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("y"), batch.column("h"),
-                 pa.ListArray.from_arrays(at, pa.array(term, pa.int32())),
-                 pa.ListArray.from_arrays(at, pa.array(count, pa.int64()))],
-                ["doc_id", "y", "h", "term", "n"])
-
-    typed = chosen.select(F.col("doc_id").cast("string"), F.col("y").cast("int"), "text",
-                          F.xxhash64("text").alias("h"))
-    found = (typed.mapInArrow(scan, schema) if vocab else
-             docs.sparkSession.createDataFrame([], schema)).toArrow().combine_chunks()
-    # neighbours in the index share their leading terms, so that block bounds are tight:
-    # first those tied to a class, then the most frequent
-    found = found.take(pa.array(leading_order(found), pa.int64()))
-    lists = found["term"].combine_chunks()
-    length = lists.value_lengths().to_numpy()
-    row = np.repeat(np.arange(len(length)), length)
-    term = lists.flatten().to_numpy().astype(np.int64)
-    count = found["n"].combine_chunks().flatten().to_numpy().astype(np.float64)
-    label_of = found["y"].to_numpy().astype(np.int64)
-    weight = {int(y): full[y] / sizes[y] for y in sizes}
-    return Model(vocab, idf, np.array(found["doc_id"].to_pylist()), label_of, row, term, count,
-                 k, weight)
+    if not sizes:
+        return Model(None, k)
+    root = session.run_path(spark, "toxicity")
+    frequencies = written(stage(document_frequencies(docs), "frequencies"), root,
+                          inverse_frequencies)
+    path = written(counted(chosen), root, lambda held: build(held, blockmax.load(frequencies)["idf"]))
+    votes = votes_of_others(spark, path, sum(sizes.values()), k)
+    y, x = votes["y"].to_numpy(), votes["vote"].to_numpy()
+    own = np.array([full[str(c)] / sizes[str(c)] for c in y])
+    seen = ~np.isnan(x)
+    prior = (own * y).sum() / own.sum()
+    slope, offset = platt(x[seen], y[seen], own[seen]) if seen.any() else (0.0, 0.0)
+    empty = ((own * y)[~seen].sum() + prior) / (own[~seen].sum() + 1)
+    return Model(path, k, slope, offset, float(empty))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, predicted, evidence, cosines) for every row of `docs`.
 
     Scores see the text alone; its norm counts all its terms. Null and empty texts, and
-    texts without any term of an example, score the rate of such examples. Repeated rows score alike; extra columns
-    are ignored; without labelled rows every score is 0.
+    texts without any term of an example, score the rate of such examples. Repeated rows
+    score alike; extra columns are ignored; without labelled rows every score is 0.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, score double, predicted int, evidence array<string>, " \
              "cosines array<double>"
 
+    def judged(texts: pa.Array, features: Features, known: dict) -> list[tuple]:
+        held, index = blockmax.opened(model.path)
+        row, term, count = features.count(texts)
+        weight = weights(row, term, count, held["idf"], len(texts))
+        at = np.searchsorted(row, np.arange(len(texts) + 1))
+        keys = [blockmax.xxhash.xxh128_digest(term[a:b].tobytes() + weight[a:b].tobytes())
+                for a, b in zip(at[:-1], at[1:])]
+        new = list({key: i for i, key in enumerate(keys) if key not in known}.values())
+        size = np.diff(at)[new]
+        post = blockmax.ragged(at[:-1][new], size)
+        found = index.nearest(np.repeat(np.arange(len(new)), size), term[post], weight[post],
+                              len(new), model.k) if index and new else []
+        if len(known) > 20_000:
+            kept = {key: known[key] for key in keys if key in known}
+            known.clear()
+            known.update(kept)
+        for i, (f, c) in zip(new, found):
+            known[keys[i]] = (model.probability(f, c, held["label"]), held["ids"][f[:5]].tolist(),
+                              c[:5].tolist())
+        return [known.get(key, (model.empty, [], [])) for key in keys]
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh128_digest
-        m = sent.value
-        counter, known = terms.Counter(m.vocabulary), {}
+        features, known = Features(), {}
         for batch in sliced(batches, limit=terms.SLICE_BYTES):
-            row, term, count = counter.count(terms.Words(batch.column("text")), True)
-            term = np.minimum(term, counter.size)
-            weight = weights(row, term, count, m.idf, batch.num_rows) if len(row) else row
-            held = term < counter.size
-            at = np.searchsorted(row[held], np.arange(batch.num_rows + 1))
-            term, weight = term[held], weight[held]
-            out = []
-            for a, b in zip(at[:-1], at[1:]):
-                key = xxh128_digest(term[a:b].tobytes() + weight[a:b].tobytes())
-                if key not in known:
-                    if len(known) > 20_000:
-                        known.clear()
-                    known[key] = m.score(term[a:b], weight[a:b])
-                out.append(known[key])
+            out = (judged(batch.column("text"), features, known) if model.path
+                   else [(0.0, [], [])] * batch.num_rows)
             p = np.array([o[0] for o in out])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(p, pa.float64()),

@@ -2,12 +2,13 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from costlens.llm import lines, mixing, pii, quality, toxicity
+from costlens.llm import blockmax, lines, mixing, pii, quality, toxicity
 from tests.llm.fixtures import ODD_TEXTS, no_documents, odd_documents
 
 
@@ -198,14 +199,14 @@ def test_toxicity_looks_at_all_terms(spark):
     got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
     assert got[901].evidence[0] == "900" and all(len(r.evidence) == 5 for i, r in got.items() if i < 400)
     texts = {r.doc_id: r.text for r in docs.collect()}
-    place = {t: i for i, t in enumerate(model.vocabulary)}
+    idf = blockmax.load(model.path)["idf"]
+    present = Counter(t for text in texts.values() for t in set(text.split()))
+    plain = np.log((1 + len(texts)) / (1 + np.array([present[w] for w in ("wab", "quibbish", "vile")]))) + 1
+    assert np.allclose(idf[[blockmax.feature(w) for w in ("wab", "quibbish", "vile")]],
+                       plain * [1, 1, toxicity.EXTRA], rtol=1e-6)
 
     def vector(text):
-        n = {}
-        for w in text.split():
-            for t in toxicity.terms.terms_of(w):
-                n[t] = n.get(t, 0) + 1
-        v = {t: (1 + np.log(c)) * model.idf[place.get(t, -1)] for t, c in n.items()}
+        v = {t: (1 + np.log(c)) * float(idf[blockmax.feature(t)]) for t, c in Counter(text.split()).items()}
         norm = np.sqrt(sum(x * x for x in v.values()))
         return {t: x / norm for t, x in v.items()}
     examples = [(i, vector(texts[i])) for i in [*range(400), 900]]
@@ -215,22 +216,55 @@ def test_toxicity_looks_at_all_terms(spark):
         assert np.allclose(got[i].cosines, [c for c in want[:5] if c > 0])
 
 
-def test_block_max_is_exact():
+def test_votes_leave_the_example_out(spark):
+    docs, labels = corpus(spark, 80)
+    model = toxicity.fit(docs, labels, "toxic", k=5)
+    held, index = blockmax.opened(model.path)
+    got = toxicity.votes_of_others(spark, model.path, 80, 5).to_pylist()
+    dense = np.zeros((80, blockmax.SIZE), np.float32)
+    dense[np.repeat(np.arange(80), np.diff(held["edges"])), held["term"]] = held["weight"]
+    cosine = (dense @ dense.T).astype(float)
+    np.fill_diagonal(cosine, -1)
+    for r in got:
+        near = np.argsort(-cosine[r["place"]], kind="stable")[:5]
+        assert np.isclose(r["vote"], toxicity.vote(cosine[r["place"], near], held["label"][near]), atol=1e-4)
+        assert r["y"] == held["label"][r["place"]]
+
+
+@pytest.mark.parametrize("rows, share, long", [(300, 0.15, 0.1), (1500, 0.02, 1 / 64), (700, 0.3, 2.0),
+                                               (3, 0.5, 1 / 16)])
+def test_block_max_is_exact(monkeypatch, rows, share, long):
+    """Short lists alone, long ones alone and both give the brute-force neighbours, with ties."""
+    monkeypatch.setattr(blockmax, "LONG", long)
     rng = np.random.default_rng(2)
-    dense = rng.random((300, 30)) * (rng.random((300, 30)) < 0.15)
+    dense = rng.random((rows, 60)) * (rng.random((rows, 60)) < share * np.linspace(0.1, 2, 60))
+    dense[rows // 2:rows // 2 + 9] = dense[:9][:max(0, min(9, rows - rows // 2))]
     dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
     row, term = np.nonzero(dense)
-    index = toxicity.BlockMax(row, term, dense[row, term], 300, 30)
-    for i in range(0, 300, 7):
-        q = np.flatnonzero(dense[i])
-        if not len(q):
-            continue
-        found, score = index.nearest(q, dense[i, q], 10, skip=i)
+    index = blockmax.Index(row, term * 7, dense[row, term], rows)
+    asked = np.arange(0, rows, 2)
+    q, t = np.nonzero(dense[asked])
+    got = index.nearest(q, t * 7, dense[asked][q, t], len(asked), 10, asked)
+    for i, (found, score) in zip(asked, got):
         s = np.round(dense @ dense[i], 12)
-        want = sorted((-s[j], j) for j in range(300) if j != i and s[j] > 0)[:10]
+        want = sorted((-s[j], j) for j in range(rows) if j != i and s[j] > 0)[:10]
         assert [int(f) for f in found] == [j for _, j in want]
 
 
+def test_block_max_skips_blocks():
+    """Blocks whose peaks cannot reach a query's k-th cosine are not multiplied."""
+    rng = np.random.default_rng(5)
+    dense = np.zeros((2048, 40))
+    for b in range(8):
+        dense[b * 256:(b + 1) * 256, b * 5:b * 5 + 5] = rng.random((256, 5))
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    row, term = np.nonzero(dense)
+    index = blockmax.Index(row, term, dense[row, term], 2048)
+    q, t = np.nonzero(dense)
+    index.nearest(q, t, dense[q, t], 2048, 10)
+    assert len(index.matrix) == 40 and index.products == 2048
+
+
 def test_mixture_meets_targets(spark):
     docs, labels = corpus(spark)
     named = labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise("good").alias("domain"))
