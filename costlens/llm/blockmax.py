@@ -7,16 +7,15 @@ are arrays of one length and nothing holds the terms' texts.
 from __future__ import annotations
 
 import io
-import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
-from costlens.llm.terms import Words
 from costlens.llm.tokens import open_fs
 
-LETTERS = re.compile(r"[^\W\d_]+")
 #: Features are the leading bits of a term's hash.
 BITS = 22
 SIZE = 1 << BITS
@@ -25,7 +24,6 @@ SIZE = 1 << BITS
 BLOCK, DENSE, LONG = 256, 512, 1 / 16
 #: Postings and queries looked at together.
 POSTINGS, QUERIES = 1 << 20, 128
-CACHE_WORDS, CACHE_LENGTH = 300_000, 64
 
 
 def feature(term: str) -> int:
@@ -38,35 +36,20 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
 
 
-class Features:
-    """Features of texts: their lower-cased runs of letters, hashed; words are kept."""
-
-    def __init__(self):
-        self.known: dict[str, list[int]] = {}
-
-    def of(self, word: str) -> list[int]:
-        found = self.known.get(word)
-        if found is None:
-            found = [feature(run) for run in LETTERS.findall(word)]
-            if len(word) <= CACHE_LENGTH:
-                if len(self.known) >= CACHE_WORDS:
-                    self.known.clear()
-                self.known[word] = found
-        return found
-
-    def count(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, feature, count) triples in row order."""
-        words = Words(texts)
-        owned = [self.of(w) for w in words.distinct]
-        n = np.fromiter(map(len, owned), np.int64, len(owned))
-        if not n.sum():
-            return (np.zeros(0, np.int64),) * 3
-        flat = np.fromiter((t for o in owned for t in o), np.int64, int(n.sum()))
-        times = n[words.word]
-        at = ragged((np.cumsum(n) - n)[words.word], times)
-        key, back = np.unique(np.repeat(words.row, times) << BITS | flat[at], return_inverse=True)
-        return (key >> BITS, key & (SIZE - 1),
-                np.bincount(back, weights=np.repeat(words.count, times)).astype(np.int64))
+def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, count) triples in row order: hashed lower-cased runs of letters."""
+    plain = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    lists = pc.split_pattern(pc.replace_substring_regex(plain, r"\P{L}+", " "), " ")
+    coded = lists.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    own = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
+    own = (own >> (64 - BITS)).astype(np.int64)
+    own[[i for i, t in enumerate(distinct) if not t]] = -1
+    row = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    term = own[coded.indices.to_numpy()] if len(distinct) else np.zeros(0, np.int64)
+    solid = term >= 0
+    key, count = np.unique(row[solid] << BITS | term[solid], return_counts=True)
+    return key >> BITS, key & (SIZE - 1), count
 
 
 def weights(row: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray,

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from costlens import session
 from costlens.llm import blockmax, terms
-from costlens.llm.blockmax import Features, weights
+from costlens.llm.blockmax import features, weights
 from costlens.llm.encode import sliced
 from costlens.llm.tables import only, prepare, stage
 
@@ -51,9 +51,8 @@ def platt(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
 def counted(examples: DataFrame) -> DataFrame:
     """(doc_id, y, h, term, n): features of examples with their counts, and a text hash."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
         for batch in sliced(batches, limit=terms.SLICE_BYTES):
-            row, term, count = features.count(batch.column("text"))
+            row, term, count = features(batch.column("text"))
             at = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("y"), batch.column("h"),
@@ -105,9 +104,9 @@ class Model:
 def document_frequencies(docs: DataFrame) -> DataFrame:
     """(at, n): texts of `docs` that hold each feature, and at -1 their number."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, seen, n = Features(), np.zeros(blockmax.SIZE, np.int64), 0
+        seen, n = np.zeros(blockmax.SIZE, np.int64), 0
         for batch in sliced(batches, limit=terms.SLICE_BYTES):
-            at, held = np.unique(features.count(batch.column("text"))[1], return_counts=True)
+            at, held = np.unique(features(batch.column("text"))[1], return_counts=True)
             seen[at] += held
             n += batch.num_rows
         at = np.flatnonzero(seen)
@@ -234,9 +233,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = f"doc_id {kind}, score double, predicted int, evidence array<string>, " \
              "cosines array<double>"
 
-    def judged(texts: pa.Array, features: Features, known: dict) -> list[tuple]:
+    def judged(texts: pa.Array, known: dict) -> list[tuple]:
         held, index = blockmax.opened(model.path)
-        row, term, count = features.count(texts)
+        row, term, count = features(texts)
         weight = weights(row, term, count, held["idf"], len(texts))
         at = np.searchsorted(row, np.arange(len(texts) + 1))
         keys = [blockmax.xxhash.xxh128_digest(term[a:b].tobytes() + weight[a:b].tobytes())
@@ -256,9 +255,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return [known.get(key, (model.empty, [], [])) for key in keys]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, known = Features(), {}
+        known: dict = {}
         for batch in sliced(batches, limit=terms.SLICE_BYTES):
-            out = (judged(batch.column("text"), features, known) if model.path
+            out = (judged(batch.column("text"), known) if model.path
                    else [(0.0, [], [])] * batch.num_rows)
             p = np.array([o[0] for o in out])
             yield pa.RecordBatch.from_arrays(
