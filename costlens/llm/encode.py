@@ -47,6 +47,13 @@ def cut_rule(spec: dict) -> str:
     return "whole"
 
 
+def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for each range in turn; all lie below 2³¹."""
+    ends = np.cumsum(length)
+    return np.repeat((start - (ends - length)).astype(np.int32), length) + np.arange(
+        ends[-1] if len(ends) else 0, dtype=np.int32)
+
+
 class Encoder:
     """A tokenizer and the pieces it has met."""
 
@@ -76,13 +83,10 @@ class Encoder:
         for lead, rows in enumerate(old):
             kept = [p for p in at_hand if p in rows]
             row = np.fromiter((rows[p] for p in kept), np.int64, len(kept))
-            ends = np.cumsum(length[row])
-            at = np.repeat(start[row] - (ends - length[row]), length[row]) + np.arange(
-                ends[-1] if len(ends) else 0)
-            first = len(self.start)
+            ends, first = np.cumsum(length[row]), len(self.start)
             self.start = np.concatenate([self.start, len(self.flat) + ends - length[row]])
             self.length = np.concatenate([self.length, length[row]])
-            self.flat = np.concatenate([self.flat, flat[at]])
+            self.flat = np.concatenate([self.flat, flat[ranges(start[row], length[row])]])
             self.known[lead].update(zip(kept, range(first, first + len(kept))))
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -111,26 +115,48 @@ class Encoder:
         behind the word joins the word's ids and those of the marks.
         """
         known, lower, space = self.known[lead], self.rule == "drop", " " if lead else ""
-        split = {p: WORD.fullmatch(p) for p in pieces if p not in known}
-        word_of = {p: m.group(1).lower() if lower else m.group(1) for p, m in split.items() if m}
-        words = list(dict.fromkeys(w for w in word_of.values() if w not in known))
+        other, mixed, head, tail, alone = [], [], [], [], {}
+        for p in pieces:
+            if p in known:
+                continue
+            m = WORD.fullmatch(p)
+            if m is None:
+                other.append(p)
+                continue
+            word, marks = m.groups()
+            word = word.lower() if lower else word
+            if marks:
+                mixed.append(p)
+                head.append(word)
+                tail.append(marks)
+            else:
+                alone[p] = word
+        words = [w for w in dict.fromkeys(chain(alone.values(), head)) if w not in known]
         known.update(zip(words, self._add([self._word_ids(w, lead) for w in words])))
-        known.update((p, known[w]) for p, w in word_of.items() if not split[p].group(2))
-        mixed = [p for p in split if p not in known]
-        rest = [split[p].group(2) if split[p] else space + p for p in mixed]
-        distinct = list(dict.fromkeys(rest))
-        ids_of = dict(zip(distinct, self._ids(distinct)))
-        rows = []
-        for p, r in zip(mixed, rest):
-            ids = ids_of[r]
-            if split[p]:
-                row = known[word_of[p]]
-                at = self.start[row]
-                ids = self.flat[at:at + self.length[row]].tolist() + ids
-            rows.append(ids)
-        known.update(zip(mixed, self._add(rows)))
+        if lower:
+            known.update((p, known[w]) for p, w in alone.items())
+        spaced = [space + p for p in other]
+        distinct = list(dict.fromkeys(chain(tail, spaced)))
+        row_of = dict(zip(distinct, self._add(self._ids(distinct))))
+        known.update(zip(other, map(row_of.__getitem__, spaced)))
+        known.update(zip(mixed, self._join(
+            np.fromiter(map(known.__getitem__, head), np.int64, len(head)),
+            np.fromiter(map(row_of.__getitem__, tail), np.int64, len(tail)))))
         return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
+    def _join(self, head: np.ndarray, tail: np.ndarray) -> range:
+        """New rows of the piece table: the ids of one row before those of another."""
+        first, length = len(self.start), self.length[head] + self.length[tail]
+        ends = np.cumsum(length)
+        flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
+        for row, begin in ((head, ends - length), (tail, ends - self.length[tail])):
+            flat[ranges(begin, self.length[row])] = self.flat[ranges(self.start[row],
+                                                                     self.length[row])]
+        self.start = np.concatenate([self.start, len(self.flat) + ends - length])
+        self.length = np.concatenate([self.length, length])
+        self.flat = np.concatenate([self.flat, flat])
+        return range(first, first + len(length))
+
     def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts = self._ids(texts.to_pylist())
         bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
@@ -163,8 +189,7 @@ class Encoder:
             word[edges[:-1]] = self._learn([pieces[i] for i in piece[edges[:-1]]], False)
         lengths = self.length[word]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        at = np.repeat(self.start[word] - ends[:-1], lengths) + np.arange(ends[-1])
-        return self.flat[at], ends[edges]
+        return self.flat[ranges(self.start[word], lengths)], ends[edges]
 
     def _merge(self, texts: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Texts with runs of white space go to the library whole."""
