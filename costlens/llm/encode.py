@@ -12,10 +12,12 @@ byte-level splitter treats as a whole, is encoded whole.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -54,6 +56,18 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
         ends[-1] if len(ends) else 0, dtype=np.int32)
 
 
+@contextmanager
+def uncollected():
+    """No search for cycles while millions of small lists without any are made."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class Encoder:
     """A tokenizer and the pieces it has met."""
 
@@ -184,9 +198,10 @@ class Encoder:
                 return self._merge(texts, odd)
         if max(map(len, self.known)) > CACHE_PIECES:
             self._keep(pieces)
-        word = self._learn(pieces, lead)[piece]
-        if lead:
-            word[edges[:-1]] = self._learn([pieces[i] for i in piece[edges[:-1]]], False)
+        with uncollected():
+            word = self._learn(pieces, lead)[piece]
+            if lead:
+                word[edges[:-1]] = self._learn([pieces[i] for i in piece[edges[:-1]]], False)
         lengths = self.length[word]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         return self.flat[ranges(self.start[word], lengths)], ends[edges]
