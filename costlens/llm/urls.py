@@ -14,8 +14,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from costlens.llm.tables import only, prepare, stage
 
-#: Levels of the tree; deeper segments count as one.
-DEPTH = 4
 #: A position is variable with this many values, and more than this share of its urls.
 VALUES, SHARE = 8, 0.25
 #: Two-sided 5 % point of the normal distribution; weight of a prior, in labels.
@@ -68,14 +66,19 @@ def templates(paths: DataFrame) -> DataFrame:
 
     `paths` has host, path, n (urls), labelled and blocked. Only counts by branch are
     shuffled, never a host's urls as a group; each level is written before the next.
+    Levels follow until every branch is at its end or holds one path, which keeps its
+    further segments as they are: there are as many as the longest shared beginning has.
     """
-    segments = F.split(F.regexp_replace("path", "^/", ""), "/", DEPTH)
+    segments = F.split(F.regexp_replace("path", "^/", ""), "/")
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
+    columns = ["host", "path", "n", "labelled", "blocked", "template"]
     nodes = stage(paths.select("*", F.when(F.col("path") != "", segments).alias("segs"),
-                               F.lit("").alias("template")), "urls")
-    for level in range(DEPTH):
-        here = nodes.withColumn("seg", F.get("segs", F.lit(level)))
-        child = here.where(F.col("seg").isNotNull()).groupBy("host", "template", "seg").agg(*sums)
+                               F.lit("").alias("template"), F.lit(False).alias("open")).withColumn(
+        "open", F.col("segs").isNotNull()), "urls")
+    done, level = nodes.where(~F.col("open")).select(columns), 0
+    while not nodes.where("open").isEmpty():
+        here = nodes.where("open").withColumn("seg", F.get("segs", F.lit(level)))
+        child = here.groupBy("host", "template", "seg").agg(F.count(F.lit(1)).alias("paths"), *sums)
         parent = child.groupBy("host", "template").agg(
             F.count(F.lit(1)).alias("values"), *[F.sum(c).alias(f"all_{c}") for c in
                                                  ("n", "labelled", "blocked")])
@@ -85,12 +88,19 @@ def templates(paths: DataFrame) -> DataFrame:
                         F.col("all_labelled") - F.col("labelled"))
         name = F.when(variable, F.lit("*")).when(alike & (F.col("values") > 1), F.lit("~")).otherwise(
             F.col("seg"))
-        names = both.select("host", "template", "seg", name.alias("name"))
-        nodes = stage(here.join(names, ["host", "template", "seg"], "left").select(
-            "host", "path", "n", "labelled", "blocked", "segs", F.when(
-                F.col("name").isNull(), F.col("template")).otherwise(
-                F.concat("template", F.lit("/"), "name")).alias("template")), "urls")
-    return nodes
+        names = both.withColumn("name", name)
+        held = names.groupBy("host", "template", "name").agg(F.sum("paths").alias("held"))
+        names = names.select("host", "template", "seg", "name").join(
+            held, ["host", "template", "name"])
+        rest = F.slice("segs", F.lit(level + 2), F.greatest(F.size("segs") - level - 1, F.lit(0)))
+        ended, alone = F.size("segs") <= level + 1, F.col("held") == 1
+        nodes = stage(here.join(names, ["host", "template", "seg"]).select(
+            "host", "path", "n", "labelled", "blocked", "segs", F.concat(
+                "template", F.lit("/"), "name", F.when(alone & ~ended, F.concat(
+                    F.lit("/"), F.array_join(rest, "/"))).otherwise(F.lit(""))).alias("template"),
+            (~ended & ~alone).alias("open")), "urls")
+        done, level = done.unionByName(nodes.where(~F.col("open")).select(columns)), level + 1
+    return done
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labels: DataFrame | None = None,
@@ -100,8 +110,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labels: DataFrame |
     The rules decide where one fits, and their verdicts are the labels the tree
     learns from, with those of `labels` (host, path, verdict) if given. A null url or
     one without "://" has empty host and path. Repeated rows count as often as they
-    occur and are judged alike; hosts without any label are allowed; other columns
-    are ignored; no rows give none.
+    occur and are judged alike; a template without labels of its own is allowed, whatever
+    its host's share; other columns are ignored; no rows give none.
     """
     prepare(pages.sparkSession)
     rows = only(pages, key, "url").select(F.col(f"`{key}`"), host_of(F.col("url")).alias("host"),
@@ -121,13 +131,12 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labels: DataFrame |
     every = nodes.agg(*sums).first()
     share = (every["b"] or 0) / every["l"] if every["l"] else 0.0
     hosts = nodes.groupBy("host").agg(*sums).select(
-        "host", F.col("l").alias("host_l"),
-        ((F.col("b") + PRIOR * share) / (F.col("l") + PRIOR)).alias("host_share"))
+        "host", ((F.col("b") + PRIOR * share) / (F.col("l") + PRIOR)).alias("host_share"))
     leaves = nodes.groupBy("host", "template").agg(*sums).join(hosts, "host").select(
-        "host", "template", "host_l",
+        "host", "template", F.col("l").alias("own"),
         ((F.col("b") + PRIOR * F.col("host_share")) / (F.col("l") + PRIOR)).alias("purity"))
     judged = nodes.select("host", "path", "template").join(leaves, ["host", "template"])
-    verdict = F.when((F.col("host_l") > 0) & (F.col("purity") >= reject), F.lit("block")).otherwise(
+    verdict = F.when((F.col("own") > 0) & (F.col("purity") >= reject), F.lit("block")).otherwise(
         F.lit("allow"))
     judged = judged.select("host", "path", "template", "purity", verdict.alias("learnt"))
     out = rows.join(judged, ["host", "path"]).withColumn("fit", longest_rule(rules))

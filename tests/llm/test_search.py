@@ -125,6 +125,59 @@ def test_urls(spark):
     assert again.count() == 0
 
 
+def brute_templates(rows):
+    """{path: template} of (path, n, labelled, blocked) rows of one host, by recursion."""
+    out = {}
+
+    def differs(a1, n1, a2, n2):
+        if not n1 or not n2 or not n1 + n2:
+            return False
+        p = (a1 + a2) / (n1 + n2)
+        return abs(a1 / n1 - a2 / n2) > urls.Z * (p * (1 - p) * (1 / n1 + 1 / n2)) ** 0.5
+
+    def grow(rows, level, template):
+        by = {}
+        for r in rows:
+            segs = r[0].removeprefix("/").split("/")
+            if len(segs) <= level:
+                out[r[0]] = template
+            else:
+                by.setdefault(segs[level], []).append(r)
+        n, l, b = (sum(r[i] for rs in by.values() for r in rs) for i in (1, 2, 3))
+        named = {}
+        for seg, rs in by.items():
+            own_l, own_b = (sum(r[i] for r in rs) for i in (2, 3))
+            name = "*" if len(by) >= urls.VALUES and len(by) > urls.SHARE * n else \
+                "~" if len(by) > 1 and not differs(own_b, own_l, b - own_b, l - own_l) else seg
+            named.setdefault(name, []).extend(rs)
+        for name, rs in named.items():
+            grow(rs, level + 1, template + "/" + name)
+
+    grow(rows, 0, "")
+    return out
+
+
+def test_tree_is_brute_force_at_any_depth(spark):
+    rng = np.random.default_rng(4)
+    paths = {"/" + "/".join(rng.choice(["a", "b", "c", ""] if rng.random() < 0.7 else [
+        f"v{i}" for i in range(40)]) for _ in range(rng.integers(1, 9))) for _ in range(500)}
+    paths |= {f"/a/b/c/d/e/{k}/{i}" for k in ("good", "bad") for i in range(30)} | {"/" + "z/" * 200}
+    rows = [(p, 2, 2, 2 if "/b" in p else 0) if i % 3 else (p, 2, 0, 0)
+            for i, p in enumerate(sorted(paths))]
+    df = spark.createDataFrame([("h", *r) for r in rows],
+                               "host string, path string, n long, labelled long, blocked long")
+    got = {r.path: r.template for r in urls.templates(df).collect()}
+    assert got == brute_templates(rows)
+    labels = df.where("labelled > 0").select("host", "path", F.when(
+        F.col("blocked") > 0, "block").otherwise("allow").alias("verdict"))
+    judged = urls.judge(df.select(F.monotonically_increasing_id().alias("page_id"),
+                                  F.concat(F.lit("http://h"), "path").alias("url")), (), labels).collect()
+    labelled = {p for p, _, l, _ in rows if l}
+    told = {r.template for r in judged if r.path in labelled}
+    assert {r.path for r in judged} == got.keys()
+    assert all(r.template in told for r in judged if r.verdict == "block")
+
+
 def test_labelled_templates_are_rejected(spark):
     rows = [(i, f"http://h.net/spam/{i}") for i in range(40)] + [
         (i, f"http://h.net/good/{i}") for i in range(40, 80)]
