@@ -30,8 +30,10 @@ CACHE_PIECES = 500_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Pieces that white space before them would not leave as they are.
 SPACE = r"^(?:[\s\v\x85\p{Z}\x1c-\x1f]|$)"
-#: Letters, alone or before a punctuation mark, and what follows.
-WORD = re.compile(f"([{LETTERS}]+)((?:[.,;:!?].*)?)", re.DOTALL)
+#: Letters, alone or before another ASCII character, and what follows.
+WORD = rf"^(?P<word>[{LETTERS}]+)(?P<marks>(?s:[\x00-@\[-`{{-\x7f].*)?)$"
+#: Marks that end a line, and the start of the next one.
+LINE = re.compile(rf"([!-@\[-`{{-~]*\n)([{LETTERS}][^\n]*)")
 
 
 def cut_rule(spec: dict) -> str:
@@ -56,6 +58,17 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
         ends[-1] if len(ends) else 0, dtype=np.int32)
 
 
+def strings(values: pa.Array) -> list[str | None]:
+    """Python strings, made all at once: `to_pylist` wraps each value first."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def words_of(pieces: list[str]) -> tuple[list[str | None], list[str | None]]:
+    """The letters that each piece begins with, and its rest; both null where `WORD` fails."""
+    parts = pc.extract_regex(pa.array(pieces, pa.large_string()), WORD)
+    return tuple(map(strings, parts.flatten()))
+
+
 @contextmanager
 def uncollected():
     """No search for cycles while millions of small lists without any are made."""
@@ -92,8 +105,8 @@ class Encoder:
         """Forget all but the pieces (and their words) at hand, most of which are frequent."""
         old, flat, start, length = self.known, self.flat, self.start, self.length
         self._forget()
-        at_hand = {*pieces, *(m.group(1).lower() if self.rule == "drop" else m.group(1)
-                              for m in map(WORD.fullmatch, pieces) if m)}
+        at_hand = {*pieces, *(w.lower() if self.rule == "drop" else w
+                              for w in words_of(pieces)[0] if w)}
         for lead, rows in enumerate(old):
             kept = [p for p in at_hand if p in rows]
             row = np.fromiter((rows[p] for p in kept), np.int64, len(kept))
@@ -106,11 +119,10 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _word_ids(self, word: str, lead: bool) -> list[int]:
-        if not word.isascii():
-            word = word.translate(self.spelt)
-        return [t.id for t in self.tokenizer.model.tokenize(self.spelt[0x20] + word if lead
-                                                            else word)]
+    def _word_ids(self, words: list[str], lead: bool) -> list[list[int]]:
+        space = self.spelt[0x20] if lead else ""
+        spelt = (space + (w if w.isascii() else w.translate(self.spelt)) for w in words)
+        return [[t.id for t in found] for found in map(self.tokenizer.model.tokenize, spelt)]
 
     def _add(self, found: list[list[int]]) -> range:
         """New rows of the piece table."""
@@ -130,14 +142,11 @@ class Encoder:
         """
         known, lower, space = self.known[lead], self.rule == "drop", " " if lead else ""
         other, mixed, head, tail, alone = [], [], [], [], {}
-        for p in pieces:
-            if p in known:
-                continue
-            m = WORD.fullmatch(p)
-            if m is None:
+        new = [p for p in pieces if p not in known]
+        for p, word, marks in zip(new, *words_of(new)):
+            if word is None:
                 other.append(p)
                 continue
-            word, marks = m.groups()
             word = word.lower() if lower else word
             if marks:
                 mixed.append(p)
@@ -146,18 +155,31 @@ class Encoder:
             else:
                 alone[p] = word
         words = [w for w in dict.fromkeys(chain(alone.values(), head)) if w not in known]
-        known.update(zip(words, self._add([self._word_ids(w, lead) for w in words])))
+        known.update(zip(words, self._add(self._word_ids(words, lead))))
         if lower:
             known.update((p, known[w]) for p, w in alone.items())
         spaced = [space + p for p in other]
-        distinct = list(dict.fromkeys(chain(tail, spaced)))
-        row_of = dict(zip(distinct, self._add(self._ids(distinct))))
+        row_of = self._learn_rest(list(dict.fromkeys(chain(tail, spaced))))
         known.update(zip(other, map(row_of.__getitem__, spaced)))
         known.update(zip(mixed, self._join(
             np.fromiter(map(known.__getitem__, head), np.int64, len(head)),
             np.fromiter(map(row_of.__getitem__, tail), np.int64, len(tail)))))
         return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
+    def _learn_rest(self, rests: list[str]) -> dict[str, int]:
+        """Rows of what is no word: the library's ids, or, where marks end a line, those of
+        the marks and of the next line's piece."""
+        ended = {r: m.groups() for r in rests if "\n" in r and (m := LINE.fullmatch(r))} \
+            if self.rule == "lead" else {}
+        plain = list(dict.fromkeys(chain((r for r in rests if r not in ended),
+                                         (marks for marks, _ in ended.values()))))
+        row_of = dict(zip(plain, self._add(self._ids(plain))))
+        if ended:
+            head = [row_of[marks] for marks, _ in ended.values()]
+            row_of.update(zip(ended, self._join(np.array(head, np.int64), self._learn(
+                [piece for _, piece in ended.values()], False))))
+        return row_of
+
     def _join(self, head: np.ndarray, tail: np.ndarray) -> range:
         """New rows of the piece table: the ids of one row before those of another."""
         first, length = len(self.start), self.length[head] + self.length[tail]
@@ -187,7 +209,7 @@ class Encoder:
         edges = lists.offsets.to_numpy()
         edges = edges - edges[0]
         coded = lists.flatten().dictionary_encode()
-        pieces, piece = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        pieces, piece = strings(coded.dictionary), coded.indices.to_numpy()
         lead = self.rule == "lead"
         if lead:
             odd = pc.match_substring_regex(coded.dictionary, SPACE).to_numpy(
@@ -196,7 +218,7 @@ class Encoder:
             odd = np.add.reduceat(odd, edges[:-1]) > 0
             if odd.any():
                 return self._merge(texts, odd)
-        if max(map(len, self.known)) > CACHE_PIECES:
+        if sum(map(len, self.known)) > CACHE_PIECES:
             self._keep(pieces)
         with uncollected():
             word = self._learn(pieces, lead)[piece]

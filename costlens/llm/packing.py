@@ -19,6 +19,7 @@ from costlens.llm.tables import only, prepare, spread, stage
 from costlens.llm.tokens import with_end
 
 DIMS, BITS = 4, 8
+HALVES = np.array([1, 1 << 32])
 
 
 def projection(n: int, dims: int = DIMS) -> np.ndarray:
@@ -35,8 +36,13 @@ def grid(ids: np.ndarray, bounds: np.ndarray, signs: np.ndarray, bits: int = BIT
     out = np.zeros((len(count), signs.shape[1]), np.float64)
     some = count > 0
     if some.any():
-        total = np.add.reduceat(signs[ids % len(signs)], bounds[:-1][some], axis=0, dtype=np.float64)
-        out[some] = total / count[some, None]
+        row = ids % len(signs)
+        for d in range(0, signs.shape[1], 2):
+            # plus signs of two dimensions are counted in the halves of one number
+            pair = (signs[:, d:d + 2] > 0).astype(np.int64)
+            both = np.add.reduceat((pair @ HALVES[:pair.shape[1]])[row], bounds[:-1][some])
+            plus = np.stack([both & 0xFFFFFFFF, both >> 32], axis=1)[:, :pair.shape[1]]
+            out[some, d:d + 2] = (2 * plus - count[some, None]) / count[some, None]
     unit = (np.sign(out) * np.sqrt(np.abs(out)) + 1) / 2
     return np.minimum((unit * (1 << bits)).astype(np.int64), (1 << bits) - 1)
 

@@ -143,3 +143,35 @@ def test_flat_binaries_round_trip():
     values = packing.binaries(data, np.array([0, 3, 3, 10]))
     assert [len(v.as_py()) for v in values] == [6, 0, 14]
     assert packing.flat(values[1:], "<u2").tolist() == list(range(3, 10))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="aZsté '\n\t\r\x00\x1c.,$#<|>~1\u0301\u0338ßΣ", max_size=30),
+                max_size=5))
+def test_cuts_behind_any_ascii_mark_keep_the_ids(encoders, texts):
+    texts += ["a<|endoftext|>b.\n<|endoftext|>", "x's\nS 's\nT a$\n\nB", "ab.\nCd.\nEf"]
+    for e in encoders:
+        ids, at = e.encode(pa.array(texts, pa.string()))
+        want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
+
+
+def test_the_library_meets_marks_once_whatever_word_they_follow(monkeypatch):
+    e = Encoder(queries.vocabulary_file(queries.BYTE_BPE))
+    met, plain = [], e._ids
+    monkeypatch.setattr(e, "_ids", lambda texts: met.extend(texts) or plain(texts))
+    text = "so uno$$$ dos$$$ tres, fin.\nUna año.\nOtra, mil.\nAl"
+    ids, _ = e.encode(pa.array([text]))
+    assert ids.tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert sorted(met) == sorted(["$$$", ",", ".\n", ","])
+
+
+def test_cells_are_those_of_the_mean_signs():
+    rng = np.random.default_rng(3)
+    for dims in (3, 4):
+        ids, bounds = rng.integers(0, 50257, 500).astype(np.uint32), np.array([0, 0, 7, 8, 8, 500])
+        signs = packing.projection(1 << 16, dims)
+        mean = np.array([signs[ids[a:b]].mean(axis=0, dtype=np.float64) if b > a else np.zeros(dims)
+                         for a, b in zip(bounds[:-1], bounds[1:])])
+        want = ((np.sign(mean) * np.sqrt(np.abs(mean)) + 1) / 2 * 256).astype(int).clip(max=255)
+        assert packing.grid(ids, bounds, signs).tolist() == want.tolist()
