@@ -3,7 +3,9 @@
 Texts are cut where the tokenizer's own word splitting always cuts: before an
 ASCII space that is followed by a non-space character (byte-level splitting keeps
 that space with the next word), or at spaces and newlines (a splitter that drops
-white space), and between a letter and a punctuation mark. The library encodes
+white space), between a letter and a punctuation mark, and between a line's end and
+a letter. The cuts are found in the bytes of all texts at once, before anything is
+looked up: words are then told apart whatever marks follow them. The library encodes
 every distinct piece, and a text's ids are those of its pieces in turn, so they
 equal the ids of the whole text. Latin letters are one word to these splitters, so
 they go straight to the library's model. A text with runs of white space, which a
@@ -12,14 +14,14 @@ byte-level splitter treats as a whole, is encoded whole.
 
 from __future__ import annotations
 
+import codecs
 import gc
 import json
 import os
-import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +29,14 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
 CACHE_PIECES = 500_000
-LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: Pieces that white space before them would not leave as they are.
-SPACE = r"^(?:[\s\v\x85\p{Z}\x1c-\x1f]|$)"
-#: Letters, alone or before another ASCII character, and what follows.
-WORD = rf"^(?P<word>[{LETTERS}]+)(?P<marks>(?s:[\x00-@\[-`{{-\x7f].*)?)$"
-#: Marks that end a line, and the start of the next one.
-LINE = re.compile(rf"([!-@\[-`{{-~]*\n)([{LETTERS}][^\n]*)")
+#: Pieces that begin with a space and that white space before them would not leave as they are.
+SPACE = r"^ (?:[\s\v\x85\p{Z}\x1c-\x1f]|$)"
+#: Bytes that are a Latin letter, or the first and the second one of one above ASCII.
+ASCII_LETTER = np.array([chr(c).isalpha() and c < 128 for c in range(256)])
+HIGH_LEAD = 0xC3
+HIGH_LETTER = np.array([0x80 <= c < 0xC0 and c not in (0x97, 0xB7) for c in range(256)])
+#: Bytes of ASCII that is neither white space nor control: a line's end after them stands alone.
+INK = np.array([0x21 <= c < 0x7F for c in range(256)])
 
 
 def cut_rule(spec: dict) -> str:
@@ -63,10 +66,44 @@ def strings(values: pa.Array) -> list[str | None]:
     return values.to_numpy(zero_copy_only=False).tolist()
 
 
-def words_of(pieces: list[str]) -> tuple[list[str | None], list[str | None]]:
-    """The letters that each piece begins with, and its rest; both null where `WORD` fails."""
-    parts = pc.extract_regex(pa.array(pieces, pa.large_string()), WORD)
-    return tuple(map(strings, parts.flatten()))
+def letters_in(data: np.ndarray) -> np.ndarray:
+    """Which bytes of valid UTF-8 belong to Latin letters (A-Z, a-z, À-ÿ but × and ÷)."""
+    found = ASCII_LETTER[data]
+    lead = np.flatnonzero(data == HIGH_LEAD)
+    lead = lead[HIGH_LETTER[data[lead + 1]]]
+    found[lead] = found[lead + 1] = True
+    return found
+
+
+def tiles(data: np.ndarray, edges: np.ndarray, lines: bool) -> tuple[np.ndarray, ...]:
+    """Where the pieces of texts begin in their bytes (their end last), which are words, and
+    which belong to a part that begins with a space.
+
+    `edges`: where texts begin, and the end. A part of a text begins with it, with a space
+    or (`lines`) with a letter after a line's end. Its letters, with that space, are a word
+    if nothing or ASCII follows; what follows, or else the whole part, is a piece too.
+    """
+    n = len(data)
+    letter = letters_in(data)
+    begins = data == 0x20
+    first = edges[:-1]
+    begins[first[first < n]] = True
+    if lines:
+        end = np.flatnonzero(data[:-1] == 0x0A)
+        before = np.maximum(end - 1, 0)
+        begins[end[letter[end + 1] & (INK[data[before]] | letter[before])] + 1] = True
+    start = np.flatnonzero(begins)
+    after = np.append(start[1:], n)
+    spaced = data[start] == 0x20
+    inner = start + spaced
+    ends = np.append(np.flatnonzero(letter[:-1] > letter[1:]) + 1, n)
+    stop = np.minimum(ends[np.searchsorted(ends[:-1], inner, "right")], after)
+    word = (inner < after) & letter[np.minimum(inner, n - 1)]
+    word &= (stop == after) | (data[np.minimum(stop, n - 1)] < 0x80)
+    bounds = np.stack([start, np.where(word, stop, start)], axis=1).ravel()
+    some = np.append(bounds[1:], n) > bounds
+    return (np.append(bounds[some], n), np.stack([word, np.zeros_like(word)], axis=1).ravel()[some],
+            np.repeat(spaced, 2)[some])
 
 
 @contextmanager
@@ -92,37 +129,44 @@ class Encoder:
             self.rule = cut_rule(json.load(f))
         from tokenizers.pre_tokenizers import ByteLevel
         level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.spelt = {c: level.pre_tokenize_str(chr(c))[0][0]
-                      for c in (0x20, *range(0xC0, 0x100))}
+        spelt = ["\ufffe"] * 256
+        for c in (*range(0x80), *range(0xC0, 0x100)):
+            for byte, char in zip(chr(c).encode(), level.pre_tokenize_str(chr(c))[0][0]):
+                spelt[byte] = char
+        self.spelt = "".join(spelt)
         self._forget()
 
     def _forget(self) -> None:
+        # pieces after a space, and those at the start of a text or line
         self.known: tuple[dict[str, int], dict[str, int]] = ({}, {})
         self.flat, self.start, self.length = (np.zeros(0, np.uint32), np.zeros(0, np.int64),
                                               np.zeros(0, np.int64))
 
     def _keep(self, pieces: list[str]) -> None:
-        """Forget all but the pieces (and their words) at hand, most of which are frequent."""
+        """Forget all but the pieces at hand, most of which are frequent."""
         old, flat, start, length = self.known, self.flat, self.start, self.length
         self._forget()
-        at_hand = {*pieces, *(w.lower() if self.rule == "drop" else w
-                              for w in words_of(pieces)[0] if w)}
-        for lead, rows in enumerate(old):
-            kept = [p for p in at_hand if p in rows]
-            row = np.fromiter((rows[p] for p in kept), np.int64, len(kept))
+        for known, rows in zip(self.known, old):
+            kept = [p for p in pieces if p in rows]
+            row = np.fromiter(map(rows.__getitem__, kept), np.int64, len(kept))
             ends, first = np.cumsum(length[row]), len(self.start)
             self.start = np.concatenate([self.start, len(self.flat) + ends - length[row]])
             self.length = np.concatenate([self.length, length[row]])
             self.flat = np.concatenate([self.flat, flat[ranges(start[row], length[row])]])
-            self.known[lead].update(zip(kept, range(first, first + len(kept))))
+            known.update(zip(kept, range(first, first + len(kept))))
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _word_ids(self, words: list[str], lead: bool) -> list[list[int]]:
-        space = self.spelt[0x20] if lead else ""
-        spelt = (space + (w if w.isascii() else w.translate(self.spelt)) for w in words)
-        return [[t.id for t in found] for found in map(self.tokenizer.model.tokenize, spelt)]
+    def _word_ids(self, words: list[str]) -> list[list[int]]:
+        if not words:
+            return []
+        text = "\n".join(words)
+        if self.rule == "drop":
+            text = text.replace(" ", "")
+        spelt = codecs.charmap_decode(text.encode(), "strict", self.spelt)[0]
+        return [[t.id for t in found] for found in map(self.tokenizer.model.tokenize,
+                                                       spelt.split(self.spelt[0x0A]))]
 
     def _add(self, found: list[list[int]]) -> range:
         """New rows of the piece table."""
@@ -134,64 +178,23 @@ class Encoder:
         self.flat = np.concatenate([self.flat, flat])
         return range(first, first + len(found))
 
-    def _learn(self, pieces: list[str], lead: bool) -> np.ndarray:
-        """Rows of the piece table, which new pieces are added to.
-
-        A word has its own row; a piece of one word shares it, and a piece with marks
-        behind the word joins the word's ids and those of the marks.
-        """
-        known, lower, space = self.known[lead], self.rule == "drop", " " if lead else ""
-        other, mixed, head, tail, alone = [], [], [], [], {}
-        new = [p for p in pieces if p not in known]
-        for p, word, marks in zip(new, *words_of(new)):
-            if word is None:
-                other.append(p)
-                continue
-            word = word.lower() if lower else word
-            if marks:
-                mixed.append(p)
-                head.append(word)
-                tail.append(marks)
-            else:
-                alone[p] = word
-        words = [w for w in dict.fromkeys(chain(alone.values(), head)) if w not in known]
-        known.update(zip(words, self._add(self._word_ids(words, lead))))
-        if lower:
-            known.update((p, known[w]) for p, w in alone.items())
-        spaced = [space + p for p in other]
-        row_of = self._learn_rest(list(dict.fromkeys(chain(tail, spaced))))
-        known.update(zip(other, map(row_of.__getitem__, spaced)))
-        known.update(zip(mixed, self._join(
-            np.fromiter(map(known.__getitem__, head), np.int64, len(head)),
-            np.fromiter(map(row_of.__getitem__, tail), np.int64, len(tail)))))
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
-
-    def _learn_rest(self, rests: list[str]) -> dict[str, int]:
-        """Rows of what is no word: the library's ids, or, where marks end a line, those of
-        the marks and of the next line's piece."""
-        ended = {r: m.groups() for r in rests if "\n" in r and (m := LINE.fullmatch(r))} \
-            if self.rule == "lead" else {}
-        plain = list(dict.fromkeys(chain((r for r in rests if r not in ended),
-                                         (marks for marks, _ in ended.values()))))
-        row_of = dict(zip(plain, self._add(self._ids(plain))))
-        if ended:
-            head = [row_of[marks] for marks, _ in ended.values()]
-            row_of.update(zip(ended, self._join(np.array(head, np.int64), self._learn(
-                [piece for _, piece in ended.values()], False))))
-        return row_of
-
-    def _join(self, head: np.ndarray, tail: np.ndarray) -> range:
-        """New rows of the piece table: the ids of one row before those of another."""
-        first, length = len(self.start), self.length[head] + self.length[tail]
-        ends = np.cumsum(length)
-        flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
-        for row, begin in ((head, ends - length), (tail, ends - self.length[tail])):
-            flat[ranges(begin, self.length[row])] = self.flat[ranges(self.start[row],
-                                                                     self.length[row])]
-        self.start = np.concatenate([self.start, len(self.flat) + ends - length])
-        self.length = np.concatenate([self.length, length])
-        self.flat = np.concatenate([self.flat, flat])
-        return range(first, first + len(length))
+    def _learn(self, pieces: list[str], word: np.ndarray, known: dict[str, int]) -> np.ndarray:
+        """Rows of the piece table, which new pieces are added to."""
+        row = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(row < 0)
+        new = [pieces[i] for i in missing.tolist()]
+        words, marks = missing[word[missing]], missing[~word[missing]]
+        plain = [pieces[i] for i in words.tolist()]
+        if self.rule == "drop":
+            plain = [w.lower() for w in plain]
+            fresh = [w for w in dict.fromkeys(plain) if w not in known]
+            known.update(zip(fresh, self._add(self._word_ids(fresh))))
+            row[words] = np.fromiter(map(known.__getitem__, plain), np.int64, len(plain))
+        else:
+            row[words] = self._add(self._word_ids(plain))
+        row[marks] = self._add(self._ids([pieces[i] for i in marks.tolist()]))
+        known.update(zip(new, row[missing].tolist()))
+        return row
 
     def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts = self._ids(texts.to_pylist())
@@ -205,28 +208,40 @@ class Encoder:
             return self._whole(texts)
         if self.rule == "drop":
             texts = pc.replace_substring(texts, "\n", " ")
-        lists = pc.split_pattern(texts, " ")
-        edges = lists.offsets.to_numpy()
-        edges = edges - edges[0]
-        coded = lists.flatten().dictionary_encode()
-        pieces, piece = strings(coded.dictionary), coded.indices.to_numpy()
         lead = self.rule == "lead"
+        _, edges, data = texts.buffers()
+        edges = np.frombuffer(edges, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        data = data.slice(edges[0], edges[-1] - edges[0]) if data else pa.py_buffer(b"")
+        edges, flat = edges - edges[0], np.frombuffer(data, np.uint8)
+        begin, is_word, spaced = tiles(flat, edges, lead)
+        coded = pa.LargeStringArray.from_buffers(len(begin) - 1, pa.py_buffer(begin),
+                                                 data).dictionary_encode()
+        code, n = coded.indices.to_numpy(), len(coded.dictionary)
+        word = np.zeros(n, bool)
+        word[code[is_word]] = True
         if lead:
-            odd = pc.match_substring_regex(coded.dictionary, SPACE).to_numpy(
-                zero_copy_only=False)[piece]
-            odd[edges[:-1]] = False
-            odd = np.add.reduceat(odd, edges[:-1]) > 0
+            odd = np.zeros(n, bool)
+            odd[~word] = pc.match_substring_regex(coded.dictionary.filter(pa.array(~word)),
+                                                  SPACE).to_numpy(zero_copy_only=False)
             if odd.any():
+                text = np.searchsorted(edges, begin[:-1][odd[code]], "right") - 1
+                odd = np.zeros(len(texts), bool)
+                odd[text] = True
                 return self._merge(texts, odd)
+        pieces = np.array(strings(coded.dictionary), object)
         if sum(map(len, self.known)) > CACHE_PIECES:
-            self._keep(pieces)
+            self._keep(pieces.tolist())
+        row = np.zeros(n, np.int64)
         with uncollected():
-            word = self._learn(pieces, lead)[piece]
-            if lead:
-                word[edges[:-1]] = self._learn([pieces[i] for i in piece[edges[:-1]]], False)
-        lengths = self.length[word]
+            for part, known in zip((spaced, ~spaced), self.known):
+                some = np.zeros(n, bool)
+                some[code[part]] = True
+                row[some] = self._learn(pieces[some].tolist(), word[some], known)
+        row = row[code]
+        lengths = self.length[row]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        return self.flat[ranges(self.start[word], lengths)], ends[edges]
+        return (self.flat[ranges(self.start[row], lengths)],
+                ends[np.searchsorted(begin, edges)])
 
     def _merge(self, texts: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Texts with runs of white space go to the library whole."""

@@ -175,3 +175,36 @@ def test_cells_are_those_of_the_mean_signs():
                          for a, b in zip(bounds[:-1], bounds[1:])])
         want = ((np.sign(mean) * np.sqrt(np.abs(mean)) + 1) / 2 * 256).astype(int).clip(max=255)
         assert packing.grid(ids, bounds, signs).tolist() == want.tolist()
+
+
+def test_a_word_has_one_row_whatever_marks_follow_it():
+    e = Encoder(queries.vocabulary_file(queries.BYTE_BPE))
+    text = "so uno, uno. uno; uno! uno\nuno.\nuno uno"
+    ids, _ = e.encode(pa.array([text]))
+    assert ids.tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    words, marks = ["so", " uno", "uno"], [",", ".", ";", "!", "\n", ".\n"]
+    assert len(e.start) == len(words + marks)
+
+
+def test_cuts_never_cross_texts(encoders):
+    texts = ["x", "ab", "cd", "", "ef\n", "gh", None, "\nij", "kl ", "mn", " ", "op", "Ã", "©",
+             "q\u00d7", "r\u00f7s", "\u00e9", "t\n\nu", "\u00ab\nv", "w\t x", "<|endoftext|>\ny", "\u00e9\nz"]
+    for cut in (0, 1):
+        rows = pa.array(texts)[cut:]
+        for e in encoders:
+            ids, at = e.encode(rows)
+            want = [x.ids for x in e.tokenizer.encode_batch([t or "" for t in rows.to_pylist()],
+                                                            add_special_tokens=False)]
+            assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
+            for t, w in zip(rows.to_pylist(), want):
+                assert e.encode(pa.array([t], pa.string()))[0].tolist() == w
+
+
+def test_pieces_without_latin_letters_are_met_once(monkeypatch):
+    for path in FILES:
+        e = Encoder(queries.vocabulary_file(path))
+        texts = pa.array(["слово, 1999 δ\nuno, 日本 слово,"])
+        first, met, plain = e.encode(texts)[0].tolist(), [], e._ids
+        rows = len(e.start)
+        monkeypatch.setattr(e, "_ids", lambda texts: met.extend(texts) or plain(texts))
+        assert e.encode(texts)[0].tolist() == first and met == [] and len(e.start) == rows
