@@ -14,16 +14,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+from costlens.llm.encode import strings
 from costlens.llm.tokens import open_fs
 
 #: Features are the leading bits of a term's hash.
 BITS = 22
 SIZE = 1 << BITS
+#: Bytes of texts: ASCII letters in lower case, zero for ASCII that is no letter.
+FOLD = np.array([c if c > 127 else ord(chr(c).lower()) * chr(c).isalpha() for c in range(256)],
+                np.uint8)
 #: Examples of a block, most lists kept as rows of a matrix, and the share of the examples
 #: from which a list is such a row.
 BLOCK, DENSE, LONG = 256, 512, 1 / 16
-#: Postings and queries looked at together.
-POSTINGS, QUERIES = 1 << 20, 128
+#: Examples of a group, whose largest sums of short lists give a first bound.
+GROUP = 32
+#: Postings of short lists looked at together, which a core's cache holds, and queries.
+POSTINGS, QUERIES = 1 << 16, 128
 
 
 def feature(term: str) -> int:
@@ -36,19 +42,57 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def hashed(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Features of lower-cased pieces without ASCII marks, one after the other, and how many
+    each piece has: other characters may still part its letters."""
+    if not len(distinct):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, edges, data = distinct.buffers()
+    edges = np.frombuffer(edges, np.int64)[:len(distinct)]
+    own = np.fromiter(map(xxhash.xxh64_intdigest, strings(distinct)), np.uint64, len(distinct))
+    times = np.ones(len(distinct), np.int64)
+    high = np.bitwise_or.reduceat(np.frombuffer(data, np.uint8), edges) > 127
+    if high.any():
+        plain = pc.utf8_lower(distinct.filter(pa.array(high)).cast(pa.large_string()))
+        lists = pc.split_pattern(pc.replace_substring_regex(plain, r"\P{L}+", " "), " ")
+        runs = np.array(strings(lists.flatten()), object)
+        of, solid = np.repeat(np.flatnonzero(high), np.diff(lists.offsets.to_numpy())), runs != ""
+        times = ~high + np.bincount(of[solid], minlength=len(distinct))
+        first = np.cumsum(times) - times
+        whole, own = own, np.zeros(times.sum(), np.uint64)
+        own[first[~high]] = whole[~high]
+        own[ragged(first[high], times[high])] = [*map(xxhash.xxh64_intdigest, runs[solid])]
+    return (own >> (64 - BITS)).astype(np.int64), times
+
+
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature, count) triples in row order: hashed lower-cased runs of letters."""
-    plain = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    lists = pc.split_pattern(pc.replace_substring_regex(plain, r"\P{L}+", " "), " ")
-    coded = lists.flatten().dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    own = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
-    own = (own >> (64 - BITS)).astype(np.int64)
-    own[[i for i, t in enumerate(distinct) if not t]] = -1
-    row = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
-    term = own[coded.indices.to_numpy()] if len(distinct) else np.zeros(0, np.int64)
-    solid = term >= 0
-    key, count = np.unique(row[solid] << BITS | term[solid], return_counts=True)
+    """(row, feature, count) triples in row order: hashed lower-cased runs of letters.
+
+    Texts are cut at ASCII marks in their bytes; pieces are then told apart, and what else
+    a piece holds besides letters is looked for once.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, edges, data = texts.buffers()
+    edges = np.frombuffer(edges, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = FOLD[np.frombuffer(data or b"", np.uint8)[edges[0]:edges[-1]]]
+    edges = edges - edges[0]
+    inner = data != 0
+    begins = inner.copy()
+    begins[1:] &= ~inner[:-1]
+    first = edges[:-1][edges[:-1] < len(data)]
+    begins[first] = inner[first]
+    start = np.flatnonzero(begins)
+    row = np.searchsorted(edges, start, "right") - 1
+    begins = np.append(np.flatnonzero(begins[inner]), np.count_nonzero(inner))
+    coded = pa.Array.from_buffers(
+        pa.large_binary(), len(start),
+        [None, pa.py_buffer(begins), pa.py_buffer(data[inner])]).dictionary_encode()
+    own, times = hashed(coded.dictionary)
+    piece = coded.indices.to_numpy()
+    if (times != 1).any():
+        at, times = (np.cumsum(times) - times)[piece], times[piece]
+        row, piece = np.repeat(row, times), ragged(at, times)
+    key, count = np.unique(row << BITS | own[piece], return_counts=True)
     return key >> BITS, key & (SIZE - 1), count
 
 
@@ -78,6 +122,8 @@ class Index:
         self.example, self.held = row[order].astype(np.int32), weight[order]
         longest = np.argsort(-self.length, kind="stable")[:DENSE]
         longest = longest[self.length[longest] > LONG * rows]
+        self.place = np.full(SIZE, -1, np.int32)
+        self.place[self.known] = np.arange(len(self.known))
         self.line = np.full(len(self.known), -1)
         self.line[longest] = np.arange(len(longest))
         self.matrix = np.zeros((len(longest), self.blocks * BLOCK))
@@ -87,18 +133,6 @@ class Index:
         self.peak = self.matrix.reshape(len(longest), self.blocks, BLOCK).max(axis=2, initial=0)
         self.products = 0
 
-    def batches(self, row: np.ndarray, term: np.ndarray, rows: int):
-        """Ranges of queries whose short lists hold about `POSTINGS` entries together."""
-        at = np.minimum(np.searchsorted(self.known, term), len(self.known) - 1)
-        size = np.where((self.known[at] == term) & (self.line[at] < 0), self.length[at], 0)
-        before = np.concatenate([[0], np.cumsum(np.bincount(row, size, rows))])
-        a = 0
-        while a < rows:
-            b = int(np.searchsorted(before, before[a] + POSTINGS, "right")) - 1
-            b = min(max(b, a + 1), a + QUERIES, rows)
-            yield a, b
-            a = b
-
     def nearest(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, k: int,
                 skip: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the k examples of largest cosine above zero (ties: smaller place).
@@ -110,29 +144,51 @@ class Index:
         out = []
         if not self.rows or not len(self.known):
             return [(np.zeros(0, np.int64), np.zeros(0))] * rows
-        for a, b in self.batches(row, term, rows):
+        at = self.place[term]
+        held = np.flatnonzero(at >= 0)
+        row, at, weight = row[held], at[held], weight[held]
+        for a in range(0, rows, QUERIES):
+            b = min(a + QUERIES, rows)
             lo, hi = np.searchsorted(row, [a, b])
-            out += self._nearest(row[lo:hi] - a, term[lo:hi], weight[lo:hi], b - a, k,
+            out += self._nearest(row[lo:hi] - a, at[lo:hi], weight[lo:hi], b - a, k,
                                  None if skip is None else skip[a:b])
         return out
 
-    def _nearest(self, row, term, weight, n, k, skip):
-        at = np.minimum(np.searchsorted(self.known, term), len(self.known) - 1)
-        line = np.where(self.known[at] == term, self.line[at], -2)
-        short, wide = line == -1, self.blocks * BLOCK
-        post = ragged(self.begin[at[short]], self.length[at[short]])
-        times = self.length[at[short]]
-        score = np.bincount(np.repeat(row[short] * wide, times) + self.example[post],
-                            np.repeat(weight[short], times) * self.held[post],
-                            n * wide).astype(float, copy=False).reshape(n, wide)
+    def _sums(self, row: np.ndarray, at: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """Cosines' parts from short lists, for as many queries at a time as fit a cache."""
+        wide, times, begin = self.blocks * BLOCK, self.length[at], self.begin[at]
+        edges = np.searchsorted(row, np.arange(n + 1))
+        before = np.concatenate([[0], np.cumsum(times)])[edges]
+        score, a = np.empty((n, wide)), 0
+        while a < n:
+            b = int(np.searchsorted(before, before[a] + POSTINGS, "right")) - 1
+            b = min(max(b, a + 1), n)
+            part = slice(edges[a], edges[b])
+            post = ragged(begin[part], times[part])
+            score[a:b] = np.bincount(
+                np.repeat((row[part] - a) * wide, times[part]) + self.example[post],
+                np.repeat(weight[part], times[part]) * self.held[post],
+                (b - a) * wide).reshape(b - a, wide)
+            a = b
+        return score
+
+    def _nearest(self, row, at, weight, n, k, skip):
+        line, wide = self.line[at], self.blocks * BLOCK
+        short, long = line < 0, line >= 0
+        score = self._sums(row[short], at[short], weight[short], n)
         if skip is not None:
             score[np.arange(n), skip] = -np.inf
         query = np.zeros((n, len(self.matrix)))
-        query[row[line >= 0], line[line >= 0]] = weight[line >= 0]
-        bound = score.reshape(n, self.blocks, BLOCK).max(axis=2) + query @ self.peak
+        query[row[long], line[long]] = weight[long]
+        group = score.reshape(n, wide // GROUP, GROUP).max(axis=2)
+        bound = group.reshape(n, self.blocks, BLOCK // GROUP).max(axis=2) + query @ self.peak
         k = min(k, wide)
-        # sums of short lists never exceed the cosine, so their k-th is a bound at once
-        least = np.maximum(np.partition(score, wide - k, axis=1)[:, wide - k], 0) - 1e-12
+        # sums of short lists never exceed the cosine, so k groups that reach a value bound
+        # the k-th cosine at once
+        least = np.full(n, -1e-12)
+        if k <= group.shape[1]:
+            at_k = group.shape[1] - k
+            least += np.maximum(np.partition(group, at_k, axis=1)[:, at_k], 0)
         best, seen = np.zeros((n, k)), np.zeros((n, self.blocks), bool)
         for block in np.argsort(-bound.mean(axis=0), kind="stable"):
             which = np.flatnonzero((bound[:, block] >= least) & (bound[:, block] > 0))
@@ -146,14 +202,12 @@ class Index:
             best[which] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
             least[which] = np.maximum(least[which], best[which].min(axis=1) - 1e-12)
         score[~np.repeat(seen, BLOCK, axis=1)] = 0
-        floor, out = np.maximum(best.min(axis=1) - 1e-12, 0), []
-        for i in range(n):
-            found = np.flatnonzero(score[i] > floor[i]) if floor[i] == 0 else \
-                np.flatnonzero(score[i] >= floor[i])
-            s = score[i, found]
-            first = np.lexsort((found, -np.round(s, 12)))[:k]
-            out.append((found[first], s[first]))
-        return out
+        floor = np.maximum(best.min(axis=1) - 1e-12, 0)
+        i, found = np.nonzero((score >= floor[:, None]) & (score > 0))
+        s = score[i, found]
+        first = np.lexsort((found, -np.round(s, 12), i))
+        edges, found, s = np.searchsorted(i, np.arange(n + 1)), found[first], s[first]
+        return [(found[a:min(a + k, b)], s[a:min(a + k, b)]) for a, b in zip(edges[:-1], edges[1:])]
 
 
 def save(uri: str, **arrays: np.ndarray) -> None:

@@ -2,9 +2,11 @@
 
 import hashlib
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,6 +267,44 @@ def test_block_max_skips_blocks():
     assert len(index.matrix) == 40 and index.products == 2048
 
 
+def test_features_look_at_odd_pieces_only(monkeypatch):
+    """Features are hashed lower-cased runs of letters; ASCII is cut in its bytes, and only
+    distinct pieces with other characters are looked at by pattern."""
+    seen, replace = [], blockmax.pc.replace_substring_regex
+    monkeypatch.setattr(blockmax.pc, "replace_substring_regex",
+                        lambda values, *a: seen.extend(values.to_pylist()) or replace(values, *a))
+    texts = [None, "", "Plain words, PLAIN text_2x", "ends", "joined?", " ", "\x00a\x7fb",
+             "Été—été…ÉTÉ Été—été", "日本語。テスト、、ok x", "٣٤ a٣b été", "— …", "no end"] * 3
+    row, term, count = blockmax.features(pa.array(texts).slice(1))
+    want = Counter()
+    for i, text in enumerate(texts[1:]):
+        plain = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (text or "").lower())
+        want.update((i, blockmax.feature(t)) for t in plain.split())
+    assert dict(zip(zip(row.tolist(), term.tolist()), count.tolist())) == want
+    assert list(zip(row, term)) == sorted(zip(row, term))
+    assert sorted(seen) == sorted({"été—été…été", "日本語。テスト、、ok", "٣٤", "a٣b", "été", "—", "…",
+                                   "été—été"})
+    assert [len(x) for x in blockmax.features(pa.array([], pa.string()))] == [0, 0, 0]
+
+
+def test_short_lists_are_read_in_small_parts(monkeypatch):
+    """Postings that are added up together fit a core's cache; results stay exact."""
+    rng = np.random.default_rng(7)
+    dense = rng.random((4096, 400)) * (rng.random((4096, 400)) < 0.05)
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    row, term = np.nonzero(dense)
+    index = blockmax.Index(row, term, dense[row, term], 4096)
+    parts, ragged = [], blockmax.ragged
+    monkeypatch.setattr(blockmax, "ragged",
+                        lambda start, length: parts.append(length.sum()) or ragged(start, length))
+    q, t = np.nonzero(dense[:300])
+    got = index.nearest(q, t, dense[:300][q, t], 300, 10)
+    assert not len(index.matrix) and sum(parts) > 1_000_000 and max(parts) <= 1 << 16
+    for i, (found, _) in enumerate(got):
+        s = np.round(dense @ dense[i], 12)
+        assert found.tolist() == sorted(np.flatnonzero(s > 0), key=lambda j: (-s[j], j))[:10]
+
+
 def test_mixture_meets_targets(spark):
     docs, labels = corpus(spark)
     named = labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise("good").alias("domain"))
