@@ -102,8 +102,10 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10, site: str = "source",
     """
     prepare(docs.sparkSession)
     rows = keyed(docs, site, text, spread or Spread(None, min_sites, None))
-    places = (rows.join(spread_lines(rows), "line")
-              .where(~F.struct("doc_id", "text_hash", "pos").eqNullSafe(F.col("first")))
+    found = spread_lines(rows).withColumnRenamed("line", "_line")
+    elsewhere = ~F.struct("doc_id", "text_hash", "pos").eqNullSafe(F.col("first"))
+    # Spark sizes unpacked lines by the texts they came in; a semi join never broadcasts them
+    places = (rows.join(found, (F.col("line") == F.col("_line")) & elsewhere, "left_semi")
               .select("doc_id", "text_hash", "pos").distinct()
               .groupBy("doc_id", "text_hash").agg(F.collect_list("pos").alias("_gone"))
               .select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "_gone"))

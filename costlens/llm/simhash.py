@@ -99,11 +99,12 @@ def segment_links(grouped: DataFrame, distance: int) -> DataFrame:
                          F.explode(ball(F.col("value"), SINGLE[:HALF])).alias("value"))
     # each bucket's largest group; most buckets hold one group and need no lookup of it
     top = held.groupBy("seg", "value").agg(F.max(F.struct("size", "component")).alias("top"))
-    ask = (points.join(top, ["seg", "value"])
+    # Spark sizes an exploded table as if each row stayed one and would broadcast it: merge
+    ask = (points.hint("merge").join(top, ["seg", "value"])
            .where(F.struct("size", "component") < F.col("top"))
            .select("seg", "value", fp.alias("x"), F.col("component").alias("a"),
                    F.struct("size", "component").alias("rank")))
-    found = ask.join(held, ["seg", "value"]).where(
+    found = ask.join(held.hint("merge"), ["seg", "value"]).where(
         (F.struct("size", "component") > F.col("rank"))
         & (F.bit_count(F.col("x").bitwiseXOR(fp)) <= distance))
     return found.select("a", F.col("component").alias("b")).distinct()

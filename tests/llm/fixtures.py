@@ -1,4 +1,6 @@
-"""Small tables with the odd cases every operator must bear."""
+"""Small tables with the odd cases every operator must bear, and a limit on broadcasts."""
+
+from contextlib import contextmanager
 
 ODD_TEXTS = [None, "", " ", "\n\n", "a", "one two", "tie tie tie", "x  y\t z\n\n w",
              "word " * 3000, "é" * 5000, "Ünïcode größe  Ça va?", "<|endoftext|> 1 2  3",
@@ -21,3 +23,18 @@ def odd_documents(spark, clash=True):
 
 def no_documents(spark):
     return spark.createDataFrame([], "doc_id long, text string, lang string, source string")
+
+
+@contextmanager
+def broadcast_limit(spark, planned, most):
+    """Tables that Spark takes for smaller than `planned` are broadcast as on a large input;
+    one whose hash table is larger than `most` fails the query."""
+    named = {"spark.sql.autoBroadcastJoinThreshold": planned, "spark.sql.maxBroadcastTableSize": most}
+    before = {k: spark.conf.get(k) for k in named}
+    for k, v in named.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -4,7 +4,9 @@ import numpy as np
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from tests.llm.fixtures import no_documents, odd_documents
+from costlens.llm import simhash
+from costlens.llm.tables import stage
+from tests.llm.fixtures import broadcast_limit, no_documents, odd_documents
 
 STAGE = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
 
@@ -68,3 +70,15 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns
     assert kept.count() == len(brute_kept([r.text for r in rows]))
     assert STAGE(spark, no_documents(spark), "").count() == 0
+
+
+def test_balls_are_not_broadcast(spark):
+    rng, signed = np.random.default_rng(5), np.int64
+    base = rng.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2)
+    bits = np.stack([rng.choice(64, 3, replace=False) for _ in base]).astype(np.uint64)
+    other = base ^ np.bitwise_or.reduce(np.uint64(1) << bits, axis=1)
+    pairs = [(int(a), int(b)) for a, b in zip(base.view(signed), other.view(signed))]
+    prints = stage(spark.createDataFrame([(x,) for p in pairs for x in p], "fp long"), "prints")
+    with broadcast_limit(spark, "512k", "32m"):
+        got = {r.fp: r.component for r in simhash.linked(prints).collect()}
+    assert got == {x: min(p) for p in pairs for x in p}

@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from costlens.llm import blockmax, lines, mixing, pii, quality, toxicity
-from tests.llm.fixtures import ODD_TEXTS, no_documents, odd_documents
+from costlens.llm.tables import stage
+from tests.llm.fixtures import ODD_TEXTS, broadcast_limit, no_documents, odd_documents
 
 
 def brute_repeats(words):
@@ -98,6 +99,17 @@ def test_lines_of_a_corpus(spark):
     assert got == want | {89: ""}
 
 
+def test_lines_are_not_broadcast(spark):
+    """A small file of repeated texts holds many lines once they are unpacked."""
+    texts = ["\n".join(f"the {1000 * k + i} line" for i in range(1000)) for k in range(20)]
+    rows = [(i, texts[i % 20], f"s{i}") for i in range(600)]
+    docs = stage(spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1),
+                 "packed")
+    with broadcast_limit(spark, "256k", "32m"):
+        got = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
+    assert got == {i: t if i < 20 else "" for i, t, _ in rows}
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
         "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
